@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaloom.rules import NO_TEAM, SUPERVISOR_TEAM, Rules
+from rotaloom.rules import SUPERVISOR_TEAM, Rules
 
 DEFAULT_RULES = Rules()
 MEMBERS_PER_ORG = 150
+CLUB_PREFIX = "SC Example "
+VISITOR = "TV Other"
 
 
 def _team_code(index: Column, rules: Rules) -> Column:
@@ -25,7 +27,12 @@ def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> Dat
     key = F.col("o_orderkey")
     week = 7 * F.pmod(key * 11, F.lit(161))
     day = F.when(key % 5 == 0, (key * 3) % 7).otherwise(5 + key % 2)
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(
+    code = F.col("team_code")
+    number = F.regexp_extract(code, r"(\d)$", 1)
+    prefix = F.regexp_replace(F.regexp_replace(code, r"\d$", ""), "^([mwg])", "$1J")
+    club = F.concat(F.lit(CLUB_PREFIX), F.col("org_id").cast("string"))
+    own_side = F.when(number > "1", F.concat(club, F.lit(" "), number)).otherwise(club)
+    base = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(
         F.floor(F.col("o_custkey") / MEMBERS_PER_ORG).cast("int").alias("org_id"),
         key.alias("game_id"),
         F.date_add(F.lit("2000-01-03").cast("date"), (week + day).cast("int")).alias("game_date"),
@@ -33,6 +40,29 @@ def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> Dat
         (F.col("o_orderstatus") != "F").alias("is_home"),
         _team_code(((key * 13) % 31).cast("int"), rules).alias("team_code"),
     )
+    # Text columns of a fixture list; column pruning drops them where unused.
+    return base.select(
+        "*",
+        F.concat(prefix, F.lit("-KL")).alias("league"),
+        F.when(F.col("is_home"), F.concat(F.lit("H"), F.col("org_id").cast("string"))).otherwise("X").alias("venue"),
+        F.when(F.col("is_home"), own_side).otherwise(VISITOR).alias("home"),
+        F.when(F.col("is_home"), VISITOR).otherwise(own_side).alias("away"),
+    )
+
+
+def clubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Club name and own venue per organisation."""
+    org = F.floor(F.col("c_custkey") / MEMBERS_PER_ORG).cast("int")
+    return (
+        spark.read.parquet(f"{sf_dir}/customer.parquet")
+        .select(org.alias("org_id"))
+        .distinct()
+        .select(
+            "org_id",
+            F.concat(F.lit(CLUB_PREFIX), F.col("org_id").cast("string")).alias("club"),
+            F.concat(F.lit("H"), F.col("org_id").cast("string")).alias("venue"),
+        )
+    )
 
 
 def persons(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -54,5 +84,3 @@ def persons(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> D
         )
     )
 
-
-__all__ = ["games", "persons", "MEMBERS_PER_ORG", "NO_TEAM"]
