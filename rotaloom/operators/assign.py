@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaloom.operators.candidates import CLASS, SHIFT, open_slots, with_class
-from rotaloom.operators.score import PERSON, active_workers
+from rotaloom.operators.score import PERSON
 from rotaloom.plans.scratch import materialize
 from rotaloom.plans.skew import salted_join, spread_row_number
 from rotaloom.rules import Rules
@@ -356,8 +356,7 @@ def _slack(round_nr: int, max_rounds: int) -> float:
 
 def assign(
     cands: DataFrame,
-    persons: DataFrame,
-    targets: DataFrame,
+    workers: DataFrame,
     rules: Rules,
     fixed: DataFrame | None = None,
     max_rounds: int = 8,
@@ -365,18 +364,12 @@ def assign(
 ) -> Assignment:
     """Fill every slot of the candidates at low cost under N1 to N4.
 
-    ``cands`` are free candidates with a ``cost`` column.  The driver sees one
+    ``cands`` are free candidates with a ``cost`` column and ``workers`` comes
+    from ``active_workers``; both should be stage tables.  The driver sees one
     number per round, the count of newly filled or moved slots.
     """
-    offers = materialize(
-        cands.select(
-            *UNIT, "duty_type", "n_people", *CLASS[1:], "n_persons", F.col("cost").cast("long").alias("cost")
-        ),
-        "offers",
-    )
-    workers = materialize(active_workers(persons, offers, targets, rules), "workers")
-    lanes = materialize(_lanes(offers), "lanes")
-    slots = materialize(open_slots(offers).select(*UNIT, "slot_nr"), "slots")
+    lanes = materialize(_lanes(cands), "lanes")
+    slots = materialize(open_slots(cands).select(*UNIT, "slot_nr"), "slots")
     chosen = slots.limit(0).select(
         *CHOSEN[:-2], F.lit(None).cast("long").alias("person_id"), F.lit(False).alias("is_fixed")
     )

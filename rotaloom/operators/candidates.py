@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaloom.functions.dates import other_weekend_day
-from rotaloom.functions.intervals import Span, blocked_window, contains, intersects, span_distance
+from rotaloom.functions.intervals import Span, blocked_window, contains, intersects, span, span_distance
 from rotaloom.operators.people import PARENT_PREFIX, parent_key
 from rotaloom.operators.shifts import home_games, is_parent_sales
 from rotaloom.plans.skew import salted_join
@@ -24,8 +24,9 @@ CLASS = ["org_id", "team_code", "is_supervisor", "coach_of"]
 SHIFT = ["org_id", "shift_id"]
 NOBODY = ""
 
-SHIFT_SPAN = Span(F.col("start_min"), F.col("end_min"))
-BLOCK_SPAN = Span(F.col("block_from"), F.col("block_to"))
+
+def _shift_span() -> Span:
+    return span("start_min", "end_min")
 
 
 def with_class(persons: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def may_work_at(rules: Rules) -> Column:
     window = Span(F.col("work_from"), F.when(F.col("work_to") >= DAY_END, 2 * DAY_END).otherwise(F.col("work_to")))
     wipes = rules.has_flag(F.col("team_code"), "wiper_duty")
     return (
-        contains(window, SHIFT_SPAN)
+        contains(window, _shift_span())
         & ((F.col("duty_type") == WIPING) == wipes)
         & ((F.col("duty_type") == SUPERVISION) == F.col("is_supervisor"))
     )
@@ -177,7 +178,7 @@ def proximity_costs(shifts: DataFrame, games: DataFrame, rules: Rules) -> DataFr
         .select("org_id", "shift_date", "team_code", "n_games",
                 window.start.alias("block_from"), window.end.alias("block_to"))
     )
-    distance = span_distance(SHIFT_SPAN, BLOCK_SPAN)
+    distance = span_distance(_shift_span(), span("block_from", "block_to"))
     return (
         member_shifts(shifts)
         .select(*SHIFT, "shift_date", "start_min", "end_min")

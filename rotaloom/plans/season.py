@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from rotaloom.operators import assign as A
 from rotaloom.operators import availability, candidates, people, report, score, shifts, targets
+from rotaloom.plans.scratch import materialize
 from rotaloom.rules import Rules
 
 
@@ -16,8 +17,11 @@ from rotaloom.rules import Rules
 class Season:
     """Games and persons of any number of organisations, planned under one rule book.
 
-    Every property is a lazy DataFrame; nothing runs before an action.  In team
-    mode representatives are planned, otherwise members who still owe time.
+    Stage tables that several later steps read (shifts, targets, workers, free
+    candidates, costs, the plain roster) are written once to the scratch folder,
+    so they are computed once, have real size statistics and outlive lost
+    executors; the other properties stay lazy.  In team mode representatives
+    are planned, otherwise members who still owe time.
     """
 
     games: DataFrame
@@ -31,7 +35,7 @@ class Season:
 
     @cached_property
     def shifts(self) -> DataFrame:
-        return shifts.all_shifts(self.games, self.rules)
+        return materialize(shifts.all_shifts(self.games, self.rules), "shifts")
 
     @cached_property
     def headcounts(self) -> DataFrame:
@@ -43,14 +47,14 @@ class Season:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return targets.target_minutes(self.headcounts, self.planned, self.rules)
+        return materialize(targets.target_minutes(self.headcounts, self.planned, self.rules), "targets")
 
     @cached_property
     def workers(self) -> DataFrame:
         planned = people.workers(self.persons, self.rules)
-        if self.rules.team_mode:
-            return planned
-        return people.unfinished_persons(planned, self.targets, self.rules)
+        if not self.rules.team_mode:
+            planned = people.unfinished_persons(planned, self.targets, self.rules)
+        return materialize(planned, "workers")
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -66,13 +70,13 @@ class Season:
 
     @cached_property
     def costs(self) -> DataFrame:
-        return candidates.proximity_costs(self.shifts, self.games, self.rules)
+        return materialize(candidates.proximity_costs(self.shifts, self.games, self.rules), "costs")
 
     @cached_property
     def free(self) -> DataFrame:
         """Candidates after the weekend rule, with their proximity cost."""
         kept = candidates.free_candidates(self.candidates, self.games)
-        return candidates.with_cost(kept, self.costs, self.rules)
+        return materialize(candidates.with_cost(kept, self.costs, self.rules), "free")
 
     @cached_property
     def uncovered(self) -> DataFrame:
@@ -80,15 +84,15 @@ class Season:
 
     @cached_property
     def active(self) -> DataFrame:
-        return score.active_workers(self.workers, self.free, self.targets, self.rules)
+        return materialize(score.active_workers(self.workers, self.free, self.targets, self.rules), "active")
 
     def assign(self, **options) -> A.Assignment:
         fixed = None if self.fixed is None else self.fixed_merge[0]
-        return A.assign(self.free, self.workers, self.targets, self.rules, fixed=fixed, **options)
+        return A.assign(self.free, self.active, self.rules, fixed=fixed, **options)
 
     @cached_property
     def simple_roster(self) -> DataFrame:
-        return A.one_pass_roster(self.free, self.workers, self.rules)
+        return materialize(A.one_pass_roster(self.free, self.workers, self.rules), "roster")
 
     def full(self, roster: DataFrame) -> DataFrame:
         return report.with_parents(roster, self.shifts, self.rules)

@@ -18,7 +18,7 @@ VISITOR = "TV Other"
 
 
 def _team_code(index: Column, rules: Rules) -> Column:
-    return F.element_at(F.array(*[F.lit(t.code) for t in rules.teams]), index + 1)
+    return F.get(F.array(*[F.lit(t.code) for t in rules.teams]), index)
 
 
 def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
