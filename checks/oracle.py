@@ -617,7 +617,7 @@ select d.o_orderkey, strftime(d, '%Y-%m-%d') as day, isodow(d) = 6 as is_saturda
   strftime(d, '%d.%m.%Y') as german, strftime(d, '%Y%m%d') as basic_iso, strftime(d, '%Y%m') as month_text,
   cast(year(d) * 10000 + month(d) * 100 + day(d) as int) as int_day, cast(year(d) * 100 + month(d) as int) as int_month,
   true as parses_back,
-  strftime(cast(d + n as date), '%Y-%m-%d') as added_days,
+  strftime(cast(d + d.n as date), '%Y-%m-%d') as added_days,
   strftime(cast(d + to_months(d.n) as date), '%Y-%m-%d') as added_months,
   strftime(date_trunc('month', d), '%Y-%m-%d') as first_of_month,
   strftime(date_trunc('month', d) + interval 14 day, '%Y-%m-%d') as middle_of_month,

@@ -31,8 +31,20 @@ CANDIDATE_OUT = [
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _season(spark: SparkSession, sf_dir: str, rules: Rules = TEAM, fixed: DataFrame | None = None) -> Season:
-    return Season(views.games(spark, sf_dir), views.persons(spark, sf_dir), rules, fixed)
+_seasons: dict[tuple, Season] = {}
+
+
+def forget() -> None:
+    """Drop the shared seasons, so that the next query computes its stage tables again."""
+    _seasons.clear()
+
+
+def _season(spark: SparkSession, sf_dir: str, rules: Rules = TEAM) -> Season:
+    """One season per session, folder and mode; queries share its stage tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, rules)
+    if key not in _seasons:
+        _seasons[key] = Season(views.games(spark, sf_dir), views.persons(spark, sf_dir), rules)
+    return _seasons[key]
 
 
 def _plain(df: DataFrame, *columns: str) -> DataFrame:
@@ -42,7 +54,7 @@ def _plain(df: DataFrame, *columns: str) -> DataFrame:
         kind = df.schema[name].dataType.simpleString()
         column = F.col(name)
         if kind == "date":
-            column = F.date_format(column, "yyyy-MM-dd")
+            column = F.coalesce(F.date_format(column, "yyyy-MM-dd"), F.lit(""))
         elif kind == "string":
             column = F.coalesce(column, F.lit(""))
         elif kind.startswith("decimal"):
@@ -56,7 +68,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _shift_query(build) -> Query:
-    return lambda spark, sf: _plain(build(views.games(spark, sf), TEAM), *SHIFT_OUT)
+    return lambda spark, sf: _plain(build(_season(spark, sf).kickoffs, TEAM), *SHIFT_OUT)
 
 
 def _from_season(build, rules: Rules = TEAM) -> Query:
@@ -76,16 +88,16 @@ def _named_slots(season: Season) -> DataFrame:
     return rows.join(season.workers.select("org_id", "person_id", "name", "team_code"), ["org_id", "person_id"])
 
 
-def _fixed_season(spark: SparkSession, sf_dir: str) -> Season:
+def _fixed_merge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Fixed rows from the plain roster; wiping names and cash slots are spoiled on purpose."""
     season = _season(spark, sf_dir, PLAYER)
     duty = F.col("duty_type")
-    season.fixed = _named_slots(season).select(
+    fixed = _named_slots(season).select(
         "org_id", "shift_date", "start_min", "end_min", "duty_type", "team_code",
         F.when(duty == "Wischen", "Nobody").otherwise(F.col("name")).alias("name"),
         (F.col("slot_nr") + F.when(duty == "Kasse", 1).otherwise(0)).alias("slot_nr"),
     )
-    return season
+    return candidates.merge_fixed(fixed, season.candidates, season.workers, PLAYER)
 
 
 # -- model and scores --------------------------------------------------------
@@ -355,17 +367,17 @@ def queries() -> dict[str, Query]:
     target_out = ["org_id", "team_code", "n_persons", "worked_min", "target_min"]
     season = _from_season
     return {
-        "day_envelope": lambda s, d: _plain(shifts.day_envelope(views.games(s, d), TEAM)),
+        "day_envelope": season(lambda x: _plain(shifts.day_envelope(x.kickoffs, x.rules))),
         "supervision_shifts": _shift_query(shifts.supervision_shifts),
         "parent_shifts": _shift_query(shifts.parent_shifts),
         "player_sales_shifts": _shift_query(shifts.player_sales_shifts),
         "cash_shifts": _shift_query(shifts.cash_shifts),
         "wiper_shifts": _shift_query(shifts.wiper_shifts),
         "all_shifts": _shift_query(shifts.all_shifts),
-        "shift_rejects": lambda s, d: _plain(shifts.shift_rejects(views.games(s, d), TEAM)),
-        "wiper_conflicts": lambda s, d: _plain(shifts.wiper_conflicts(views.games(s, d), TEAM)),
-        "team_blocks": season(lambda x: _plain(availability.team_blocks(x.games, x.persons, x.rules))),
-        "coach_blocks": season(lambda x: _plain(availability.coach_blocks(x.games, x.persons, x.rules))),
+        "shift_rejects": season(lambda x: _plain(shifts.shift_rejects(x.kickoffs, x.rules))),
+        "wiper_conflicts": season(lambda x: _plain(shifts.wiper_conflicts(x.kickoffs, x.rules))),
+        "team_blocks": season(lambda x: _plain(availability.team_blocks(x.kickoffs, x.persons, x.rules))),
+        "coach_blocks": season(lambda x: _plain(availability.coach_blocks(x.kickoffs, x.persons, x.rules))),
         "headcounts": season(lambda x: x.headcounts),
         "representatives": season(lambda x: _plain(x.workers, *person_out)),
         "persons_under_target": season(lambda x: _plain(x.workers, *person_out), PLAYER),
@@ -375,18 +387,18 @@ def queries() -> dict[str, Query]:
         "candidates_team_mode": season(lambda x: _plain(x.candidates, *CANDIDATE_OUT)),
         "candidates_player_mode": season(lambda x: _per_shift(x.candidates), PLAYER),
         "weekend_filtered": season(
-            lambda x: _plain(candidates.weekend_filtered(x.candidates, x.games), *CANDIDATE_OUT)
+            lambda x: _plain(candidates.weekend_filtered(x.candidates, x.kickoffs), *CANDIDATE_OUT)
         ),
         "weekend_filtered_player_mode": season(
-            lambda x: _per_shift(candidates.weekend_filtered(x.candidates, x.games)), PLAYER
+            lambda x: _per_shift(candidates.weekend_filtered(x.candidates, x.kickoffs)), PLAYER
         ),
-        "readded": season(lambda x: _plain(candidates.readded(x.candidates, x.games), *CANDIDATE_OUT)),
-        "readded_player_mode": season(lambda x: _per_shift(candidates.readded(x.candidates, x.games)), PLAYER),
+        "readded": season(lambda x: _plain(candidates.readded(x.candidates, x.kickoffs), *CANDIDATE_OUT)),
+        "readded_player_mode": season(lambda x: _per_shift(candidates.readded(x.candidates, x.kickoffs)), PLAYER),
         "free_candidates": season(lambda x: _plain(x.free, *CANDIDATE_OUT, "cost")),
         "uncovered_shifts": season(lambda x: _plain(x.uncovered, *SHIFT_OUT)),
         "parent_assignments": season(lambda x: candidates.parent_assignments(x.shifts, x.rules)),
-        "fixed_merge": lambda s, d: _fixed_season(s, d).fixed_merge[0],
-        "fixed_rejects": lambda s, d: _plain(_fixed_season(s, d).fixed_merge[1]),
+        "fixed_merge": lambda s, d: _fixed_merge(s, d)[0],
+        "fixed_rejects": lambda s, d: _plain(_fixed_merge(s, d)[1]),
         "proximity_cost": season(lambda x: x.costs),
         "time_balance_rows": season(_time_balance, PLAYER),
         "same_team_rows": season(_same_team, PLAYER),

@@ -9,29 +9,25 @@ from rotaloom.functions.intervals import blocked_window
 from rotaloom.rules import Rules
 
 
-def team_windows(games: DataFrame, rules: Rules) -> DataFrame:
-    """Distinct blocked windows per team and day, from home and away games.
-
-    Distinct windows per day are bounded by the minutes of a day, so copies of a
-    game and crowded days collapse in the map-side part of the aggregation.
-    """
+def team_windows(kicks: DataFrame, rules: Rules) -> DataFrame:
+    """Distinct blocked windows per team and day, from home and away kick-offs."""
     window = blocked_window(F.col("start_min"), F.col("is_home"), rules)
-    return games.select(
+    return kicks.select(
         "org_id",
-        F.col("game_date").alias("shift_date"),
+        "shift_date",
         "team_code",
         window.start.alias("block_from"),
         window.end.alias("block_to"),
     ).distinct()
 
 
-def team_blocks(games: DataFrame, persons: DataFrame, rules: Rules) -> DataFrame:
+def team_blocks(kicks: DataFrame, persons: DataFrame, rules: Rules) -> DataFrame:
     """Windows of the teams that have persons in the import."""
     present = persons.select("org_id", "team_code").distinct()
-    return team_windows(games, rules).join(present, ["org_id", "team_code"], "left_semi")
+    return team_windows(kicks, rules).join(present, ["org_id", "team_code"], "left_semi")
 
 
-def coach_blocks(games: DataFrame, persons: DataFrame, rules: Rules) -> DataFrame:
+def coach_blocks(kicks: DataFrame, persons: DataFrame, rules: Rules) -> DataFrame:
     """Windows in which coaches are taken, with the number of coaches they block.
 
     Coaches of one team share its windows, so they are counted per team instead
@@ -42,8 +38,8 @@ def coach_blocks(games: DataFrame, persons: DataFrame, rules: Rules) -> DataFram
         .groupBy("org_id", F.col("trains_team").alias("team_code"))
         .agg(F.count(F.lit(1)).alias("n_coaches"))
     )
-    return team_windows(games, rules).join(coaches, ["org_id", "team_code"])
+    return team_windows(kicks, rules).join(coaches, ["org_id", "team_code"])
 
 
-def playing_days(games: DataFrame) -> DataFrame:
-    return games.select("org_id", "team_code", "game_date").distinct()
+def playing_days(kicks: DataFrame) -> DataFrame:
+    return kicks.select("org_id", "team_code", "shift_date").distinct()

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from rotaloom.functions.dates import other_weekend_day
 from rotaloom.functions.intervals import Span, blocked_window, contains, intersects, span, span_distance
 from rotaloom.operators.people import PARENT_PREFIX, parent_key
-from rotaloom.operators.shifts import home_games, is_parent_sales
+from rotaloom.operators.availability import playing_days
+from rotaloom.operators.shifts import home_kickoffs, is_parent_sales
 from rotaloom.plans.skew import salted_join
 from rotaloom.rules import DAY_END, SUPERVISION, WIPING, Rules
 
@@ -110,11 +111,11 @@ def candidates(shifts: DataFrame, persons: DataFrame, windows: DataFrame, rules:
     return not_busy(not_busy(allowed, "team_code"), "coach_of")
 
 
-def weekend_flags(cands: DataFrame, games: DataFrame) -> DataFrame:
+def weekend_flags(cands: DataFrame, kicks: DataFrame) -> DataFrame:
     """W1 and W2 as flags: the team plays on the other weekend day; the shift keeps someone anyway."""
-    playing = games.select(
-        "org_id", "team_code", F.col("game_date").alias("other_day"), F.lit(True).alias("_plays")
-    ).distinct()
+    playing = playing_days(kicks).select(
+        "org_id", "team_code", F.col("shift_date").alias("other_day"), F.lit(True).alias("_plays")
+    )
     flagged = (
         cands.withColumn("other_day", other_weekend_day(F.col("shift_date")))
         .join(playing, ["org_id", "team_code", "other_day"], "left")
@@ -126,20 +127,20 @@ def weekend_flags(cands: DataFrame, games: DataFrame) -> DataFrame:
     return flagged.withColumn("shift_keeps_some", kept)
 
 
-def weekend_filtered(cands: DataFrame, games: DataFrame) -> DataFrame:
+def weekend_filtered(cands: DataFrame, kicks: DataFrame) -> DataFrame:
     """W1 alone."""
-    return weekend_flags(cands, games).filter("not plays_other_day").drop("plays_other_day", "shift_keeps_some")
+    return weekend_flags(cands, kicks).filter("not plays_other_day").drop("plays_other_day", "shift_keeps_some")
 
 
-def readded(cands: DataFrame, games: DataFrame) -> DataFrame:
+def readded(cands: DataFrame, kicks: DataFrame) -> DataFrame:
     """W2 alone: all candidates of shifts that W1 would leave empty."""
-    return weekend_flags(cands, games).filter("not shift_keeps_some").drop("plays_other_day", "shift_keeps_some")
+    return weekend_flags(cands, kicks).filter("not shift_keeps_some").drop("plays_other_day", "shift_keeps_some")
 
 
-def free_candidates(cands: DataFrame, games: DataFrame) -> DataFrame:
+def free_candidates(cands: DataFrame, kicks: DataFrame) -> DataFrame:
     """W1 followed by W2 in one pass."""
     return (
-        weekend_flags(cands, games)
+        weekend_flags(cands, kicks)
         .filter("not plays_other_day or not shift_keeps_some")
         .drop("plays_other_day", "shift_keeps_some")
     )
@@ -168,15 +169,14 @@ def parent_assignments(shifts: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def proximity_costs(shifts: DataFrame, games: DataFrame, rules: Rules) -> DataFrame:
+def proximity_costs(shifts: DataFrame, kicks: DataFrame, rules: Rules) -> DataFrame:
     """M3: summed distance to close home games per (shift, team); other pairs cost the flat amount."""
     window = blocked_window(F.col("start_min"), F.lit(True), rules)
     home = (
-        home_games(games)
-        .groupBy("org_id", "shift_date", "team_code", "start_min")
-        .agg(F.count(F.lit(1)).alias("n_games"))
-        .select("org_id", "shift_date", "team_code", "n_games",
-                window.start.alias("block_from"), window.end.alias("block_to"))
+        home_kickoffs(kicks).select(
+            "org_id", "shift_date", "team_code", "n_games",
+            window.start.alias("block_from"), window.end.alias("block_to"),
+        )
     )
     distance = span_distance(_shift_span(), span("block_from", "block_to"))
     return (

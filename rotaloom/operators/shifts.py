@@ -1,8 +1,10 @@
 """Duty shifts of home-game days.
 
-All day-level facts come from one grouped aggregation over the home games, so
-the input is shuffled once, with map-side partial results: a day that holds a
-large share of the games still sends one row per input task.
+The game table is read once and reduced to *kick-offs*: one row per team, day,
+side and minute.  The reduction is a plain hash aggregation with map-side
+partial results, so copies and crowded days shrink before they are shuffled,
+and kick-offs per organisation and day are bounded by teams times minutes.
+Everything that plans duties works on kick-offs.
 """
 
 from __future__ import annotations
@@ -27,31 +29,41 @@ SHIFT_COLUMNS = [
 ]
 
 
-def home_games(games: DataFrame) -> DataFrame:
-    return games.filter("is_home").withColumnRenamed("game_date", "shift_date")
+def kickoffs(games: DataFrame) -> DataFrame:
+    """Games per organisation, day, team, side and minute, with the smallest and largest key."""
+    return games.groupBy(
+        "org_id", F.col("game_date").alias("shift_date"), "team_code", "is_home", "start_min"
+    ).agg(
+        F.count(F.lit(1)).alias("n_games"), F.min("game_id").alias("first_id"), F.max("game_id").alias("last_id")
+    )
+
+
+def home_kickoffs(kicks: DataFrame) -> DataFrame:
+    """P1."""
+    return kicks.filter("is_home")
 
 
 def is_parent_sales(duty_type: Column, parents_of: Column) -> Column:
     return (duty_type == SALES) & parents_of.isNotNull()
 
 
-def day_facts(games: DataFrame, rules: Rules) -> DataFrame:
+def day_facts(kicks: DataFrame, rules: Rules) -> DataFrame:
     """One row per organisation and home day with every number A1, A3, A4 and A5 need."""
     start = F.col("start_min")
     parent = rules.has_flag(F.col("team_code"), "parent_duty")
     cash = rules.has_flag(F.col("team_code"), "has_cash")
     early = F.col("team_code") == rules.early_team
     return (
-        home_games(games)
+        home_kickoffs(kicks)
         .groupBy(*DAY)
         .agg(
             F.min(start).alias("first_start"),
             F.max(start).alias("last_start"),
-            F.min_by("team_code", F.struct("start_min", "game_id")).alias("first_team"),
+            F.min_by("team_code", F.struct("start_min", "first_id")).alias("first_team"),
             F.max(F.when(parent, start)).alias("last_parent_start"),
             F.min(F.when(~parent, start)).alias("first_player_start"),
             F.max(F.when(~parent, start)).alias("last_player_start"),
-            F.count(F.when(cash, 1)).cast("int").alias("n_cash"),
+            F.coalesce(F.sum(F.when(cash, F.col("n_games"))), F.lit(0)).alias("n_cash"),
             F.min(F.when(cash, start)).alias("first_cash_start"),
             F.max(F.when(cash, start)).alias("last_cash_start"),
             F.min(F.when(cash & early, start)).alias("first_early_cash_start"),
@@ -59,9 +71,9 @@ def day_facts(games: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def day_envelope(games: DataFrame, rules: Rules) -> DataFrame:
+def day_envelope(kicks: DataFrame, rules: Rules) -> DataFrame:
     """A1: first to last kick-off, 30 minutes earlier if the early team opens the day."""
-    return _envelope(day_facts(games, rules), rules).select(
+    return _envelope(day_facts(kicks, rules), rules).select(
         *DAY, F.col("range_start").alias("start_min"), F.col("range_end").alias("end_min")
     )
 
@@ -106,12 +118,12 @@ def cash_range(rules: Rules) -> Column:
     return F.when(F.col("n_cash") > 0, _padded(CASH, Span(begin, end), rules))
 
 
-def duty_ranges(games: DataFrame, rules: Rules, duty_types: tuple[str, ...] = (SUPERVISION, SALES, CASH)) -> DataFrame:
+def duty_ranges(kicks: DataFrame, rules: Rules, duty_types: tuple[str, ...] = (SUPERVISION, SALES, CASH)) -> DataFrame:
     """Padded ranges still to be cut into shifts, one row per day and duty type."""
     makers = {SUPERVISION: supervision_range, SALES: player_sales_range, CASH: cash_range}
     structs = F.array(*[makers[d](rules) for d in duty_types])
     return (
-        _envelope(day_facts(games, rules), rules)
+        _envelope(day_facts(kicks, rules), rules)
         .select(*DAY, F.explode(structs).alias("r"))
         .filter("r is not null")
         .select(*DAY, "r.duty_type", "r.range_start", "r.range_end")
@@ -166,9 +178,9 @@ def cut_ranges(ranges: DataFrame, rules: Rules) -> DataFrame:
     return finish_shifts(cut.withColumn("parents_of", F.lit(None).cast("string")), rules)
 
 
-def shift_rejects(games: DataFrame, rules: Rules) -> DataFrame:
+def shift_rejects(kicks: DataFrame, rules: Rules) -> DataFrame:
     """Ranges that yield no shift, with the reason."""
-    return cut_plan(duty_ranges(games, rules), rules).filter("reason is not null").select(
+    return cut_plan(duty_ranges(kicks, rules), rules).filter("reason is not null").select(
         *DAY, "duty_type", "range_start", "range_end", "reason"
     )
 
@@ -196,19 +208,14 @@ def finish_shifts(shifts: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def parent_shifts(games: DataFrame, rules: Rules) -> DataFrame:
+def parent_shifts(kicks: DataFrame, rules: Rules) -> DataFrame:
     """A2: chained sales shifts of the parents; the last home game of a team per day counts.
 
-    Games are first reduced to one row per team and kick-off minute, which bounds
-    the day windows by the minutes of a day instead of the number of games.
+    The day windows run over kick-offs, so their size is bounded by the minutes
+    of a day and not by the number of games.
     """
     start = F.col("start_min")
-    slots = (
-        home_games(games)
-        .filter(rules.has_flag(F.col("team_code"), "parent_duty"))
-        .groupBy(*DAY, "start_min", "team_code")
-        .agg(F.max("game_id").alias("last_id"), F.min("game_id").alias("first_id"))
-    )
+    slots = home_kickoffs(kicks).filter(rules.has_flag(F.col("team_code"), "parent_duty"))
     in_day = Window.partitionBy(*DAY)
     in_order = in_day.orderBy("start_min", "last_id")
     team_day = Window.partitionBy(*DAY, "team_code")
@@ -233,13 +240,13 @@ def parent_shifts(games: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def wiper_shifts(games: DataFrame, rules: Rules) -> DataFrame:
+def wiper_shifts(kicks: DataFrame, rules: Rules) -> DataFrame:
     """One padded hour from the kick-off of each home game that needs wipers."""
     duty = rules.duty(WIPING)
     start = F.col("start_min")
     window = pad(Span(start, start + rules.wiper_min), duty.lead_min, duty.run_out_min)
     return finish_shifts(
-        home_games(games)
+        home_kickoffs(kicks)
         .filter(rules.has_flag(F.col("team_code"), "has_wiper"))
         .select(*DAY, window.start.alias("start_min"), window.end.alias("end_min"))
         .distinct()
@@ -249,33 +256,33 @@ def wiper_shifts(games: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def wiper_conflicts(games: DataFrame, rules: Rules) -> DataFrame:
+def wiper_conflicts(kicks: DataFrame, rules: Rules) -> DataFrame:
     """Audit of days with more than one game that needs wipers."""
     return (
-        home_games(games)
+        home_kickoffs(kicks)
         .filter(rules.has_flag(F.col("team_code"), "has_wiper"))
         .groupBy(*DAY)
-        .agg(F.count(F.lit(1)).alias("n_games"))
+        .agg(F.sum("n_games").alias("n_games"))
         .filter("n_games > 1")
     )
 
 
-def supervision_shifts(games: DataFrame, rules: Rules) -> DataFrame:
-    return cut_ranges(duty_ranges(games, rules, (SUPERVISION,)), rules)
+def supervision_shifts(kicks: DataFrame, rules: Rules) -> DataFrame:
+    return cut_ranges(duty_ranges(kicks, rules, (SUPERVISION,)), rules)
 
 
-def player_sales_shifts(games: DataFrame, rules: Rules) -> DataFrame:
-    return cut_ranges(duty_ranges(games, rules, (SALES,)), rules)
+def player_sales_shifts(kicks: DataFrame, rules: Rules) -> DataFrame:
+    return cut_ranges(duty_ranges(kicks, rules, (SALES,)), rules)
 
 
-def cash_shifts(games: DataFrame, rules: Rules) -> DataFrame:
-    return cut_ranges(duty_ranges(games, rules, (CASH,)), rules)
+def cash_shifts(kicks: DataFrame, rules: Rules) -> DataFrame:
+    return cut_ranges(duty_ranges(kicks, rules, (CASH,)), rules)
 
 
-def all_shifts(games: DataFrame, rules: Rules) -> DataFrame:
+def all_shifts(kicks: DataFrame, rules: Rules) -> DataFrame:
     """Every shift of every home day."""
     return (
-        cut_ranges(duty_ranges(games, rules), rules)
-        .unionByName(parent_shifts(games, rules))
-        .unionByName(wiper_shifts(games, rules))
+        cut_ranges(duty_ranges(kicks, rules), rules)
+        .unionByName(parent_shifts(kicks, rules))
+        .unionByName(wiper_shifts(kicks, rules))
     )

@@ -17,7 +17,7 @@ from rotaloom.rules import Rules
 class Season:
     """Games and persons of any number of organisations, planned under one rule book.
 
-    Stage tables that several later steps read (shifts, targets, workers, free
+    Stage tables that several later steps read (kick-offs, shifts, targets, workers, free
     candidates, costs, the plain roster) are written once to the scratch folder,
     so they are computed once, have real size statistics and outlive lost
     executors; the other properties stay lazy.  In team mode representatives
@@ -33,9 +33,13 @@ class Season:
     def members(self) -> DataFrame:
         return people.working_persons(self.persons, self.rules)
 
+    @cached_property
+    def kickoffs(self) -> DataFrame:
+        return materialize(shifts.kickoffs(self.games), "kickoffs")
+
     @cached_property
     def shifts(self) -> DataFrame:
-        return materialize(shifts.all_shifts(self.games, self.rules), "shifts")
+        return materialize(shifts.all_shifts(self.kickoffs, self.rules), "shifts")
 
     @cached_property
     def headcounts(self) -> DataFrame:
@@ -58,11 +62,13 @@ class Season:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return availability.team_windows(self.games, self.rules)
+        return availability.team_windows(self.kickoffs, self.rules)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return candidates.candidates(self.shifts, self.workers, self.windows, self.rules)
+        return materialize(
+            candidates.candidates(self.shifts, self.workers, self.windows, self.rules), "candidates"
+        )
 
     @cached_property
     def fixed_merge(self) -> tuple[DataFrame, DataFrame]:
@@ -70,12 +76,12 @@ class Season:
 
     @cached_property
     def costs(self) -> DataFrame:
-        return materialize(candidates.proximity_costs(self.shifts, self.games, self.rules), "costs")
+        return materialize(candidates.proximity_costs(self.shifts, self.kickoffs, self.rules), "costs")
 
     @cached_property
     def free(self) -> DataFrame:
         """Candidates after the weekend rule, with their proximity cost."""
-        kept = candidates.free_candidates(self.candidates, self.games)
+        kept = candidates.free_candidates(self.candidates, self.kickoffs)
         return materialize(candidates.with_cost(kept, self.costs, self.rules), "free")
 
     @cached_property

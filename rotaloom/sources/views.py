@@ -18,7 +18,8 @@ VISITOR = "TV Other"
 
 
 def _team_code(index: Column, rules: Rules) -> Column:
-    return F.get(F.array(*[F.lit(t.code) for t in rules.teams]), index)
+    codes = F.split(F.lit(",".join(t.code for t in rules.teams)), ",")
+    return F.get(codes, index)
 
 
 def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
