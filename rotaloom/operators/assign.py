@@ -348,10 +348,10 @@ def _improve(state: _State, seed: int) -> DataFrame:
 
 
 def _slack(round_nr: int, max_rounds: int) -> float:
-    """Tolerance over the asked cost: none at first, doubling, unlimited in the last round."""
+    """Tolerance over the asked cost: none at first, then growing, unlimited in the last round."""
     if round_nr >= max_rounds:
         return ANY_COST
-    return 0.0 if round_nr <= 3 else 15.0 * 2 ** (round_nr - 4)
+    return 0.0 if round_nr <= 2 else 30.0 * 4 ** (round_nr - 3)
 
 
 def assign(
@@ -359,8 +359,8 @@ def assign(
     workers: DataFrame,
     rules: Rules,
     fixed: DataFrame | None = None,
-    max_rounds: int = 8,
-    improve_rounds: int = 6,
+    max_rounds: int = 6,
+    improve_rounds: int = 4,
 ) -> Assignment:
     """Fill every slot of the candidates at low cost under N1 to N4.
 
