@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rotaloom.functions.dates import parse_german, parse_short_german
 from rotaloom.functions.intervals import parse_clock
 from rotaloom.operators.people import short_name, working_persons
+from rotaloom.plans.skew import salted_join
 from rotaloom.rules import SUPERVISOR_TEAM, Rules
 
 # First word of the header line, supervisor marker, letter dropped
@@ -74,7 +75,8 @@ def parse_games(
 ) -> tuple[DataFrame, DataFrame]:
     """S1.  ``clubs`` has one row per organisation: org_id, club, venue."""
     raw = _fields(lines.filter(~F.col("value").rlike(f'^"?{HEADER_WORD}')), GAME_FIELDS, sep)
-    raw = raw.join(clubs.select("org_id", "club", F.col("venue").alias("own_venue")), "org_id", "left")
+    own = clubs.select("org_id", "club", F.col("venue").alias("own_venue"))
+    raw = salted_join(raw, own, ["org_id"], "left", ["value"], rules.salts)
     home, away, club = _text("home"), _text("away"), F.col("club")
     club_first = home.contains(club)
     own_name = F.when(club_first, home).otherwise(away)
