@@ -45,6 +45,12 @@ class Assignment:
     def uncovered(self) -> DataFrame:
         return self.slots.join(self.roster.select(*SLOT), SLOT, "left_anti")
 
+    def require_complete(self) -> "Assignment":
+        """Fail instead of handing on a roster with open slots."""
+        if not self.uncovered().isEmpty():
+            raise ValueError("some slots could not be filled")
+        return self
+
     def status(self) -> DataFrame:
         """One row per organisation and problem."""
         filled = self.roster.select(*SLOT, F.lit(1).alias("filled"))
@@ -68,6 +74,11 @@ class _State:
     lanes: DataFrame
     workers: DataFrame
     chosen: DataFrame
+    optional: bool = False
+
+    def worthwhile(self, cost: Column) -> Column:
+        """With optional cover a slot is filled only if that lowers the objective."""
+        return cost < 0 if self.optional else F.lit(True)
 
     def open(self) -> DataFrame:
         return self.slots.join(self.chosen.select(*SLOT), SLOT, "left_anti")
@@ -209,7 +220,8 @@ def _propose(state: _State, seed: int, slack: float) -> DataFrame:
     # Without another team the alternative is another member, or nobody at all.
     fallback = F.when(F.col("n_members") == 1, ANY_COST).otherwise(F.col("asked"))
     limit = F.greatest(F.coalesce(F.col("next_best"), fallback), F.col("asked") + slack)
-    fine = _without_clashes(state, proposals.withColumn("fine", exact <= limit).filter("fine"))
+    accepted = proposals.withColumn("fine", (exact <= limit) & state.worthwhile(exact)).filter("fine")
+    fine = _without_clashes(state, accepted)
     if not rules.team_mode:
         per_day = Window.partitionBy(*PERSON, "shift_date").orderBy("turn", "shift_id", "slot_nr")
         fine = fine.withColumn("_nr", F.row_number().over(per_day)).filter("_nr = 1").drop("_nr")
@@ -241,7 +253,7 @@ def _settle(state: _State, seed: int, alone: bool) -> DataFrame:
     ).filter(F.array_contains("free_groups", F.col("coach_of")))
     priced = _without_clashes(state, members).withColumn(
         "asked", added_cost(F.col("rest"), F.col("minutes"), rules) + F.col("cost")
-    )
+    ).filter(state.worthwhile(F.col("asked")))
     # Cheapest members per shift and team, first within spread buckets.
     order = [F.col("asked"), _hash("shift_id", "slot_nr", "person_id", seed), F.col("person_id")]
     spread = F.pmod(F.xxhash64("person_id"), F.lit(rules.salts))
@@ -249,10 +261,12 @@ def _settle(state: _State, seed: int, alone: bool) -> DataFrame:
     bucket = Window.partitionBy(*team, "_salt").orderBy(*order)
     final = Window.partitionBy(*team).orderBy(*order)
     need = F.when(state.coupled() | F.lit(alone), F.col("need")).otherwise(1)
+    width = max(d.n_people for d in rules.duties)
     cheapest = (
         priced.withColumn("_salt", spread)
         .withColumn("_nr", F.row_number().over(bucket))
-        .filter(F.col("_nr") <= need)
+        # A constant limit lets every task drop the rest before the shuffle.
+        .filter(F.col("_nr") <= width)
         .withColumn("_nr", F.row_number().over(final))
         .filter(F.col("_nr") <= need)
     )
@@ -361,8 +375,12 @@ def assign(
     fixed: DataFrame | None = None,
     max_rounds: int = 6,
     improve_rounds: int = 4,
+    cover: str = "exactly_one",
 ) -> Assignment:
-    """Fill every slot of the candidates at low cost under N1 to N4.
+    """Fill the slots of the candidates at low cost under N1 to N4.
+
+    ``cover='exactly_one'`` fills every slot somebody can take; ``at_most_one``
+    fills a slot only where that lowers the objective.
 
     ``cands`` are free candidates with a ``cost`` column and ``workers`` comes
     from ``active_workers``; both should be stage tables.  The driver sees one
@@ -378,7 +396,9 @@ def assign(
             *CHOSEN[:-1], F.lit(True).alias("is_fixed")
         )
         chosen = chosen.unionByName(seeds)
-    state = _State(rules, slots, lanes, workers, materialize(chosen, "chosen"))
+    if cover not in ("exactly_one", "at_most_one"):
+        raise ValueError(f"unknown cover {cover}")
+    state = _State(rules, slots, lanes, workers, materialize(chosen, "chosen"), cover == "at_most_one")
     rounds: list[dict] = []
 
     def accept(step: str, filled: DataFrame) -> int:

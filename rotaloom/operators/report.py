@@ -175,11 +175,17 @@ def stats_lines(person: DataFrame, team: DataFrame, idle: DataFrame) -> DataFram
 
 
 def roster_layout(
-    roster: DataFrame, shifts: DataFrame, games: DataFrame, people: DataFrame, rules: Rules
+    roster: DataFrame,
+    shifts: DataFrame,
+    games: DataFrame,
+    people: DataFrame,
+    rules: Rules,
+    include_unfilled: bool = False,
 ) -> DataFrame:
     """K1: shifts of a day beside the games of that day, row by row.
 
-    ``roster`` includes the parents' slots.  Games of one day are numbered in
+    ``roster`` includes the parents' slots; shifts nobody serves appear only
+    with ``include_unfilled``.  Games of one day are numbered in
     spread buckets, so a crowded day does not end up in a single task.
     """
     day = ["org_id", "shift_date"]
@@ -196,7 +202,7 @@ def roster_layout(
     )
     in_day = Window.partitionBy(*day).orderBy("start_min", "end_min", "duty_type", "shift_id")
     left = (
-        shifts.join(per_shift, SHIFT)
+        shifts.join(per_shift, SHIFT, "left" if include_unfilled else "inner")
         .join(games.select("org_id", F.col("game_date").alias("shift_date")).distinct(), day, "left_semi")
         .select(
             *day,

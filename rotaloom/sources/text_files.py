@@ -46,7 +46,8 @@ def _fields(lines: DataFrame, names: list[str], sep: str) -> DataFrame:
     schema = ", ".join(f"`{n}` string" for n in names)
     parsed = F.from_csv(plain, schema, {"sep": sep, "quote": '"', "mode": "PERMISSIVE"})
     rest = [c for c in lines.columns if c != "value"]
-    return lines.select(*rest, "value", parsed.alias("f"))
+    # The generator keeps later filters from parsing the line again per field.
+    return lines.select(*rest, "value", F.explode(F.array(parsed)).alias("f"))
 
 
 def _text(name: str) -> Column:

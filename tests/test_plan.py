@@ -63,6 +63,17 @@ def test_uncoverable_slot_is_reported(spark):
     assert tuples(run.status(), "n_slots", "n_filled", "status") == [(2, 1, "partial")]
 
 
+def test_optional_cover_skips_what_does_not_pay(spark):
+    cands = make_cands(spark, [(600, 780), (800, 860)], 1, 1)
+    # Owing 180 minutes pays for the long shift; the short one would only add cost.
+    run = A.assign(cands, make_workers(spark, [180]), TEAM, improve_rounds=1, cover="at_most_one")
+    assert tuples(run.roster, "shift_id") == [("s0",)]
+    with pytest.raises(ValueError, match="could not be filled"):
+        run.require_complete()
+    full = A.assign(cands, make_workers(spark, [180]), TEAM, improve_rounds=1).require_complete()
+    assert full.roster.count() == 2
+
+
 def test_fixed_slot_is_kept(spark):
     cands = make_cands(spark, [(660, 780), (800, 900)], 1, 3)
     fixed = spark.createDataFrame([(1, "s0", 0, 2)], "org_id int, shift_id string, slot_nr int, person_id long")
@@ -212,6 +223,15 @@ def test_layout_pads_the_shorter_side(make_games, make_persons):
     ]
 
 
+def test_layout_can_show_unfilled_shifts(make_games, make_persons):
+    games = make_games((1, "2000-01-08", "16:00", True, "M2"))
+    season = Season(games, make_persons((1, 1, "M1", 0, None)), TEAM)
+    full = season.full(season.simple_roster)
+    count = lambda **o: report.roster_layout(
+        full, season.shifts, games, season.people, TEAM, **o).filter("duty_type = 'Aufsicht'").count()
+    assert (count(), count(include_unfilled=True)) == (0, 1)
+
+
 def test_statistics_sections(make_games, make_persons):
     games = make_games((1, "2000-01-08", "16:00", True, "M2"), (1, "2000-01-09", "10:00", True, "gE1"))
     persons = make_persons((1, 1, "M1", 30, None), (1, 2, "Aufsicht", 15, None), (1, 3, "Aufsicht", 60, None))
