@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rotaloom.functions import dates as D
 from rotaloom.functions import intervals as I
-from rotaloom.operators import availability, candidates, disjoin, model, people, report, score, shifts
+from rotaloom.operators import availability, candidates, disjoin, model, report, score, shifts
 from rotaloom.plans.season import Season
 from rotaloom.rules import Rules
 from rotaloom.sources import text_files, views

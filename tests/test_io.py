@@ -10,8 +10,8 @@ from rotaloom.sources import text_files as X
 
 RULES = Rules()
 GAMES = """Nummer;Staffel;Datum;Zeit;Halle;Heim;Gast;Hallenname
-1001;F-LL;08.01.2000;16:00;4066;SC Example 2;TV Other;Hall A
-1002;mJA-KL;08.01.2000;18:00;4066;SC Example;SG Dritte Fünf;Hall A
+1001;F-LL;08.01.2000;16:00;H1;SC Example 2;TV Other;Hall A
+1002;mJA-KL;08.01.2000;18:00;H1;SC Example;SG Dritte Fünf;Hall A
 1003;M-BK;09.01.2000;17:30;9999;TSV Fourth;SC Example;Hall B
 1004;M-BK;09.01.2000;17:30;9999;TSV Fourth;TV Other;Hall B
 bad line
@@ -29,7 +29,7 @@ Hal Eta;M1;;
 
 @pytest.fixture
 def clubs(spark):
-    return spark.createDataFrame([(1, "SC Example", "4066")], "org_id int, club string, venue string")
+    return spark.createDataFrame([(1, "SC Example", "H1")], "org_id int, club string, venue string")
 
 
 def write(folder, text, charset):
@@ -54,7 +54,7 @@ def test_games(spark, clubs, tmp_path):
 
 def test_comma_separated_games(spark, clubs):
     lines = spark.createDataFrame(
-        [(1, '"1001","F-LL","08.01.2000","16:00","4066","SC Example 2","TV Other","Hall, A"')],
+        [(1, '"1001","F-LL","08.01.2000","16:00","H1","SC Example 2","TV Other","Hall, A"')],
         "org_id int, value string",
     )
     rows, rejects = X.parse_games(lines, clubs, RULES, sep=",")
