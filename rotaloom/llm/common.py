@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,11 @@ from rotaloom.plans.scratch import materialize
 WHITE = " \t\n\x0b\f\r"
 CHUNK_BYTES = 1 << 20
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
+_SECOND_BASE = 0xD6E8FEB86659FD93 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
 
-__all__ = ["WHITE", "documents", "materialize", "text_or_empty", "chunks", "word_spans", "word_hashes", "gram_hashes"]
+__all__ = ["WHITE", "documents", "materialize", "text_or_empty", "chunks", "word_spans", "word_hashes", "gram_hashes", "distinct_words"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +71,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Whole texts, about ``CHUNK_BYTES`` at a time: first index, bytes, text offsets.  Null counts as empty."""
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Whole texts, about ``most`` bytes at a time: first index, bytes, text offsets.  Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -81,7 +83,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
         last = min(max(last, first + 1), n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
@@ -103,12 +105,40 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BYTE_BASE) -> np.ndarray:
     """A 64-bit hash of the bytes of each word."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * powers(_BYTE_BASE, len(data)), out=total[1:])
-    shifted = (total[ends] - total[starts]) * powers(_BYTE_BASE, len(data) + 1, inverse=True)[starts]
-    return mix(shifted ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    out = np.empty(len(starts), np.uint64)
+    # Stretches of whole words, so that the tables of powers stay small.
+    first = 0
+    while first < len(starts):
+        origin = int(starts[first])
+        last = max(int(np.searchsorted(ends, origin + CHUNK_BYTES, side="right")), first + 1)
+        piece = data[origin : int(ends[last - 1])]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[piece] * powers(base, len(piece)), out=total[1:])
+        low, high = starts[first:last] - origin, ends[first:last] - origin
+        shifted = (total[high] - total[low]) * powers(base, len(piece) + 1, inverse=True)[low]
+        out[first:last] = mix(shifted ^ ((high - low).astype(np.uint64) << np.uint64(48)))
+        first = last
+    return out
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each word, equal for equal words, and for each code the index of a word that has it.
+
+    Words are told apart by two independent 64-bit hashes.
+    """
+    hashes = word_hashes(data, starts, ends)
+    codes, values = pd.factorize(hashes)
+    first = np.empty(len(values), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    second = word_hashes(data, starts, ends, _SECOND_BASE)
+    if len(codes) and (second != second[first[codes]]).any():
+        pairs = pd.MultiIndex.from_arrays([hashes, second])
+        codes, values = pd.factorize(pairs)
+        first = np.empty(len(values), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, first
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

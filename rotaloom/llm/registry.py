@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaloom.llm import exact_dedup, mixing
+from rotaloom.llm import exact_dedup, mixing, token_binary
 from rotaloom.llm.common import documents
+from rotaloom.plans.scratch import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the box keeps its public tokenizers; any other path works as well."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{folder(spark)}/rotaloom/tokens-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    token_binary.write_tokens(docs, path, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return token_binary.read_documents(spark, path)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -26,6 +42,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_binary": op1_token_binary,
         "op2_exact_dedup": op2_exact_dedup,
         "op8_mixing": op8_mixing,
     }
