@@ -7,7 +7,10 @@ so results do not depend on partitions, batches or retries.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -24,13 +27,36 @@ _SECOND_BASE = 0xD6E8FEB86659FD93 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
 
-__all__ = ["WHITE", "documents", "materialize", "text_or_empty", "chunks", "word_spans", "word_hashes", "gram_hashes", "distinct_words"]
+__all__ = ["WHITE", "documents", "materialize", "map_arrow", "ship", "text_or_empty", "chunks", "word_spans", "word_hashes", "gram_hashes", "distinct_words"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="rotaloom-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInArrow with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

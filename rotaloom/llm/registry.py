@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaloom.llm import exact_dedup, mixing, token_binary
+from rotaloom.llm import exact_dedup, group_join, mixing, quality, token_binary
 from rotaloom.llm.common import documents
 from rotaloom.plans.scratch import folder
 
@@ -33,6 +33,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = group_join.jaccard_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return planned.select(
@@ -44,5 +53,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_binary": op1_token_binary,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_quality_rules": op4_quality_rules,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_mixing": op8_mixing,
     }

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rotaloom.llm.common import chunks, distinct_words, word_spans
+from rotaloom.llm.common import chunks, distinct_words, map_arrow, word_spans
 
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20
@@ -267,7 +267,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(segments, STORE).write.option("compression", "none").parquet(path)
+    map_arrow(rows, segments, STORE).write.option("compression", "none").parquet(path)
 
 
 def store(spark: SparkSession, path: str) -> DataFrame:
@@ -299,7 +299,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     rows = store(spark, path)
-    docs = rows.select("shard", "segment", "doc_ids", "doc_lengths", "image").mapInArrow(unpacked, READ)
+    docs = map_arrow(rows.select("shard", "segment", "doc_ids", "doc_lengths", "image"), unpacked, READ)
     return docs.join(starts(rows), ["shard", "segment"]).select(
         "doc_id", (F.col("first_id") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
     )
