@@ -25,9 +25,8 @@ CHUNK_BYTES = 1 << 20
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _SECOND_BASE = 0xD6E8FEB86659FD93 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
-_MASK = (1 << 64) - 1
 
-__all__ = ["WHITE", "documents", "materialize", "map_arrow", "ship", "text_or_empty", "chunks", "word_spans", "word_hashes", "gram_hashes", "distinct_words"]
+__all__ = ["WHITE", "documents", "materialize", "map_arrow", "ship", "text_or_empty", "chunks", "word_spans", "span_hashes", "word_hashes", "gram_hashes", "distinct_words"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,17 +130,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BYTE_BASE) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of the items of each span, given a random value for every item."""
     out = np.empty(len(starts), np.uint64)
-    # Stretches of whole words, so that the tables of powers stay small.
+    # Stretches of whole spans, so that the tables of powers stay small.
     first = 0
     while first < len(starts):
         origin = int(starts[first])
         last = max(int(np.searchsorted(ends, origin + CHUNK_BYTES, side="right")), first + 1)
-        piece = data[origin : int(ends[last - 1])]
+        piece = values[origin : int(ends[last - 1])]
         total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[piece] * powers(base, len(piece)), out=total[1:])
+        np.cumsum(piece * powers(base, len(piece)), out=total[1:])
         low, high = starts[first:last] - origin, ends[first:last] - origin
         shifted = (total[high] - total[low]) * powers(base, len(piece) + 1, inverse=True)[low]
         out[first:last] = mix(shifted ^ ((high - low).astype(np.uint64) << np.uint64(48)))
@@ -149,6 +148,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return out
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BYTE_BASE) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word."""
+    return span_hashes(_BYTE_VALUES[data], starts, ends, base)
+
+
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A code for each word, equal for equal words, and for each code the index of a word that has it.
 

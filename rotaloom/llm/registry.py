@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaloom.llm import exact_dedup, group_join, mixing, quality, token_binary
+from rotaloom.llm import (
+    exact_dedup,
+    group_join,
+    language_id,
+    main_text,
+    mixing,
+    personal_data,
+    pieces,
+    quality,
+    token_binary,
+)
 from rotaloom.llm.common import documents
 from rotaloom.plans.scratch import folder
 
@@ -37,6 +47,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pieces.round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = group_join.jaccard_groups(documents(spark, sf_dir).select("doc_id", "text"))
     return groups.select("doc_id", "n_shingles", "component_id")
@@ -49,11 +68,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_binary": op1_token_binary,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op5_language_id": op5_language_id,
+        "op6_pieces": op6_pieces,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_mixing": op8_mixing,
+        "op9_main_text": op9_main_text,
+        "op10_personal_data": op10_personal_data,
     }
