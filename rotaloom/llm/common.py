@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _SECOND_BASE = 0xD6E8FEB86659FD93 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 
-__all__ = ["WHITE", "documents", "materialize", "map_arrow", "ship", "text_or_empty", "chunks", "word_spans", "span_hashes", "word_hashes", "gram_hashes", "distinct_words"]
+__all__ = ["WHITE", "documents", "materialize", "map_arrow", "ship", "text_or_empty", "pack", "chunks", "slices", "word_spans", "span_hashes", "word_hashes", "gram_hashes", "distinct_words"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The needed columns beside one struct of all others, and the columns that restore ``docs``.
+
+    So an operator's helper columns cannot clash with columns that it passes through.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    packed = docs.select(*[F.col(f"`{c}`") for c in needed], rest.alias("_rest"))
+    place = {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(others)}
+    return packed, [place.get(c, F.col(f"`{c}`")) for c in docs.columns]
+
+
 _BYTE_VALUES = mix((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
@@ -114,6 +126,18 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.n
         first = last
 
 
+def slices(array: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        base = ends[first] - sizes[first]
+        last = max(int(np.searchsorted(ends, base + most, side="right")), first + 1)
+        yield first, last
+        first = last
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of each word, and the range of words of each text."""
     solid = (data > 32) | (data < 9) | ((data > 13) & (data < 32))
@@ -158,6 +182,8 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
     Words are told apart by two independent 64-bit hashes.
     """
+    import pandas as pd
+
     hashes = word_hashes(data, starts, ends)
     codes, values = pd.factorize(hashes)
     first = np.empty(len(values), np.int64)

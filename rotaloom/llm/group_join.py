@@ -29,17 +29,26 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaloom.llm.common import chunks, gram_hashes, map_arrow, materialize, text_or_empty, word_hashes, word_spans
+from rotaloom.llm.common import (
+    chunks,
+    gram_hashes,
+    map_arrow,
+    materialize,
+    pack,
+    slices,
+    text_or_empty,
+    word_hashes,
+    word_spans,
+)
 from rotaloom.llm.components import components
 
 GRAM, PERCENT = 3, 90
 CELLS = 64
-LOCAL_COUNT = 4
+LOCAL_BYTES, LOCAL_COUNT = 8 << 20, 3
 FREQUENT_GRAMS = 50_000
 BROADCAST_ROWS = 500_000
 SALTS = 8
@@ -78,19 +87,21 @@ def needed(n, percent: int = PERCENT):
 def _frequent(docs: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The grams that most documents hold, sorted, with their rank; at most FREQUENT_GRAMS.
 
-    Tasks report grams that LOCAL_COUNT different sets of one batch hold.
+    Tasks report grams that LOCAL_COUNT different sets among LOCAL_BYTES of text hold.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unlike = {s.tobytes(): s for s in gram_sets(batch.column(0), gram) if len(s)}
-            if not unlike:
-                continue
-            found, n = np.unique(np.concatenate(list(unlike.values())), return_counts=True)
-            often = n >= LOCAL_COUNT
-            yield pa.record_batch(
-                [pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["gram", "n"]
-            )
+            for low, high in slices(batch.column(0), LOCAL_BYTES):
+                sets = gram_sets(batch.column(0).slice(low, high - low), gram)
+                unlike = {hashlib.blake2b(s.tobytes(), digest_size=16).digest(): s for s in sets if len(s)}
+                if not unlike:
+                    continue
+                found, n = np.unique(np.concatenate(list(unlike.values())), return_counts=True)
+                often = n >= LOCAL_COUNT
+                yield pa.record_batch(
+                    [pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["gram", "n"]
+                )
 
     counted = map_arrow(docs.select("text"), local, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).collect()
@@ -209,11 +220,16 @@ def _matrix(groups: DataFrame, members: DataFrame, sizes: DataFrame, texts: Data
     single = sizes.join(groups, sizes.node == groups.comp).join(members.select("comp").distinct(), "comp", "left_anti")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, (low, high) in ((b, part) for b in batches for part in slices(b.column(1), LOCAL_BYTES)):
+            batch = whole.slice(low, high - low)
             sets = list(gram_sets(batch.column(1), gram))
             comps = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-            frame = pd.DataFrame({"comp": comps, "gram": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)})
-            yield pa.RecordBatch.from_pandas(frame.drop_duplicates(), preserve_index=False)
+            grams = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            order = np.lexsort((grams, comps))
+            grams, comps = grams[order], comps[order]
+            new = np.ones(len(grams), bool)
+            new[1:] = (grams[1:] != grams[:-1]) | (comps[1:] != comps[:-1])
+            yield pa.record_batch([pa.array(comps[new]), pa.array(grams[new])], names=["comp", "gram"])
 
     grams = map_arrow(of_group.join(texts, "node").select("comp", "text"), exploded, "comp long, gram long").distinct()
     cells = grams.groupBy("comp", F.shiftrightunsigned("gram", 58).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
@@ -287,7 +303,7 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
     asked = met.join(groups, "gram").filter(F.col("group") < F.col("comp")).filter(fits)
     asked = materialize(asked.select("node", F.col("group").alias("comp")).distinct(), "asked")
-    matrix = _matrix(asked.select("comp").distinct(), members, sizes, texts, gram)
+    matrix = materialize(_matrix(asked.select("comp").distinct(), members, sizes, texts, gram), "matrix")
     opened = materialize(_open_groups(asked, matrix, sizes, percent), "opened")
     inside = members.select("comp", F.col("node").alias("b")).union(
         opened.select("comp", F.col("comp").alias("b")).distinct()
@@ -333,9 +349,10 @@ def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) ->
 def keep_one(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that speak for their group, with all their columns."""
     told = jaccard_groups(docs, gram, percent)
-    dropped = materialize(
-        told.filter("not is_first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(),
-        "dropped",
+    dropped = told.filter("not is_first").select(
+        F.col("doc_id").alias("_dropped_id"), F.col("text_hash").alias("_dropped_hash")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))
-    return docs.join(dropped, same, "left_anti")
+    dropped = materialize(dropped.distinct(), "dropped")
+    packed, restored = pack(docs, ["doc_id", "text"])
+    same = F.col("doc_id").eqNullSafe(F.col("_dropped_id")) & (F.xxhash64(text_or_empty()) == F.col("_dropped_hash"))
+    return packed.join(dropped, same, "left_anti").select(*restored)

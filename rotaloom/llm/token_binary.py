@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rotaloom.llm.common import chunks, distinct_words, map_arrow, word_spans
+from rotaloom.llm.common import chunks, distinct_words, map_arrow, slices, word_spans
 
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20
@@ -200,18 +199,6 @@ def encoder(definition: bytes) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def slices(array: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes of text."""
-    sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    first = 0
-    while first < len(sizes):
-        base = ends[first] - sizes[first]
-        last = max(int(np.searchsorted(ends, base + most, side="right")), first + 1)
-        yield first, last
-        first = last
-
-
 # -- the store ---------------------------------------------------------------
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write a token store at ``path``, in ascending doc_id order.
@@ -242,7 +229,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
         for batch in batches:
-            for low, high in slices(batch.column(1)):
+            for low, high in slices(batch.column(1), SLICE_BYTES):
                 part, counts = worker.encode(batch.column(1).slice(low, high - low), end_id)
                 doc_ids = batch.column(0).slice(low, high - low).to_pylist()
                 # Cut the slice wherever the open segment is full.
