@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rotaloom.llm import (
     exact_dedup,
     group_join,
@@ -17,6 +18,7 @@ from rotaloom.llm import (
     personal_data,
     pieces,
     quality,
+    substring_dedup,
     token_binary,
 )
 from rotaloom.llm.common import documents
@@ -43,6 +45,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
 
@@ -76,10 +82,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_binary": op1_token_binary,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_language_id": op5_language_id,
         "op6_pieces": op6_pieces,
@@ -87,4 +98,5 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_main_text": op9_main_text,
         "op10_personal_data": op10_personal_data,
+        "pipeline": pipeline,
     }
