@@ -529,7 +529,7 @@ def sql() -> dict[str, str]:
         f"{clock.format('s.start_min')} as from_time, {clock.format('s.end_min')} as to_time, s.duty_type, x.team_code, "
         f"s.n_people, {shown} from shifts s join per_shift x on x.org_id = s.org_id and x.shift_id = s.shift_id), "
         "rs AS (select org_id, game_date as shift_date, row_number() over (partition by org_id, game_date "
-        "order by case when is_home then 0 else 1 end, start_min, game_id % 16, game_id) as row_nr, "
+        "order by case when is_home then 0 else 1 end, start_min, game_id) as row_nr, "
         f"{clock.format('start_min')} as game_time, league, home, away from games g where exists ("
         "select 1 from ls where ls.org_id = g.org_id and ls.shift_date = g.game_date)), "
         "wide AS (select coalesce(l.org_id, r.org_id) as org_id, coalesce(l.shift_date, r.shift_date) as shift_date, "
@@ -573,8 +573,7 @@ def sql() -> dict[str, str]:
         "select org_id, 'unknown team' as reason, count(*) as n_rows from games where team_nr = '' group by org_id"
     )
     q["ingest_fixed"] = statement(
-        f"select f.org_id, {_D.format('f.shift_date')} as shift_date, f.start_min % 1440 as start_min, "
-        "f.end_min % 1440 as end_min, f.duty_type, f.team_code, w.name, f.slot_nr from filled f "
+        f"select f.org_id, {_D.format('f.shift_date')} as shift_date, f.start_min, f.end_min, f.duty_type, f.team_code, w.name, f.slot_nr from filled f "
         "join workers w on w.org_id = f.org_id and w.person_id = f.person_id", team_mode=False,
     )
     q["season_window"] = statement(

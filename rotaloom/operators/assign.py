@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from rotaloom.operators.candidates import CLASS, SHIFT, open_slots, with_class
 from rotaloom.operators.score import PERSON
-from rotaloom.plans.scratch import materialize
-from rotaloom.plans.skew import salted_join, spread_row_number
+from rotaloom.plans.scratch import Scratch
+from rotaloom.plans.skew import spread_row_number
 from rotaloom.rules import Rules
 
 LANE = ["org_id", "problem", "team_code"]
@@ -31,6 +31,8 @@ SLOT = [*SHIFT, "slot_nr"]
 UNIT = ["org_id", "problem", "shift_id", "shift_date", "start_min", "end_min", "minutes", "n_slots"]
 CHOSEN = ["org_id", "problem", "shift_id", "slot_nr", "person_id", "is_fixed"]
 ANY_COST = 1e18
+# A round that fills less than one in FEW open slots widens the tolerance, fourfold up to LAST_SLACK.
+FEW, FIRST_SLACK, LAST_SLACK = 4, 30.0, 30.0 * 4**5
 
 
 @dataclass
@@ -74,8 +76,21 @@ class _State:
     lanes: DataFrame
     workers: DataFrame
     chosen: DataFrame
+    scratch: Scratch
     optional: bool = False
 
+    def replace_chosen(self, chosen: DataFrame) -> None:
+        """Write the new roster and delete the one it supersedes."""
+        old = self.scratch.paths.get("chosen")
+        self.chosen = self.scratch.keep(chosen, "chosen", "chosen")
+        if old:
+            self.scratch.paths["old"] = old
+            self.scratch.remove("old")
+
+    def stage_rested(self) -> DataFrame:
+        """``rested`` as a table, for the several uses of one round."""
+        return self.scratch.keep(self.rested(), "rested", "rested")
+
     def worthwhile(self, cost: Column) -> Column:
         """With optional cover a slot is filled only if that lowers the objective."""
         return cost < 0 if self.optional else F.lit(True)
@@ -175,8 +190,8 @@ def _ranked(state: _State, rested: DataFrame, seed: int) -> DataFrame:
         rested,
         LANE,
         [-F.floor(F.col("rest") / 30)],
-        F.pmod(_hash("person_id", seed), F.lit(state.rules.salts)),
-        [F.desc("rest"), F.col("person_id")],
+        F.shiftright(_hash("person_id", seed), 52),
+        [_hash("person_id", seed), F.col("person_id")],
         "position",
     )
 
@@ -185,7 +200,7 @@ def _propose(state: _State, seed: int, slack: float) -> DataFrame:
     """One round: every open shift asks its cheapest team; returns the accepted slots."""
     rules = state.rules
     open_ = state.open()
-    rested = state.rested()
+    rested = state.stage_rested()
     heads = rested.groupBy(*LANE).agg(F.max("rest").alias("head_rest"), F.count(F.lit(1)).alias("n_members"))
     asking = _eligible(state, _units(state, open_)).join(heads, LANE).withColumn(
         "asked", added_cost(F.col("head_rest"), F.col("minutes"), rules) + F.col("cost")
@@ -233,24 +248,26 @@ def _propose(state: _State, seed: int, slack: float) -> DataFrame:
 
 
 def _settle(state: _State, seed: int, alone: bool) -> DataFrame:
-    """Exact pass for the few shifts the rounds left open.
-
-    Looks at every member of every possible team, keeps the cheapest complete
-    staffing per shift and accepts the shifts that come first for all members
-    they want.  ``alone`` fills single slots from teams that offer one member
-    only, which the team rule does not bind.
+    """Exact pass for the shifts the rounds left open.
+
+    The penalty is convex, so the cheapest members of a class are those with the
+    largest shortfall.  A shift therefore looks only at the first ``need`` members of
+    each class and as many more as have a duty on that day; what it reads is bounded
+    by the shifts and not by the members.  The cheapest complete staffing per shift
+    is kept, and shifts that come first for all members they want are accepted.
+    ``alone`` fills single slots from teams that offer one member only, which the
+    team rule does not bind.
     """
     rules = state.rules
     open_ = state.open()
+    rested = state.stage_rested()
     if alone:
         units = open_.withColumn("need", F.lit(1)).withColumn("anchor", F.lit(None).cast("string"))
         pairs = units.join(state.lanes.filter("n_free = 1"), SHIFT)
     else:
         units = _units(state, open_).withColumn("slot_nr", F.lit(-1))
         pairs = _eligible(state, units)
-    members = salted_join(
-        state.rested(), pairs, LANE, "inner", ["person_id"], rules.salts
-    ).filter(F.array_contains("free_groups", F.col("coach_of")))
+    members = _first_members(state, pairs, rested)
     priced = _without_clashes(state, members).withColumn(
         "asked", added_cost(F.col("rest"), F.col("minutes"), rules) + F.col("cost")
     ).filter(state.worthwhile(F.col("asked")))
@@ -296,6 +313,35 @@ def _settle(state: _State, seed: int, alone: bool) -> DataFrame:
     )
 
 
+def _first_members(state: _State, pairs: DataFrame, rested: DataFrame) -> DataFrame:
+    """Open shifts with the members of each free class who may be among its cheapest."""
+    group = [*LANE, "coach_of"]
+    ranked = spread_row_number(
+        rested,
+        group,
+        [-F.floor(F.col("rest"))],
+        F.shiftright(F.xxhash64("person_id"), 52),
+        [F.desc("rest"), F.col("person_id")],
+        "position",
+    )
+    sizes = rested.groupBy(*group).agg(F.count(F.lit(1)).alias("n_class"))
+    busy = (
+        state.held()
+        .join(rested.select(*PERSON, "team_code", "coach_of"), PERSON)
+        .groupBy(*group, "shift_date")
+        .agg(F.count_distinct("person_id").alias("n_busy"))
+    )
+    asked = (
+        pairs.withColumn("coach_of", F.explode("free_groups"))
+        .join(sizes, group)
+        .join(busy, [*group, "shift_date"], "left")
+        .withColumn("_most", F.least(F.col("need") + F.coalesce("n_busy", F.lit(0)), F.col("n_class")))
+        .withColumn("position", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most").cast("long"))))
+        .drop("n_class", "n_busy", "_most")
+    )
+    return asked.join(ranked, [*group, "position"]).drop("position")
+
+
 def _improve(state: _State, seed: int) -> DataFrame:
     """One improvement round: slots whose transfer to another member pays off.
 
@@ -303,7 +349,7 @@ def _improve(state: _State, seed: int) -> DataFrame:
     not interfere.  Shifts bound to one team move between its members only.
     """
     rules = state.rules
-    rested = state.rested().withColumn("takes", F.pmod(_hash("person_id", seed), F.lit(2)) == 1)
+    rested = state.stage_rested().withColumn("takes", F.pmod(_hash("person_id", seed), F.lit(2)) == 1)
     givers = rested.filter("not takes").select(
         *PERSON, F.col("team_code").alias("old_team"), F.col("rest").alias("old_rest")
     )
@@ -361,11 +407,19 @@ def _improve(state: _State, seed: int) -> DataFrame:
     return moves.withColumn("gain", gain).filter("gain > 1e-6").select(*SLOT, "person_id", "gain")
 
 
-def _slack(round_nr: int, max_rounds: int) -> float:
-    """Tolerance over the asked cost: none at first, then growing, unlimited in the last round."""
-    if round_nr >= max_rounds:
-        return ANY_COST
-    return 0.0 if round_nr <= 2 else 30.0 * 4 ** (round_nr - 3)
+def next_slack(slack: float, filled: int, left: int) -> float:
+    """Tolerance over the asked cost of the next round: it grows while a round fills little of what is open."""
+    if filled * FEW >= left:
+        return slack
+    return slack * 4 if slack else FIRST_SLACK
+
+
+def _objective(state: _State) -> float:
+    """Balance penalty and proximity of the current choice, over all organisations."""
+    rested = state.rested().agg(F.sum(_penalty(F.col("rest"), state.rules))).first()[0]
+    teams = state.workers.select(*PERSON, "team_code")
+    near = state.held().join(teams, PERSON).join(state.lanes.select(*SHIFT, "team_code", "cost"), [*SHIFT, "team_code"])
+    return float(rested or 0) + float(near.agg(F.sum("cost")).first()[0] or 0)
 
 
 def assign(
@@ -373,12 +427,15 @@ def assign(
     workers: DataFrame,
     rules: Rules,
     fixed: DataFrame | None = None,
-    max_rounds: int = 6,
-    improve_rounds: int = 4,
+    least_gain: float = 0.01,
     cover: str = "exactly_one",
 ) -> Assignment:
     """Fill the slots of the candidates at low cost under N1 to N4.
 
+    Rounds go on while they fill slots, with a tolerance that grows as they fill
+    fewer.  Improvement goes on until a round gains less than ``least_gain`` of the
+    objective, or until two rounds in a row find nothing.
+
     ``cover='exactly_one'`` fills every slot somebody can take; ``at_most_one``
     fills a slot only where that lowers the objective.
 
@@ -386,56 +443,63 @@ def assign(
     from ``active_workers``; both should be stage tables.  The driver sees one
     number per round, the count of newly filled or moved slots.
     """
-    lanes = materialize(_lanes(cands), "lanes")
-    slots = materialize(open_slots(cands).select(*UNIT, "slot_nr"), "slots")
+    scratch = Scratch(cands.sparkSession)
+    lanes = scratch.keep(_lanes(cands), "lanes", "lanes")
+    slots = scratch.keep(open_slots(cands).select(*UNIT, "slot_nr"), "slots", "slots")
     chosen = slots.limit(0).select(
         *CHOSEN[:-2], F.lit(None).cast("long").alias("person_id"), F.lit(False).alias("is_fixed")
     )
     if fixed is not None:
-        seeds = slots.join(fixed.select(*SLOT, "person_id"), SLOT).select(
-            *CHOSEN[:-1], F.lit(True).alias("is_fixed")
-        )
+        one = fixed.groupBy(*SLOT).agg(F.min("person_id").alias("person_id"))
+        seeds = slots.join(one, SLOT).select(*CHOSEN[:-1], F.lit(True).alias("is_fixed"))
         chosen = chosen.unionByName(seeds)
     if cover not in ("exactly_one", "at_most_one"):
         raise ValueError(f"unknown cover {cover}")
-    state = _State(rules, slots, lanes, workers, materialize(chosen, "chosen"), cover == "at_most_one")
+    state = _State(rules, slots, lanes, workers, chosen, scratch, cover == "at_most_one")
+    state.replace_chosen(chosen)
     rounds: list[dict] = []
 
     def accept(step: str, filled: DataFrame) -> int:
-        filled = materialize(filled, "accepted")
+        filled = scratch.keep(filled, "accepted", "accepted")
         n = filled.count()
         rounds.append({"step": step, "slots": n})
         if n:
-            state.chosen = materialize(state.chosen.unionByName(filled), "chosen")
+            state.replace_chosen(state.chosen.unionByName(filled))
+        scratch.remove("accepted", "rested")
         return n
 
+    # Every round but the last of each loop fills or moves something, and the
+    # tolerance grows whenever it fills little, so the loops end.
     total = slots.count()
     done = state.chosen.count()
-    for round_nr in range(1, max_rounds + 1):
-        if done >= total:
-            break
-        done += accept("propose", _propose(state, round_nr, _slack(round_nr, max_rounds)))
+    seed, slack = 0, 0.0
+    while done < total and slack <= LAST_SLACK:
+        seed += 1
+        filled = accept("propose", _propose(state, seed, slack))
+        slack = next_slack(slack, filled, total - done)
+        done += filled
     for alone in (False,) if rules.team_mode else (False, True):
-        seed = max_rounds
         while done < total:
             seed += 1
             n = accept("single" if alone else "settle", _settle(state, seed, alone))
             done += n
             if n == 0:
                 break
-    for round_nr in range(1, improve_rounds + 1):
-        moves = materialize(_improve(state, 1000 + round_nr), "moves")
+    objective = _objective(state)
+    quiet, seed = 0, 1000
+    while quiet < 2:
+        seed += 1
+        moves = scratch.keep(_improve(state, seed), "moves", "moves")
         n, gain = moves.agg(F.count(F.lit(1)), F.coalesce(F.sum("gain"), F.lit(0.0))).first()
         rounds.append({"step": "improve", "slots": n, "gain": gain})
-        if n == 0:
-            # Givers and takers swap at random; two quiet rounds in a row end the search.
-            if len(rounds) > 1 and rounds[-2]["step"] == "improve" and rounds[-2]["slots"] == 0:
-                break
-            continue
-        kept = state.chosen.join(moves.select(*SLOT, F.col("person_id").alias("_new")), SLOT, "left")
-        state.chosen = materialize(
-            kept.withColumn("person_id", F.coalesce("_new", "person_id")).select(*CHOSEN), "chosen"
-        )
+        if n:
+            kept = state.chosen.join(moves.select(*SLOT, F.col("person_id").alias("_new")), SLOT, "left")
+            state.replace_chosen(kept.withColumn("person_id", F.coalesce("_new", "person_id")).select(*CHOSEN))
+        scratch.remove("moves", "rested")
+        # Givers and takers swap at random, so one quiet round may be bad luck.
+        quiet = quiet + 1 if gain <= least_gain * abs(objective) else 0
+        objective -= gain
+    scratch.remove("lanes")
     return Assignment(state.chosen, slots, workers, rounds)
 
 

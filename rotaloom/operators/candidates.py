@@ -76,7 +76,7 @@ def member_shifts(shifts: DataFrame) -> DataFrame:
 def candidates(shifts: DataFrame, persons: DataFrame, windows: DataFrame, rules: Rules) -> DataFrame:
     """G1: every shift with every class allowed to take it and free at that time."""
     spark = shifts.sparkSession
-    dim = F.broadcast(rules.dim_team(spark).select("team_code", "work_from", "work_to"))
+    dim = rules.dim_team(spark).select("team_code", "work_from", "work_to")
     classes = worker_classes(persons).join(dim, "team_code")
     allowed = (
         member_shifts(shifts)
@@ -210,23 +210,30 @@ def merge_fixed(
 
     ``fixed`` holds org_id, shift_date, start_min, end_min, duty_type, team_code,
     name and slot_nr.  Each row is looked up, so the work grows with the fixed
-    rows and not with the candidates.
+    rows and not with the candidates.  A name that several members of a team have,
+    a time at which several such shifts run, and a slot fixed for several persons
+    are rejects; the returned assignments fill each slot once.
     """
-    members = with_class(persons).select(*CLASS, "person_id", "name")
-    resolved = fixed.join(members, ["org_id", "team_code", "name"], "left")
-    offered = cands.select(
-        *SHIFT, "shift_date", "start_min", "end_min", "duty_type", *CLASS[1:], "n_slots"
+    named = with_class(persons).groupBy("org_id", "team_code", "name").agg(
+        F.count(F.lit(1)).alias("_named"),
+        *[F.min(c).alias(c) for c in ("person_id", "is_supervisor", "coach_of")],
     )
-    matched = resolved.join(
-        offered,
-        ["org_id", "shift_date", "start_min", "end_min", "duty_type", "team_code", "is_supervisor", "coach_of"],
-        "left",
-    ).withColumn(
+    resolved = fixed.join(named, ["org_id", "team_code", "name"], "left")
+    times = ["org_id", "shift_date", "start_min", "end_min", "duty_type", *CLASS[1:]]
+    offered = cands.groupBy(*times).agg(
+        F.count_distinct("shift_id").alias("_shifts"), F.min("shift_id").alias("shift_id"), F.max("n_slots").alias("n_slots")
+    )
+    matched = resolved.join(offered, times, "left").withColumn(
         "reason",
-        F.when(F.col("person_id").isNull(), "person not found").when(
-            F.col("shift_id").isNull() | (F.col("slot_nr") >= F.col("n_slots")), "no such candidate"
-        ),
+        F.when(F.col("person_id").isNull(), "person not found")
+        .when(F.col("_named") > 1, "ambiguous name")
+        .when(F.col("shift_id").isNull() | (F.col("slot_nr") >= F.col("n_slots")), "no such candidate")
+        .when(F.col("_shifts") > 1, "ambiguous shift"),
     )
+    good = F.col("reason").isNull()
+    slot = Window.partitionBy(*SHIFT, "slot_nr", good)
+    clash = F.min("person_id").over(slot) != F.max("person_id").over(slot)
+    matched = matched.withColumn("reason", F.when(good & clash, "slot fixed twice").otherwise(F.col("reason")))
     assignments = matched.filter("reason is null").select(
         *SHIFT, F.col("slot_nr").cast("int").alias("slot_nr"), "person_id", F.lit(True).alias("is_fixed")
     )
@@ -234,12 +241,15 @@ def merge_fixed(
     return assignments.distinct(), rejects
 
 
+def shift_facts(cands: DataFrame) -> DataFrame:
+    """What a shift is, one row per shift that has candidates."""
+    facts = ["shift_date", "start_min", "end_min", "duty_type", "problem", "n_people", "n_slots", "minutes"]
+    return cands.groupBy(*SHIFT).agg(*[F.first(c).alias(c) for c in facts])
+
+
 def open_slots(cands: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
     """Slots still to be filled: one row per (shift, slot) that has candidates and is not fixed."""
-    slots = cands.select(
-        *SHIFT, "shift_date", "start_min", "end_min", "duty_type", "problem", "n_people", "n_slots", "minutes"
-    ).distinct()
-    slots = slots.withColumn("slot_nr", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)))
+    slots = shift_facts(cands).withColumn("slot_nr", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)))
     if fixed is not None:
         slots = slots.join(fixed.select(*SHIFT, "slot_nr"), [*SHIFT, "slot_nr"], "left_anti")
     return slots

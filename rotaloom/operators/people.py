@@ -10,7 +10,7 @@ from rotaloom.rules import SUPERVISOR_TEAM, Rules
 
 PARENT_PREFIX = "Eltern "
 REPRESENTATIVE_PREFIX = "Platzhalter "
-# Placeholder persons get negative keys, so they never meet a member's key.
+# Placeholder persons get negative keys; members' keys are not negative.
 PARENT_KEY_BASE = -1_000_000
 PERSON_COLUMNS = ["org_id", "person_id", "name", "team_code", "worked_min", "is_supervisor", "trains_team"]
 

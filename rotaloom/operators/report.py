@@ -12,6 +12,7 @@ from rotaloom.functions.intervals import clock
 from rotaloom.operators.candidates import SHIFT, parent_assignments
 from rotaloom.operators.people import PARENT_PREFIX, parent_key
 from rotaloom.operators.shifts import is_parent_sales
+from rotaloom.plans.scratch import materialize
 from rotaloom.plans.skew import salted_join, spread_row_number
 from rotaloom.rules import SUPERVISION, Rules
 
@@ -81,12 +82,12 @@ def person_stats(
     roster: DataFrame, shifts: DataFrame, people: DataFrame, targets: DataFrame, rules: Rules
 ) -> DataFrame:
     """One row per person with shifts."""
-    effective = effective_minutes(roster, shifts, rules)
+    effective = materialize(effective_minutes(roster, shifts, rules), "effective")
     total = F.col("worked_min") + F.col("planned_min")
+    goals = targets.select("org_id", "team_code", "target_min")
+    rows = salted_join(effective.join(people, PERSON), goals, ["org_id", "team_code"], "left", ["person_id"], rules.salts)
     return (
-        effective.join(people, PERSON)
-        .join(targets.select("org_id", "team_code", "target_min"), ["org_id", "team_code"], "left")
-        .join(group_means(effective, people), "org_id")
+        salted_join(rows, group_means(effective, people), ["org_id"], "inner", ["person_id"], rules.salts)
         .select(
             *PERSON,
             _label().alias("label"),
@@ -174,6 +175,15 @@ def stats_lines(person: DataFrame, team: DataFrame, idle: DataFrame) -> DataFram
     )
 
 
+def game_range(game_id):
+    """A range of game keys, growing with the key, so ranges sort as the keys do.
+
+    Running numbers come in ranges of 4096; hashed keys share 4096 ranges on either side.
+    """
+    wide = F.shiftright(game_id, 51)
+    return F.when(game_id < 0, wide).when(game_id < 1 << 40, F.shiftright(game_id, 12)).otherwise(wide + (1 << 28))
+
+
 def roster_layout(
     roster: DataFrame,
     shifts: DataFrame,
@@ -216,6 +226,7 @@ def roster_layout(
               for i in range(rules.helper_columns)],
         )
     )
+    left = materialize(left, "layout")
     planned_days = left.select(*day).distinct()
     dated = games.withColumnRenamed("game_date", "shift_date")
     day_games = salted_join(dated, planned_days, day, "left_semi", ["game_id"], rules.salts)
@@ -223,7 +234,7 @@ def roster_layout(
         day_games,
         day,
         [(~F.col("is_home")).cast("int"), F.col("start_min")],
-        F.pmod(F.col("game_id"), F.lit(rules.salts)),
+        game_range(F.col("game_id")),
         [F.col("game_id")],
     )
     right = numbered.select(

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaloom.operators.candidates import CLASS, SHIFT, open_slots, with_class
+from rotaloom.operators.candidates import CLASS, SHIFT, shift_facts, with_class
 from rotaloom.operators.disjoin import coverage
 from rotaloom.plans.skew import salted_join
 from rotaloom.rules import Rules
@@ -43,10 +43,7 @@ def active_workers(persons: DataFrame, cands: DataFrame, targets: DataFrame, rul
 
 def filled_slots(roster: DataFrame, cands: DataFrame) -> DataFrame:
     """Roster rows of member shifts with the attributes of their shift."""
-    shift = cands.select(
-        *SHIFT, "shift_date", "start_min", "end_min", "duty_type", "problem", "minutes", "n_slots"
-    ).distinct()
-    return roster.select(*SHIFT, "slot_nr", "person_id").join(shift, SHIFT)
+    return roster.select(*SHIFT, "slot_nr", "person_id").join(shift_facts(cands).drop("n_people"), SHIFT)
 
 
 def balance(roster: DataFrame, workers: DataFrame, cands: DataFrame, rules: Rules) -> DataFrame:
@@ -123,13 +120,13 @@ def lower_bound(workers: DataFrame, cands: DataFrame, costs: DataFrame, rules: R
     )
 
 
-def _finding(df: DataFrame, rule: str, activity) -> DataFrame:
+def _finding(df: DataFrame, rule, activity) -> DataFrame:
     def column(name: str, kind: str):
         return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
 
     return df.select(
         "org_id",
-        F.lit(rule).alias("rule"),
+        rule.alias("rule"),
         column("shift_id", "string"),
         column("slot_nr", "int"),
         column("person_id", "long"),
@@ -138,44 +135,59 @@ def _finding(df: DataFrame, rule: str, activity) -> DataFrame:
 
 
 def violations(
-    roster: DataFrame, workers: DataFrame, cands: DataFrame, rules: Rules, fixed: DataFrame | None = None
+    roster: DataFrame,
+    workers: DataFrame,
+    cands: DataFrame,
+    rules: Rules,
+    fixed: DataFrame | None = None,
+    all_cands: DataFrame | None = None,
 ) -> DataFrame:
     """Every broken rule with the number that breaks it.
 
     N1 a slot is not filled exactly once, N2 a person serves two shifts at once,
     N3 a helper has no team mate in the shift, N4 a fixed assignment is missing,
-    CANDIDATE the person may not take the shift, GUARD supervisors and players
-    are mixed up.
+    SLOT a row names a shift or slot that does not exist, CANDIDATE the person is
+    unknown or may not take the shift, GUARD supervisors and players are mixed up.
+
+    ``all_cands`` are the candidates before the weekend rule, which ``fixed`` rows
+    may use; without them fixed rows are held to ``cands`` as all others.
     """
-    slots = open_slots(cands)
-    rows = filled_slots(roster, cands)
+    keys = [*SHIFT, "slot_nr", "person_id"]
+    facts = shift_facts(cands)
     person = workers.select(*PERSON, *CLASS[1:])
-    owned = rows.join(person, PERSON, "left")
+    owned = roster.select(*keys).join(facts.drop("n_people"), SHIFT, "left").join(person, PERSON, "left")
+    known = cands.select(*SHIFT, *CLASS[1:]).withColumn("_known", F.lit(True))
+    owned = owned.join(known, [*SHIFT, *CLASS[1:]], "left")
+    if fixed is not None and all_cands is not None:
+        allowed = all_cands.select(*SHIFT, *CLASS[1:]).join(fixed.select(*keys), SHIFT).select(*keys, *CLASS[1:])
+        owned = owned.join(allowed.withColumn("_fixed", F.lit(True)), [*keys, *CLASS[1:]], "left")
+    else:
+        owned = owned.withColumn("_fixed", F.lit(None).cast("boolean"))
+    no_slot = F.col("n_slots").isNull() | ~F.col("slot_nr").between(0, F.col("n_slots") - 1)
+    unable = ~no_slot & F.col("_known").isNull() & F.col("_fixed").isNull()
+    mixed = ~no_slot & ((F.col("problem") == "A") != F.coalesce("is_supervisor", F.lit(False)))
+    broken = F.array_compact(
+        F.array(F.when(no_slot, "SLOT"), F.when(unable, "CANDIDATE"), F.when(mixed, "GUARD"))
+    )
+    found = [_finding(owned.withColumn("rule", F.explode(broken)), F.col("rule"), F.lit(1))]
 
     used = roster.groupBy(*SHIFT, "slot_nr").agg(F.count(F.lit(1)).alias("n"))
+    slots = facts.select(*SHIFT, F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)).alias("slot_nr"))
     n1 = (
         slots.join(used, [*SHIFT, "slot_nr"], "left")
         .withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
         .filter("n <> 1")
     )
-    found = [_finding(n1, "N1", F.col("n"))]
-
-    known = cands.select(*SHIFT, *CLASS[1:])
-    off = owned.join(known, [*SHIFT, *CLASS[1:]], "left_anti")
-    found.append(_finding(off, "CANDIDATE", F.lit(1)))
-    mixed = owned.filter((F.col("problem") == "A") != F.coalesce(F.col("is_supervisor"), F.lit(False)))
-    found.append(_finding(mixed, "GUARD", F.lit(1)))
-
+    found.append(_finding(n1, F.lit("N1"), F.col("n")))
     if not rules.team_mode:
-        kvw = owned.filter("problem = 'KVW'")
+        kvw = filled_slots(roster, cands).filter("problem = 'KVW'").join(person, PERSON, "left")
         busy = coverage(kvw, [*PERSON, "shift_date"]).filter("n_covering > 1")
         n2 = busy.groupBy(*PERSON).agg(F.count(F.lit(1)).alias("n"))
-        found.append(_finding(n2, "N2", F.col("n")))
-        found.append(_finding(lonely_helpers(kvw, cands), "N3", F.col("n_mates")))
+        found.append(_finding(n2, F.lit("N2"), F.col("n")))
+        found.append(_finding(lonely_helpers(kvw, cands), F.lit("N3"), F.col("n_mates")))
     if fixed is not None:
-        keys = [*SHIFT, "slot_nr", "person_id"]
         n4 = fixed.select(*keys).join(roster.select(*keys), keys, "left_anti")
-        found.append(_finding(n4, "N4", F.lit(0)))
+        found.append(_finding(n4, F.lit("N4"), F.lit(0)))
     return reduce(DataFrame.unionByName, found)
 
 

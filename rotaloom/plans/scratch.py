@@ -7,33 +7,55 @@ executors, is computed exactly once and brings real size statistics with it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WAREHOUSE = "spark.sql.warehouse.dir"
 
 
 def folder(spark: SparkSession) -> str:
     """The shared scratch folder of this session.
 
-    A machine-local folder is used only when the whole session runs on one
-    machine and nothing is configured, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Without that setting the
+    session's warehouse is used, which must then be shared as well: a warehouse on
+    a machine's own disk is refused unless the session runs on one machine.
     """
     configured = spark.conf.get(SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a shared folder before running iterative jobs on a cluster")
-    made = tempfile.mkdtemp(prefix="rotaloom-")
-    spark.conf.set(SETTING, made)
-    return made
+    warehouse = spark.conf.get(WAREHOUSE).rstrip("/")
+    if urlparse(warehouse).scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {SETTING} to a shared folder; the warehouse {warehouse} is on this machine's disk")
+    return f"{warehouse}/_scratch"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/rotaloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, label)
+
+
+class Scratch:
+    """Tables of one run; those that a later one supersedes can be removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, label: str, slot: str | None = None) -> DataFrame:
+        """Write ``df`` and read it back; ``slot`` names what the table stands for, for ``remove``."""
+        path = f"{folder(self.spark)}/rotaloom/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths[slot or path] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *slots: str) -> None:
+        """Delete tables that nothing reads any more."""
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for slot in slots:
+            path = self.paths.pop(slot, None)
+            if path:
+                place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(hadoop).delete(place, True)

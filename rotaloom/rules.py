@@ -2,8 +2,8 @@
 
 Everything here is a bounded, driver-side constant.  Flags become ``isin``
 expressions and per-duty numbers become ``CASE`` expressions, so most lookups
-cost neither a join nor a shuffle.  Only the team dimension is ever joined, and
-``MAX_TEAMS`` bounds it, which is what makes broadcasting it safe.
+cost neither a join nor a shuffle.  Only the team dimension is ever joined; the
+optimiser sees its size and decides how.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_TEAMS = 1000
 DAY_END = 1440
 
 SALES = "Verkauf"
@@ -57,69 +56,43 @@ DUTIES = (
     DutyRule(WIPING, "W", 2, 15, 15, (3,)),
 )
 
-# Teams (code, capacity, latest working minute, flags).  A latest
-# minute of 1440 means all day, 0 means the team never works.  Flags: c cash
-# desk at home games, w wiper at home games, p parents run the sales, d does the
-# wiping, y youth, a active.
-TEAM_TABLE = """
-M1        1.00  1440  ca
-M2        1.00  1440  a
-M3        1.00  1440  a
-M4        1.00  1440  a
-F1        1.00  1440  cwa
-F2        1.00  1440  ca
-F3        1.00  1440  a
-mA1       0.85  1200  y
-mA2       0.85  1200  y
-wA1       0.85  1200  y
-wA2       0.85  1200  y
-mB1       0.75  1080  y
-mB2       0.75  1080  y
-wB1       0.75  1080  y
-wB2       0.75  1080  y
-mC1       0.31  1200  pdy
-wC1       0.31  1200  pdy
-mC2       0.75  1200  pdy
-wC2       0.75  1200  pdy
-gD1       0.00  0     py
-wD1       0.00  0     py
-gD2       0.00  0     py
-wD2       0.00  0     py
-gE1       0.00  0     py
-gE2       0.00  0     py
-wE1       0.00  0     py
-wE2       0.00  0     py
-gF1       0.00  0     py
-gF2       0.00  0     py
-gF3       0.00  0     y
-Minis     0.00  0     a
-Aufsicht  1.00  1440  -
-None      1.00  1440  y
-"""
-
-
-def _team_rows(table: str) -> tuple[TeamRule, ...]:
-    rows = []
-    for line in table.strip().splitlines():
-        code, capacity, work_to, flags = line.split()
-        rows.append(
-            TeamRule(
-                code,
-                float(capacity),
-                0,
-                int(work_to),
-                has_cash="c" in flags,
-                has_wiper="w" in flags,
-                parent_duty="p" in flags,
-                wiper_duty="d" in flags,
-                is_youth="y" in flags,
-                is_active="a" in flags,
-            )
-        )
-    return tuple(rows)
-
-
-TEAMS = _team_rows(TEAM_TABLE)
+# Teams with capacity, first and latest working minute and flags.  A latest
+# minute of 1440 means all day, 0 means the team never works.
+TEAMS = (
+    TeamRule("M1", 1.00, 0, 1440, has_cash=True, is_active=True),
+    TeamRule("M2", 1.00, 0, 1440, is_active=True),
+    TeamRule("M3", 1.00, 0, 1440, is_active=True),
+    TeamRule("M4", 1.00, 0, 1440, is_active=True),
+    TeamRule("F1", 1.00, 0, 1440, has_cash=True, has_wiper=True, is_active=True),
+    TeamRule("F2", 1.00, 0, 1440, has_cash=True, is_active=True),
+    TeamRule("F3", 1.00, 0, 1440, is_active=True),
+    TeamRule("mA1", 0.85, 0, 1200, is_youth=True),
+    TeamRule("mA2", 0.85, 0, 1200, is_youth=True),
+    TeamRule("wA1", 0.85, 0, 1200, is_youth=True),
+    TeamRule("wA2", 0.85, 0, 1200, is_youth=True),
+    TeamRule("mB1", 0.75, 0, 1080, is_youth=True),
+    TeamRule("mB2", 0.75, 0, 1080, is_youth=True),
+    TeamRule("wB1", 0.75, 0, 1080, is_youth=True),
+    TeamRule("wB2", 0.75, 0, 1080, is_youth=True),
+    TeamRule("mC1", 0.31, 0, 1200, parent_duty=True, wiper_duty=True, is_youth=True),
+    TeamRule("wC1", 0.31, 0, 1200, parent_duty=True, wiper_duty=True, is_youth=True),
+    TeamRule("mC2", 0.75, 0, 1200, parent_duty=True, wiper_duty=True, is_youth=True),
+    TeamRule("wC2", 0.75, 0, 1200, parent_duty=True, wiper_duty=True, is_youth=True),
+    TeamRule("gD1", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("wD1", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("gD2", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("wD2", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("gE1", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("gE2", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("wE1", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("wE2", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("gF1", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("gF2", 0.00, 0, 0, parent_duty=True, is_youth=True),
+    TeamRule("gF3", 0.00, 0, 0, is_youth=True),
+    TeamRule("Minis", 0.00, 0, 0, is_active=True),
+    TeamRule("Aufsicht", 1.00, 0, 1440),
+    TeamRule("None", 1.00, 0, 1440, is_youth=True),
+)
 
 
 @dataclass(frozen=True)
@@ -143,13 +116,11 @@ class Rules:
     flat_cost: int = 90
     over_penalty: int = 5
     under_penalty: int = 1
-    helper_columns: int = 6
+    night_until_min: int = 240
     salts: int = 16
     _index: dict = field(init=False, repr=False, compare=False, hash=False, default=None)
 
     def __post_init__(self):
-        if len(self.teams) > MAX_TEAMS:
-            raise ValueError(f"at most {MAX_TEAMS} teams are supported, got {len(self.teams)}")
         codes = [t.code for t in self.teams]
         if len(set(codes)) != len(codes):
             raise ValueError("team codes must be unique")
@@ -167,6 +138,11 @@ class Rules:
         """Half of the shortest possible shift, in whole minutes (P10)."""
         return min(d.lengths_hh[0] for d in self.duties) * 30 // 2
 
+    @property
+    def helper_columns(self) -> int:
+        """Helper cells of a roster line: six, or more if a duty takes more people."""
+        return max(6, *(d.n_people for d in self.duties))
+
     def codes(self, flag: str) -> list[str]:
         return [t.code for t in self.teams if getattr(t, flag)]
 
@@ -198,7 +174,7 @@ class Rules:
 
     # -- dimension tables --------------------------------------------------
     def dim_team(self, spark: SparkSession) -> DataFrame:
-        """Team dimension, one row per code; at most ``MAX_TEAMS`` rows."""
+        """Team dimension, one row per code."""
         flags = ["has_cash", "has_wiper", "parent_duty", "wiper_duty", "is_youth", "is_active"]
         rows = ",".join(
             "({}, '{}', {}D, {}, {}, {})".format(

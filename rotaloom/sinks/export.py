@@ -4,23 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Above this many lines an export stays in ordered part files.
-SINGLE_FILE_LINES = 100_000
 
-
-def write_lines(
-    lines: DataFrame, order: list[str], path: str, charset: str = "UTF-8", single_file: bool = False
-) -> None:
+def write_lines(lines: DataFrame, order: list[str], path: str, charset: str = "UTF-8") -> None:
     """Write the ``line`` column in the given order, one folder per organisation.
 
     Rows are range-partitioned over the order, so part files taken by name give
-    the whole text and no task holds an organisation by itself.  ``single_file``
-    is honoured only for a line count that is known to be small.
+    the whole text and no task holds an organisation by itself.  The layout is the
+    same at every size.
     """
-    if single_file and lines.limit(SINGLE_FILE_LINES + 1).count() <= SINGLE_FILE_LINES:
-        ordered = lines.repartition(1).sortWithinPartitions(*order)
-    else:
-        ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     (
         ordered.select("org_id", "line")
         .write.partitionBy("org_id")
@@ -34,12 +26,12 @@ def write_lines(
     )
 
 
-def write_roster(layout: DataFrame, path: str, charset: str = "UTF-8", single_file: bool = False) -> None:
-    write_lines(layout, ["org_id", "shift_date", "row_nr"], path, charset, single_file)
+def write_roster(layout: DataFrame, path: str, charset: str = "UTF-8") -> None:
+    write_lines(layout, ["org_id", "shift_date", "row_nr"], path, charset)
 
 
-def write_stats(lines: DataFrame, path: str, charset: str = "UTF-8", single_file: bool = False) -> None:
-    write_lines(lines, ["org_id", "section", "line"], path, charset, single_file)
+def write_stats(lines: DataFrame, path: str, charset: str = "UTF-8") -> None:
+    write_lines(lines, ["org_id", "section", "line"], path, charset)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ folder layout ``.../org_id=<n>/...`` supplies the organisation of each file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rotaloom.functions.dates import parse_german, parse_short_german
@@ -26,9 +26,10 @@ WEEKDAY_PREFIX = 4
 
 GAME_FIELDS = ["number", "league", "date", "time", "venue", "home", "away", "venue_name"]
 PERSON_FIELDS = ["name", "team", "trains", "marker", "hours"]
-FIXED_FIELDS = ["date", "from", "to", "duty", "team", "helper1", "helper2"]
+# Fields in front of the helpers, of which there are ``Rules.helper_columns``.
+FIXED_FIELDS = ["date", "from", "to", "duty", "team"]
 # A roster this library exported: head count in front of the helpers (Q23).
-ROSTER_FIELDS = ["date", "from", "to", "duty", "team", "n_people", "helper1", "helper2"]
+ROSTER_FIELDS = [*FIXED_FIELDS, "n_people"]
 
 
 def read_lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
@@ -118,7 +119,10 @@ def parse_games(
 def parse_persons(
     lines: DataFrame, rules: Rules, sep: str = ";", mode: str = "report"
 ) -> tuple[DataFrame, DataFrame]:
-    """S2.  Rows without team and marker are skipped; decimal commas are kept."""
+    """S2.  Rows without team and marker are skipped; decimal commas are kept.
+
+    Of equal lines the first counts and the others are rejects, so a member has one key.
+    """
     raw = _fields(lines, PERSON_FIELDS, sep)
     supervisor = F.lower(_text("marker")) == SUPERVISOR_MARKER
     team = F.when(supervisor, SUPERVISOR_TEAM).otherwise(F.nullif(_text("team"), F.lit("")))
@@ -134,12 +138,17 @@ def parse_persons(
         supervisor.alias("is_supervisor"),
         trains.alias("trains_team"),
     ).filter(F.col("team_code").isNotNull())
+    copy = F.row_number().over(Window.partitionBy("org_id", "value").orderBy("name"))
+    typed = typed.withColumn("_copy", copy)
     reason = (
         F.when(~_known(F.col("team_code"), rules), "unknown team")
         .when(~_known(F.col("trains_team"), rules), "unknown coached team")
         .when(F.col("worked_min").isNull(), "bad hours")
+        .when(F.col("_copy") > 1, "repeated line")
     )
-    key = F.xxhash64("org_id", "name", "team_code", "trains_team", "value").alias("person_id")
+    # Members' keys are never negative, placeholders' always are.
+    hashed = F.xxhash64("org_id", "name", "team_code", "trains_team", "value")
+    key = hashed.bitwiseAND(F.lit((1 << 63) - 1)).alias("person_id")
     columns = [
         "org_id", key, "name", "short_name", "team_code", "worked_min", "is_supervisor", "trains_team"
     ]
@@ -150,24 +159,32 @@ def parse_persons(
 def parse_fixed(
     lines: DataFrame, rules: Rules, sep: str = ";", mode: str = "report", layout: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """S3.  One line gives one row per named helper; ``layout=ROSTER_FIELDS`` reads an exported roster."""
-    raw = _fields(lines, layout or FIXED_FIELDS, sep)
+    """S3.  One line gives one row per named helper; ``layout=ROSTER_FIELDS`` reads an exported roster.
+
+    An end before the start lies after midnight, and so does a start before
+    ``night_until_min``: such a shift belongs to the day before.
+    """
+    helpers = [f"helper{i + 1}" for i in range(rules.helper_columns)]
+    raw = _fields(lines, [*(layout or FIXED_FIELDS), *helpers], sep)
     date_text = _text("date")
     long_form = date_text.rlike(r"^\d\d\.\d\d\.\d{4}$")
     day = F.when(long_form, parse_german(date_text)).otherwise(
         parse_short_german(F.expr(f"substring(trim(coalesce(f.date, '')), {WEEKDAY_PREFIX + 1}, 8)"))
     )
     duties = [d.duty_type for d in rules.duties]
+    start = parse_clock(_text("from"))
     typed = raw.select(
         "org_id",
         "value",
         day.alias("shift_date"),
-        parse_clock(_text("from")).alias("start_min"),
+        (start + F.when(start < rules.night_until_min, 1440).otherwise(0)).alias("start_min"),
         parse_clock(_text("to")).alias("end_min"),
         _text("duty").alias("duty_type"),
         _text("team").alias("team_code"),
-        F.posexplode(F.array(_text("helper1"), _text("helper2"))).alias("slot_nr", "name"),
+        F.posexplode(F.array(*[_text(h) for h in helpers])).alias("slot_nr", "name"),
     ).filter((F.col("slot_nr") == 0) | (F.col("name") != ""))
+    late = F.when(F.col("end_min") < F.col("start_min"), 1440).otherwise(0)
+    typed = typed.withColumn("end_min", F.col("end_min") + late)
     reason = (
         F.when(F.col("shift_date").isNull(), "bad date")
         .when(F.col("start_min").isNull() | F.col("end_min").isNull(), "bad time")

@@ -50,7 +50,7 @@ def make_workers(spark, owing, team="M1"):
 def test_every_slot_is_filled_once(spark, people, shifts, slots, want):
     spans = [(660 + 150 * i, 780 + 150 * i) for i in range(shifts)]
     cands = make_cands(spark, spans, slots, people)
-    run = A.assign(cands, make_workers(spark, [100] * people), PLAYER, improve_rounds=1)
+    run = A.assign(cands, make_workers(spark, [100] * people), PLAYER)
     assert run.roster.count() == want and run.uncovered().isEmpty()
     assert score.violations(run.roster, run.workers, cands, PLAYER).isEmpty()
 
@@ -58,7 +58,7 @@ def test_every_slot_is_filled_once(spark, people, shifts, slots, want):
 def test_uncoverable_slot_is_reported(spark):
     # One member cannot serve two shifts at the same time.
     cands = make_cands(spark, [(660, 780), (700, 800)], 1, 1)
-    run = A.assign(cands, make_workers(spark, [500]), PLAYER, improve_rounds=1)
+    run = A.assign(cands, make_workers(spark, [500]), PLAYER)
     assert run.uncovered().count() == 1
     assert tuples(run.status(), "n_slots", "n_filled", "status") == [(2, 1, "partial")]
 
@@ -66,18 +66,18 @@ def test_uncoverable_slot_is_reported(spark):
 def test_optional_cover_skips_what_does_not_pay(spark):
     cands = make_cands(spark, [(600, 780), (800, 860)], 1, 1)
     # Owing 180 minutes pays for the long shift; the short one would only add cost.
-    run = A.assign(cands, make_workers(spark, [180]), TEAM, improve_rounds=1, cover="at_most_one")
+    run = A.assign(cands, make_workers(spark, [180]), TEAM, cover="at_most_one")
     assert tuples(run.roster, "shift_id") == [("s0",)]
     with pytest.raises(ValueError, match="could not be filled"):
         run.require_complete()
-    full = A.assign(cands, make_workers(spark, [180]), TEAM, improve_rounds=1).require_complete()
+    full = A.assign(cands, make_workers(spark, [180]), TEAM).require_complete()
     assert full.roster.count() == 2
 
 
 def test_fixed_slot_is_kept(spark):
     cands = make_cands(spark, [(660, 780), (800, 900)], 1, 3)
     fixed = spark.createDataFrame([(1, "s0", 0, 2)], "org_id int, shift_id string, slot_nr int, person_id long")
-    run = A.assign(cands, make_workers(spark, [500, 500, 0]), PLAYER, fixed=fixed, improve_rounds=2)
+    run = A.assign(cands, make_workers(spark, [500, 500, 0]), PLAYER, fixed=fixed)
     assert (0, 2) in [(r.slot_nr, r.person_id) for r in run.roster.filter("shift_id = 's0'").collect()]
     assert score.violations(run.roster, run.workers, cands, PLAYER, fixed=fixed).isEmpty()
 
@@ -96,7 +96,7 @@ def test_objective_between_optimum_and_bound(spark):
         return sum(5 * max(a - o, 0) + max(o - a, 0) for a, o in zip(load, owing)) + 90 * len(spans)
 
     best = min(cost(c) for c in itertools.product(range(3), repeat=len(spans)))
-    run = A.assign(cands, workers, TEAM, improve_rounds=6)
+    run = A.assign(cands, workers, TEAM)
     got = float(score.score(run.roster, workers, cands, costs, TEAM).first().objective)
     bound = float(score.lower_bound(workers, cands, costs, TEAM).first().lower_bound)
     assert bound <= best <= got <= best * 1.25
@@ -118,7 +118,7 @@ def test_assignment_does_not_depend_on_partitions(spark, make_games, make_person
     rosters = []
     for n in ("2", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        run = Season(games.repartition(int(n)), persons.repartition(int(n)), TEAM).assign(improve_rounds=2)
+        run = Season(games.repartition(int(n)), persons.repartition(int(n)), TEAM).assign()
         rosters.append(tuples(run.roster, "org_id", "shift_id", "slot_nr", "person_id"))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert rosters[0] and rosters[0] == rosters[1]
@@ -127,7 +127,7 @@ def test_assignment_does_not_depend_on_partitions(spark, make_games, make_person
 def test_model_tables_agree_with_the_scorer(player_season):
     season, pairs = player_season
     built = model.build_model(pairs, season.active, PLAYER)
-    for roster in (season.simple_roster, season.assign(improve_rounds=1).roster):
+    for roster in (season.simple_roster, season.assign().roster):
         solution = model.solution_of(roster, built, pairs, season.active)
         priced = {(r.org_id, r.problem): (r.objective, r.n_missing) for r in model.objective(built, solution).collect()}
         scored = score.score(roster, season.active, season.free, season.costs, PLAYER).collect()
