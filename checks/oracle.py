@@ -6,8 +6,6 @@ all games, joins over all pairs), not the way the library computes it.
 
 from __future__ import annotations
 
-from rotaloom.rules import TEAMS, DUTIES
-
 _GAMES = r"""
 games0 AS (
   select cast(floor(c.c_custkey / 150) as int) as org_id, o.o_orderkey as game_id,
@@ -273,41 +271,79 @@ means AS (
 """
 
 
-def _values(name: str, columns: str, rows: list[str]) -> str:
-    return f"{name}({columns}) AS (VALUES {', '.join(rows)})"
+# The dimensions once more, written out, so that a wrong value in the library shows.
+_DIMENSIONS = """
+dim_team(team_idx, team_code, capacity_units, work_from, work_to, has_cash, has_wiper, parent_duty,
+  wiper_duty, is_youth, is_active) AS (VALUES
+(0, 'M1', 1000000, 0, 1440, true, false, false, false, false, true),
+(1, 'M2', 1000000, 0, 1440, false, false, false, false, false, true),
+(2, 'M3', 1000000, 0, 1440, false, false, false, false, false, true),
+(3, 'M4', 1000000, 0, 1440, false, false, false, false, false, true),
+(4, 'F1', 1000000, 0, 1440, true, true, false, false, false, true),
+(5, 'F2', 1000000, 0, 1440, true, false, false, false, false, true),
+(6, 'F3', 1000000, 0, 1440, false, false, false, false, false, true),
+(7, 'mA1', 850000, 0, 1200, false, false, false, false, true, false),
+(8, 'mA2', 850000, 0, 1200, false, false, false, false, true, false),
+(9, 'wA1', 850000, 0, 1200, false, false, false, false, true, false),
+(10, 'wA2', 850000, 0, 1200, false, false, false, false, true, false),
+(11, 'mB1', 750000, 0, 1080, false, false, false, false, true, false),
+(12, 'mB2', 750000, 0, 1080, false, false, false, false, true, false),
+(13, 'wB1', 750000, 0, 1080, false, false, false, false, true, false),
+(14, 'wB2', 750000, 0, 1080, false, false, false, false, true, false),
+(15, 'mC1', 310000, 0, 1200, false, false, true, true, true, false),
+(16, 'wC1', 310000, 0, 1200, false, false, true, true, true, false),
+(17, 'mC2', 750000, 0, 1200, false, false, true, true, true, false),
+(18, 'wC2', 750000, 0, 1200, false, false, true, true, true, false),
+(19, 'gD1', 0, 0, 0, false, false, true, false, true, false),
+(20, 'wD1', 0, 0, 0, false, false, true, false, true, false),
+(21, 'gD2', 0, 0, 0, false, false, true, false, true, false),
+(22, 'wD2', 0, 0, 0, false, false, true, false, true, false),
+(23, 'gE1', 0, 0, 0, false, false, true, false, true, false),
+(24, 'gE2', 0, 0, 0, false, false, true, false, true, false),
+(25, 'wE1', 0, 0, 0, false, false, true, false, true, false),
+(26, 'wE2', 0, 0, 0, false, false, true, false, true, false),
+(27, 'gF1', 0, 0, 0, false, false, true, false, true, false),
+(28, 'gF2', 0, 0, 0, false, false, true, false, true, false),
+(29, 'gF3', 0, 0, 0, false, false, false, false, true, false),
+(30, 'Minis', 0, 0, 0, false, false, false, false, false, true),
+(31, 'Aufsicht', 1000000, 0, 1440, false, false, false, false, false, false),
+(32, 'None', 1000000, 0, 1440, false, false, false, false, true, false)),
+dim_duty(duty_type, short, n_people) AS (VALUES ('Verkauf', 'V', 2),
+  ('Kasse', 'K', 1),
+  ('Aufsicht', 'A', 1),
+  ('Wischen', 'W', 2)),
+dim_length(duty_type, pos, length_hh) AS (VALUES ('Verkauf', 0, 5), ('Verkauf', 1, 6), ('Verkauf', 2, 7), ('Verkauf', 3, 8),
+  ('Kasse', 0, 3), ('Kasse', 1, 4), ('Kasse', 2, 5), ('Kasse', 3, 6),
+  ('Aufsicht', 0, 6), ('Aufsicht', 1, 7), ('Aufsicht', 2, 8), ('Aufsicht', 3, 9), ('Aufsicht', 4, 10),
+  ('Wischen', 0, 3))
+"""
+_DUTY_TYPES = ("Verkauf", "Kasse", "Aufsicht", "Wischen")
 
 
-def _dimensions() -> str:
-    flag = lambda b: str(b).lower()
-    teams = [
-        f"({i}, '{t.code}', {round(t.capacity * 1_000_000)}, {t.work_from}, {t.work_to}, {flag(t.has_cash)}, "
-        f"{flag(t.has_wiper)}, {flag(t.parent_duty)}, {flag(t.wiper_duty)}, {flag(t.is_youth)}, {flag(t.is_active)})"
-        for i, t in enumerate(TEAMS)
-    ]
-    duties = [f"('{d.duty_type}', '{d.short}', {d.n_people})" for d in DUTIES]
-    lengths = [f"('{d.duty_type}', {i}, {h})" for d in DUTIES for i, h in enumerate(d.lengths_hh)]
-    return ",\n".join(
-        [
-            _values(
-                "dim_team",
-                "team_idx, team_code, capacity_units, work_from, work_to, has_cash, has_wiper, parent_duty, "
-                "wiper_duty, is_youth, is_active",
-                teams,
-            ),
-            _values("dim_duty", "duty_type, short, n_people", duties),
-            _values("dim_length", "duty_type, pos, length_hh", lengths),
-        ]
-    )
+_ORDERS = "from orders o join customer c on o.o_custkey = c.c_custkey"
+# Every team of some clubs plays away on the other weekend day, so that the weekend rule empties shifts.
+_CROWD = '''
+  union all
+  select org_id, 1000000000 + game_id * 100 + t as game_id,
+    cast(game_date + case when isodow(game_date) = 6 then 1 else -1 end * interval '1' day as date) as game_date,
+    600 as start_min, false as is_home, cast(t as int) as team_idx
+  from (select cast(floor(c.c_custkey / 150) as int) as org_id, o.o_orderkey as game_id,
+      cast(DATE '2000-01-03' + cast(7 * ((o.o_orderkey * 11) % 161)
+        + case when o.o_orderkey % 5 = 0 then (o.o_orderkey * 3) % 7 else 5 + o.o_orderkey % 2 end as int)
+        * interval '1' day as date) as game_date, unnest(range(0, 31)) as t
+    from orders o join customer c on o.o_custkey = c.c_custkey where o.o_orderkey % 40 = 0)
+  where isodow(game_date) in (6, 7)'''
 
 
-def statement(select: str, team_mode: bool = True) -> str:
+def statement(select: str, team_mode: bool = True, crowded: bool = False) -> str:
     plan = (
         _PLAN.replace("{team_mode}", str(team_mode).lower())
         .replace("{workers}", "representatives" if team_mode else "unfinished")
         .replace("{slots}", "1" if team_mode else "s.n_people")
         .replace("{factor}", "case when s.duty_type = 'Aufsicht' then 1 else s.n_people end" if team_mode else "1")
     )
-    return f"WITH {_dimensions()},\n{_GAMES},\n{_SHIFTS},\n{plan}\n{select}"
+    games = _GAMES.replace(_ORDERS, _ORDERS + _CROWD) if crowded else _GAMES
+    return f"WITH {_DIMENSIONS.strip()},\n{games},\n{_SHIFTS},\n{plan}\n{select}"
 
 
 _D = "strftime({0}, '%Y-%m-%d')"
@@ -389,8 +425,8 @@ def sql() -> dict[str, str]:
     q["candidates_player_mode"] = statement(_PER_SHIFT.format("cands"), team_mode=False)
     q["weekend_filtered"] = statement(_CAND_OUT + "w1")
     q["weekend_filtered_player_mode"] = statement(_PER_SHIFT.format("w1"), team_mode=False)
-    q["readded"] = statement(_CAND_OUT + "w2")
-    q["readded_player_mode"] = statement(_PER_SHIFT.format("w2"), team_mode=False)
+    q["readded"] = statement(_CAND_OUT + "w2", crowded=True)
+    q["readded_player_mode"] = statement(_PER_SHIFT.format("w2"), team_mode=False, crowded=True)
     q["free_candidates"] = statement(_CAND_OUT.replace(" from ", ", cost from ") + "free")
     q["uncovered_shifts"] = statement(
         _SHIFT_OUT.replace("from shifts", "from member_shifts s") + " where not exists (select 1 from free f "
@@ -464,21 +500,43 @@ def sql() -> dict[str, str]:
     )
     q["model_objective"] = statement(
         "select org_id, problem, " + _MONEY.format("balance_cost + proximity_cost", "objective")
-        + ", cast(0 as bigint) as n_missing from scored where problem = 'KVW'"
+        + ", cast(0 as bigint) as n_missing from scored"
     )
     q["model_row_kinds"] = statement(
-        ", k AS (select f.org_id, f.problem, f.n_slots * f.n_persons as n from free f where problem = 'KVW'), "
-        "a AS (select org_id, count(*) as n from active where problem = 'KVW' group by org_id), "
-        "s AS (select org_id, count(*) as n from slots where problem = 'KVW' group by org_id), "
-        "v AS (select org_id, cast(sum(n) as bigint) as n from k group by org_id) "
+        ", a AS (select org_id, count(*) as n from active group by org_id), "
+        "s AS (select org_id, count(*) as n from slots group by org_id), "
+        "v AS (select org_id, cast(sum(n_slots * n_persons) as bigint) as n from free group by org_id) "
         "select org_id, 'balance' as kind, n as n_rows, (select n from v where v.org_id = a.org_id) + n as n_coefs from a "
         "union all select org_id, 'slack', n, 3 * n from a "
         "union all select org_id, 'N1', n, (select n from v where v.org_id = s.org_id) from s"
     )
+    # A third of the representatives do not turn up.
     q["model_broken_rows"] = statement(
-        "select org_id, problem, row_name as row, n as activity from ("
-        "select f.org_id, f.problem, 'N1/' || f.shift_id || '/' || f.slot_nr as row_name, count(*) as n from filled f "
-        "group by all having count(*) <> 1)"
+        "select org_id, problem, 'N1/' || shift_id || '/' || slot_nr as row, cast(0 as bigint) as activity from filled "
+        "where ((person_id % 3) + 3) % 3 = 1"
+    )
+    q["roster_violations_spoiled"] = statement(
+        ", r AS (select *, person_id % 11 = 2 as gone, person_id % 5 = 0 as swapped, person_id % 7 = 1 as odd, "
+        "person_id % 13 = 3 as twice from filled), "
+        "n1 AS (select org_id, cast(case when gone then 0 else 1 end + case when twice then 1 else 0 end as bigint) as n from r) "
+        "select org_id, 'SLOT' as rule, count(*) as n_findings, count(*) as total_activity from r where odd group by org_id "
+        "union all select org_id, 'CANDIDATE', count(*), count(*) from r where swapped and not gone group by org_id "
+        "union all select org_id, 'GUARD', count(*), count(*) from r where swapped and not gone and problem = 'A' group by org_id "
+        "union all select org_id, 'N4', count(*), 0 from r where gone and not twice group by org_id "
+        "union all select org_id, 'N1', count(*), cast(sum(n) as bigint) from n1 where n <> 1 group by org_id",
+        team_mode=False,
+    )
+    q["fixed_roster_status"] = statement(
+        "select org_id, problem, count(*) as n_slots, count(*) as n_filled, 'complete' as status, "
+        "count(case when start_min % 60 = 0 then 1 end) as n_fixed, cast(0 as bigint) as n_rejects, "
+        "cast(0 as bigint) as n_violations from filled group by org_id, problem"
+    )
+    q["season_totals"] = statement(
+        ", c AS (select s.*, exists (select 1 from free f where f.org_id = s.org_id and f.shift_id = s.shift_id) as taken "
+        "from shifts s) "
+        "select org_id, cast(sum(case when parents_of is not null or taken then 1 else 0 end) as bigint) as n_shift_lines, "
+        "cast(sum(case when parents_of is not null or taken then (end_min - start_min) * n_people else 0 end) as bigint) as planned_min, "
+        "(select count(*) from people p where p.org_id = c.org_id) as n_people from c group by org_id"
     )
     q["assigner_summary"] = statement(
         "select org_id, problem, count(*) as n_slots, count(*) as n_filled, cast(0 as bigint) as n_violations, "
@@ -553,7 +611,7 @@ def sql() -> dict[str, str]:
                 metric.format(
                     "parent_assignments", "coalesce(sum(case when parents_of is not null then n_people end), 0)", "shifts"
                 ),
-                *[metric.format(f"minutes_{d.duty_type}", minutes.format(d.duty_type), "shifts") for d in DUTIES],
+                *[metric.format(f"minutes_{d}", minutes.format(d), "shifts") for d in _DUTY_TYPES],
                 metric.format("candidates", "sum(n_persons * n_slots)", "cands"),
                 metric.format("candidates_after_weekend_rule", "sum(n_persons * n_slots)", "free"),
             ]

@@ -39,11 +39,11 @@ def forget() -> None:
     _seasons.clear()
 
 
-def _season(spark: SparkSession, sf_dir: str, rules: Rules = TEAM) -> Season:
+def _season(spark: SparkSession, sf_dir: str, rules: Rules = TEAM, crowded: bool = False) -> Season:
     """One season per session, folder and mode; queries share its stage tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, rules)
+    key = (spark.sparkContext.applicationId, sf_dir, rules, crowded)
     if key not in _seasons:
-        _seasons[key] = Season(views.games(spark, sf_dir), views.persons(spark, sf_dir), rules)
+        _seasons[key] = Season(views.games(spark, sf_dir, crowded=crowded), views.persons(spark, sf_dir), rules)
     return _seasons[key]
 
 
@@ -81,6 +81,10 @@ def _per_shift(cands: DataFrame) -> DataFrame:
     )
 
 
+def _readded(season: Season) -> DataFrame:
+    return candidates.readded(season.candidates, season.kickoffs)
+
+
 # -- fixed assignments -------------------------------------------------------
 def _named_slots(season: Season) -> DataFrame:
     """The plain roster with names, teams and times."""
@@ -139,6 +143,56 @@ def _violations(season: Season) -> DataFrame:
     )
 
 
+def _violations_spoiled(season: Season) -> DataFrame:
+    """The plain roster with rows missing, doubled, for unknown persons and for slots that do not exist."""
+    rows, person = season.simple_roster, F.col("person_id")
+    gone = person % 11 == 2
+    spoiled = (
+        rows.filter(~gone)
+        .withColumn("person_id", F.when(person % 5 == 0, 999_999_999).otherwise(person))
+        .unionByName(rows.filter(person % 7 == 1).withColumn("slot_nr", F.col("slot_nr") + 100))
+        .unionByName(rows.filter(person % 13 == 3))
+    )
+    found = score.violations(spoiled, season.active, season.free, season.rules, rows.filter(gone))
+    return (
+        found.filter("rule not in ('N2', 'N3')")
+        .groupBy("org_id", "rule")
+        .agg(F.count(F.lit(1)).alias("n_findings"), F.sum("activity").alias("total_activity"))
+    )
+
+
+def _fixed_roster_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assigner run around fixed slots, those of the plain roster that start on the hour."""
+    base = _season(spark, sf_dir)
+    fixed = _named_slots(base).filter("start_min % 60 = 0").select(
+        "org_id", "shift_date", "start_min", "end_min", "duty_type", "team_code", "name", "slot_nr"
+    )
+    season = Season(base.games, base.persons, base.rules, fixed)
+    run = season.assign()
+    keys = ["org_id", "problem"]
+    placed = run.roster.filter("is_fixed").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_fixed"))
+    rejects = season.fixed_merge[1].groupBy("org_id").agg(F.count(F.lit(1)).alias("n_rejects"))
+    broken = season.violations(run.roster).groupBy("org_id").agg(F.count(F.lit(1)).alias("n_violations"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_fixed", "n_rejects", "n_violations")]
+    return (
+        run.status().join(placed, keys, "left").join(rejects, "org_id", "left").join(broken, "org_id", "left")
+        .select(*keys, "n_slots", "n_filled", "status", *counts)
+    )
+
+
+def _season_totals(season: Season) -> DataFrame:
+    """The reports of an assigned roster, added up: lines with a shift, planned minutes, persons with and without duty."""
+    full = season.full(season.assign().roster)
+    layout = report.roster_layout(full, season.shifts, season.games, season.people, season.rules)
+    stats = report.person_stats(full, season.shifts, season.people, season.targets, season.rules)
+    idle = report.idle_stats(full, season.shifts, season.people, season.workers, season.rules)
+    lines = layout.filter("duty_type is not null").groupBy("org_id").agg(F.count(F.lit(1)).alias("n_shift_lines"))
+    busy = stats.groupBy("org_id").agg(F.sum("planned_min").alias("planned_min"), F.count(F.lit(1)).alias("_busy"))
+    rest = idle.groupBy("org_id").agg(F.count(F.lit(1)).alias("_idle"))
+    people = (F.col("_busy") + F.coalesce("_idle", F.lit(0))).alias("n_people")
+    return lines.join(busy, "org_id").join(rest, "org_id", "left").select("org_id", "n_shift_lines", "planned_min", people)
+
+
 def _model_size(season: Season) -> DataFrame:
     """Size of the model counted on classes, without listing single persons."""
     keys = ["org_id", "problem"]
@@ -148,13 +202,12 @@ def _model_size(season: Season) -> DataFrame:
     return choices.join(slots, keys).join(workers, keys)
 
 
-def _team_model(season: Season):
-    """Model of the duties teams share; one representative stands behind each class."""
-    kvw = season.free.filter("problem = 'KVW'")
-    workers = season.active.filter("problem = 'KVW'")
-    pairs = candidates.expand(kvw, season.workers, season.rules)
-    built = model.build_model(pairs, workers, season.rules)
-    return built, model.solution_of(season.simple_roster, built, pairs, workers)
+def _team_model(season: Season, kept=None):
+    """Model of both problems; one representative stands behind each class.  ``kept`` thins out the roster."""
+    pairs = candidates.expand(season.free, season.workers, season.rules)
+    built = model.build_model(pairs, season.active, season.rules)
+    roster = season.simple_roster if kept is None else season.simple_roster.filter(kept)
+    return built, model.solution_of(roster, built, pairs, season.active)
 
 
 def _model_objective(season: Season) -> DataFrame:
@@ -170,7 +223,8 @@ def _model_row_kinds(season: Season) -> DataFrame:
 
 
 def _model_broken_rows(season: Season) -> DataFrame:
-    broken = model.broken_rows(*_team_model(season))
+    # A third of the representatives do not turn up.
+    broken = model.broken_rows(*_team_model(season, F.pmod("person_id", F.lit(3)) != 1))
     return broken.select("org_id", "problem", "row", F.col("activity").cast("long").alias("activity"))
 
 
@@ -392,8 +446,8 @@ def queries() -> dict[str, Query]:
         "weekend_filtered_player_mode": season(
             lambda x: _per_shift(candidates.weekend_filtered(x.candidates, x.kickoffs)), PLAYER
         ),
-        "readded": season(lambda x: _plain(candidates.readded(x.candidates, x.kickoffs), *CANDIDATE_OUT)),
-        "readded_player_mode": season(lambda x: _per_shift(candidates.readded(x.candidates, x.kickoffs)), PLAYER),
+        "readded": lambda s, d: _plain(_readded(_season(s, d, TEAM, crowded=True)), *CANDIDATE_OUT),
+        "readded_player_mode": lambda s, d: _per_shift(_readded(_season(s, d, PLAYER, crowded=True))),
         "free_candidates": season(lambda x: _plain(x.free, *CANDIDATE_OUT, "cost")),
         "uncovered_shifts": season(lambda x: _plain(x.uncovered, *SHIFT_OUT)),
         "parent_assignments": season(lambda x: candidates.parent_assignments(x.shifts, x.rules)),
@@ -407,6 +461,9 @@ def queries() -> dict[str, Query]:
         "score_roster": season(_score),
         "score_roster_player_mode": season(_score, PLAYER),
         "roster_violations": season(_violations, PLAYER),
+        "roster_violations_spoiled": season(_violations_spoiled, PLAYER),
+        "fixed_roster_status": _fixed_roster_status,
+        "season_totals": season(_season_totals),
         "model_size": season(_model_size, PLAYER),
         "model_objective": season(_model_objective),
         "model_row_kinds": season(_model_row_kinds),

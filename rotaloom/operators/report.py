@@ -285,3 +285,15 @@ def run_metrics(games: DataFrame, shifts: DataFrame, cands: DataFrame, kept: Dat
             counted(kept, candidates_after_weekend_rule=pairs),
         ],
     )
+
+
+def extra_metrics(**tables: DataFrame | None) -> DataFrame:
+    """K5: rows per organisation of each named table; missing tables are left out."""
+    counted = [
+        df.groupBy("org_id").agg(F.count(F.lit(1)).cast("long").alias("value")).select(
+            "org_id", F.lit(name).alias("metric"), "value"
+        )
+        for name, df in tables.items()
+        if df is not None
+    ]
+    return reduce(DataFrame.unionByName, counted)

@@ -92,9 +92,21 @@ class Season:
     def active(self) -> DataFrame:
         return materialize(score.active_workers(self.workers, self.free, self.targets, self.rules), "active")
 
-    def assign(self, **options) -> A.Assignment:
-        fixed = None if self.fixed is None else self.fixed_merge[0]
-        return A.assign(self.free, self.active, self.rules, fixed=fixed, **options)
+    @cached_property
+    def fixed_rows(self) -> DataFrame | None:
+        """Fixed assignments that could be resolved, one per slot."""
+        return None if self.fixed is None else materialize(self.fixed_merge[0], "fixed")
+
+    def assign(self, on_uncovered: str = "report", require_complete: bool = False, **options) -> A.Assignment:
+        """Fill the roster.  ``on_uncovered='fail'`` stops if a shift has no candidate, and
+        ``require_complete`` if a slot stays open."""
+        candidates.uncovered_shifts(self.shifts, self.free, on_uncovered)
+        run = A.assign(self.free, self.active, self.rules, fixed=self.fixed_rows, **options)
+        return run.require_complete() if require_complete else run
+
+    def violations(self, roster: DataFrame) -> DataFrame:
+        """Broken rules of a roster; fixed rows may use candidates that the weekend rule removes."""
+        return score.violations(roster, self.active, self.free, self.rules, self.fixed_rows, self.candidates)
 
     @cached_property
     def simple_roster(self) -> DataFrame:

@@ -21,7 +21,9 @@ def _team_code(index: Column, rules: Rules) -> Column:
     return F.get(F.array(*[F.lit(t.code) for t in rules.teams]), index)
 
 
-def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES, crowded: bool = False) -> DataFrame:
+    """Games read off the orders.  ``crowded`` adds away games of every team on the other
+    day of some weekends, so that the weekend rule leaves shifts without candidates."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     key = F.col("o_orderkey")
@@ -40,6 +42,24 @@ def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> Dat
         (F.col("o_orderstatus") != "F").alias("is_home"),
         _team_code(((key * 13) % 31).cast("int"), rules).alias("team_code"),
     )
+    if crowded:
+        weekday = F.weekday("game_date")
+        away = base.filter((F.col("game_id") % 40 == 0) & (weekday >= 5)).select(
+            "org_id",
+            "game_id",
+            F.date_add("game_date", F.when(weekday == 5, 1).otherwise(-1)).alias("game_date"),
+            F.explode(F.sequence(F.lit(0), F.lit(30))).alias("_t"),
+        )
+        base = base.unionByName(
+            away.select(
+                "org_id",
+                (F.col("game_id") * 100 + F.col("_t") + 1_000_000_000).alias("game_id"),
+                "game_date",
+                F.lit(600).alias("start_min"),
+                F.lit(False).alias("is_home"),
+                _team_code(F.col("_t"), rules).alias("team_code"),
+            )
+        )
     # Text columns of a fixture list; column pruning drops them where unused.
     return base.select(
         "*",

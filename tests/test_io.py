@@ -99,15 +99,13 @@ def test_fixed(spark):
     assert tuples(again, "slot_nr", "name") == [(0, "Ann Alpha"), (1, "Bob Beta")]
 
 
-@pytest.mark.parametrize("single", [True, False])
-def test_export_keeps_order_and_charset(spark, tmp_path, single):
+def test_export_keeps_order_and_charset(spark, tmp_path):
     rows = [(org, i, f"{i:03d};Fünf;;;") for org in (1, 2) for i in range(50)]
     lines = spark.createDataFrame(rows, "org_id int, nr int, line string").repartition(5)
     path = str(tmp_path / "out")
-    export.write_lines(lines, ["org_id", "nr"], path, charset="ISO-8859-1", single_file=single)
+    export.write_lines(lines, ["org_id", "nr"], path, charset="ISO-8859-1")
     for org in (1, 2):
         folder = os.path.join(path, f"org_id={org}")
         parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
-        assert not single or len(parts) == 1
         text = "".join(open(os.path.join(folder, f), encoding="latin-1").read() for f in parts)
         assert text.splitlines() == [r[2] for r in rows if r[0] == org]
