@@ -16,7 +16,7 @@ part are first replaced by a neutral character of the same length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaloom.llm.common import materialize, text_or_empty
@@ -189,14 +189,11 @@ def _accepted(candidates: DataFrame) -> DataFrame:
 
     # Naive Bayes: soft counts of every feature value; their number is bounded by the buckets.
     values = labelled.select("p", F.explode("features").alias("value"))
-    totals = labelled.agg(F.sum("p").alias("_yes"), F.sum(1 - F.col("p")).alias("_no")).withColumn("_one", F.lit(1))
-    weights = (
-        values.groupBy("value")
-        .agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(totals), "_one")
-        .select("value", (F.log((F.col("yes") + 1) / (F.col("_yes") + 2)) - F.log((F.col("no") + 1) / (F.col("_no") + 2))).alias("weight"))
-    )
+    counts_of = values.groupBy("value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
+    # Every candidate has one value of each feature, so a feature's counts add up to all candidates.
+    feature = Window.partitionBy(F.split("value", " ")[0])
+    odds_of = lambda n: F.log((F.col(n) + 1) / (F.sum(n).over(feature) + 2))
+    weights = counts_of.select("value", (odds_of("yes") - odds_of("no")).alias("weight"))
     scored = (
         labelled.select("_row", "s", "e", "kind", "p", F.explode("features").alias("value"))
         .join(F.broadcast(weights), "value")  # at most 21 + 3 * 5 + 5 + 2 values

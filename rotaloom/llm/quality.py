@@ -141,18 +141,20 @@ def thresholds(sketch: DataFrame, groups: DataFrame) -> DataFrame:
         per = [F.struct(*cells[3 * i : 3 * i + 3]).alias(m) for i, m in enumerate(SPREAD)]
         return out.select(*keys, F.struct(*per).alias(f"_level{level}"))
 
-    own, lang, all_ = wide(["lang", "source"], 0), wide(["lang"], 1), wide([], 2)
+    own, lang = wide(["lang", "source"], 0), wide(["lang"], 1)
+    # Three numbers for each measure, or nothing if no document passes the base rules.
+    everything = {r["measure"]: r for r in _quartiles(sketch, []).collect()}
     g, o, l = groups.alias("g"), own.alias("o"), lang.alias("l")  # noqa: E741
     joined = g.join(
         o, F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left"
     ).join(l, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
-    # One row for everything, or none if nothing passes the base rules.
-    joined = joined.withColumn("_one", F.lit(1)).join(all_.withColumn("_one", F.lit(1)), "_one", "left")
     bounds = []
     for name, (spread, both) in SPREAD.items():
         enough = lambda level: F.col(f"{level}.{name}.n") >= MIN_GROUP  # noqa: B023, E731
         pick = F.when(enough("_level0"), F.col(f"_level0.{name}")).when(enough("_level1"), F.col(f"_level1.{name}"))
-        pick = pick.otherwise(F.col(f"_level2.{name}"))
+        top = everything.get(name)
+        last = [F.lit(top[c] if top else None).cast("long").alias(c) for c in ("n", "q1", "q3")]
+        pick = pick.otherwise(F.struct(*last))
         reach = F.greatest(pick["q3"] - pick["q1"], F.lit(spread)) * FENCE
         low = pick["q1"] - reach if both else F.lit(0)
         bounds += [low.cast("long").alias(f"low_{name}"), (pick["q3"] + reach).cast("long").alias(f"high_{name}")]
