@@ -50,7 +50,7 @@ UNWANTED = re.compile(
     r"related|recommended|recommendations|toolbar|skip-link)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-DEFAULTS = {"word": 1.0, "link": -1.0, "tag": -0.5, "never": -4.0}
+DEFAULTS = {"word": 1.0, "link": -1.0, "tag": -0.25, "never": -0.2}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaloom.llm.common import map_arrow, mix, span_hashes
+from rotaloom.llm.common import map_arrow, mix, pack, span_hashes
 
 MARK = "▁"
 RATE, SEED, VARIANTS = 0.1, 2024, 16
@@ -335,10 +335,6 @@ def pieces(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
-def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id").alias("_key"), F.col("text").alias("_text"))
-
-
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Row ranges of about CHUNK_CHARS characters."""
     first, size = 0, 0
@@ -358,25 +354,27 @@ def encode(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEE
     pieces, as do all rows without doc_id; an empty table stays empty.  Columns of
     ``docs`` with one of the new names give way.
     """
-    names = [c for c in docs.columns if c not in ("text", "piece_ids", "n_pieces")]
     with open(model_file, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
+    packed, restored = pack(docs, ["doc_id", "text"])
+    rows = packed.select("doc_id", "_rest", F.xxhash64("doc_id").alias("_key"), "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = pieces(model.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(names) + 1).to_pylist()]
-            keys = batch.column(len(names)).to_numpy(zero_copy_only=False).view(np.uint64)
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            keys = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             for low, high in _slices(texts):
                 ids, counts = tables.encode(texts[low:high], keys[low:high], rate, seed)
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
-                columns = [batch.column(i).slice(low, high - low) for i in range(len(names))]
-                yield pa.record_batch([*columns, lists, pa.array(counts)], names=[*names, "piece_ids", "n_pieces"])
+                columns = [batch.column(i).slice(low, high - low) for i in range(2)]
+                yield pa.record_batch([*columns, lists, pa.array(counts)], names=["doc_id", "_rest", "_ids", "_n"])
 
-    rows = _keyed(docs, names)
-    schema = rows.drop("_key", "_text").withColumn("piece_ids", F.array(F.lit(0))).withColumn("n_pieces", F.lit(0).cast("long"))
-    return map_arrow(rows, encoded, schema.schema)
+    schema = rows.select("doc_id", "_rest", F.array(F.lit(0)).alias("_ids"), F.lit(0).cast("long").alias("_n")).schema
+    new = ("text", "piece_ids", "n_pieces")
+    kept = [c for name, c in zip(docs.columns, restored) if name not in new]
+    return map_arrow(rows, encoded, schema).select(*kept, F.col("_ids").alias("piece_ids"), F.col("_n").alias("n_pieces"))
 
 
 def decode(rows: DataFrame, model_file: str) -> DataFrame:
@@ -430,7 +428,7 @@ def round_trip(docs: DataFrame, model_file: str, rate: float = RATE, seed: int =
                     names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"],
                 )
 
-    rows = _keyed(docs, ["doc_id"])
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(
         rows, checked, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"

@@ -38,7 +38,7 @@ def test_wavelet_tree_counts():
 def test_matching_statistics(size):
     rng = np.random.default_rng(size)
     text = rng.integers(0, size, 200)
-    index = FMIndex(text, size, 9)
+    index = FMIndex(np.append(text + 1, 0), size + 1, 9)
     ends = np.arange(200)
     most = np.minimum(ends + 1, 9)
 
@@ -49,7 +49,7 @@ def test_matching_statistics(size):
                 return n
         return 0
 
-    assert index.repeated_lengths(text, ends, most).tolist() == [longest(e, m) for e, m in zip(ends, most)]
+    assert index.repeated_lengths(text + 1, ends, most).tolist() == [longest(e, m) for e, m in zip(ends, most)]
 
 
 @pytest.mark.parametrize("frequent", [2000, 2])
