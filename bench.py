@@ -32,6 +32,9 @@ HEADLINE = [
     "ingest_games",
     "date_pack",
     "assigner_summary",
+    "candidates_hot_org",
+    "assigner_player_mode",
+    "assigner_hot_org",
 ]
 
 
@@ -47,7 +50,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rotaloom-bench-"))
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="rotaloom-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

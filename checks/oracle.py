@@ -6,6 +6,8 @@ all games, joins over all pairs), not the way the library computes it.
 
 from __future__ import annotations
 
+import re
+
 _GAMES = r"""
 games0 AS (
   select cast(floor(c.c_custkey / 150) as int) as org_id, o.o_orderkey as game_id,
@@ -335,7 +337,10 @@ _CROWD = '''
   where isodow(game_date) in (6, 7)'''
 
 
-def statement(select: str, team_mode: bool = True, crowded: bool = False) -> str:
+_CLUB = re.compile(r"cast\(floor\((c\.)?c_custkey / 150\) as int\)")
+
+
+def statement(select: str, team_mode: bool = True, crowded: bool = False, hot: bool = False) -> str:
     plan = (
         _PLAN.replace("{team_mode}", str(team_mode).lower())
         .replace("{workers}", "representatives" if team_mode else "unfinished")
@@ -343,6 +348,8 @@ def statement(select: str, team_mode: bool = True, crowded: bool = False) -> str
         .replace("{factor}", "case when s.duty_type = 'Aufsicht' then 1 else s.n_people end" if team_mode else "1")
     )
     games = _GAMES.replace(_ORDERS, _ORDERS + _CROWD) if crowded else _GAMES
+    if hot:  # one club has a third of all members and games
+        games = _CLUB.sub(r"case when \1c_custkey % 3 = 0 then 0 else \g<0> end", games)
     return f"WITH {_DIMENSIONS.strip()},\n{games},\n{_SHIFTS},\n{plan}\n{select}"
 
 
@@ -542,11 +549,18 @@ def sql() -> dict[str, str]:
         "select org_id, problem, count(*) as n_slots, count(*) as n_filled, cast(0 as bigint) as n_violations, "
         "'complete' as status, true as above_bound, true as beats_simple_roster from slots group by org_id, problem"
     )
+    q["assigner_hot_org"] = statement(
+        "select org_id, problem, count(*) as n_slots, count(*) as n_filled, cast(0 as bigint) as n_violations, "
+        "'complete' as status, true as above_bound, true as beats_simple_roster from slots group by org_id, problem", hot=True,
+    )
+    q["candidates_hot_org"] = statement(_PER_SHIFT.format("cands"), team_mode=False, hot=True)
     q["assigner_player_mode"] = statement(
         "select org_id, problem, count(*) as n_slots, cast(0 as bigint) as n_violations, true as above_bound "
         "from slots group by org_id, problem", team_mode=False,
     )
-    for name, mode in (("stats_person", True), ("stats_person_player_mode", False)):
+    for name, mode, hot in (
+        ("stats_person", True, False), ("stats_person_player_mode", False, False), ("stats_person_hot_org", False, True)
+    ):
         q[name] = statement(
             "select e.org_id, e.person_id, p.name || case when p.is_supervisor then ' (A)' else '' end as label, "
             "p.team_code, p.worked_min, e.planned_min, p.worked_min + e.planned_min as total_min, "
@@ -555,7 +569,7 @@ def sql() -> dict[str, str]:
             "round(p.worked_min + e.planned_min - case when p.is_supervisor then mean_s else mean_o end, 3) as off_mean "
             "from effective e join people p on p.org_id = e.org_id and p.person_id = e.person_id "
             "left join targets t on t.org_id = p.org_id and t.team_code = p.team_code "
-            "join means m on m.org_id = e.org_id", mode,
+            "join means m on m.org_id = e.org_id", mode, hot=hot,
         )
     q["stats_team"] = statement(
         "select e.org_id, p.team_code, cast(sum(worked_min) as bigint) as worked_min, "

@@ -39,11 +39,12 @@ def forget() -> None:
     _seasons.clear()
 
 
-def _season(spark: SparkSession, sf_dir: str, rules: Rules = TEAM, crowded: bool = False) -> Season:
+def _season(spark: SparkSession, sf_dir: str, rules: Rules = TEAM, crowded: bool = False, hot: bool = False) -> Season:
     """One season per session, folder and mode; queries share its stage tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, rules, crowded)
+    key = (spark.sparkContext.applicationId, sf_dir, rules, crowded, hot)
     if key not in _seasons:
-        _seasons[key] = Season(views.games(spark, sf_dir, crowded=crowded), views.persons(spark, sf_dir), rules)
+        games = views.games(spark, sf_dir, crowded=crowded, hot=hot)
+        _seasons[key] = Season(games, views.persons(spark, sf_dir, hot=hot), rules)
     return _seasons[key]
 
 
@@ -469,6 +470,9 @@ def queries() -> dict[str, Query]:
         "model_row_kinds": season(_model_row_kinds),
         "model_broken_rows": season(_model_broken_rows),
         "assigner_summary": season(lambda x: _checked_assignment(x, True)),
+        "candidates_hot_org": lambda s, d: _per_shift(_season(s, d, PLAYER, hot=True).candidates),
+        "stats_person_hot_org": lambda s, d: _person_stats(_season(s, d, PLAYER, hot=True)),
+        "assigner_hot_org": lambda s, d: _checked_assignment(_season(s, d, TEAM, hot=True), True),
         "assigner_player_mode": season(lambda x: _checked_assignment(x, False), PLAYER),
         "stats_person": season(_person_stats),
         "stats_person_player_mode": season(_person_stats, PLAYER),

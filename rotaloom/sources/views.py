@@ -21,7 +21,15 @@ def _team_code(index: Column, rules: Rules) -> Column:
     return F.get(F.array(*[F.lit(t.code) for t in rules.teams]), index)
 
 
-def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES, crowded: bool = False) -> DataFrame:
+def _org(customer: Column, hot: bool) -> Column:
+    """Organisation of a customer; with ``hot`` the first one has a third of all."""
+    org = F.floor(customer / MEMBERS_PER_ORG).cast("int")
+    return F.when(customer % 3 == 0, 0).otherwise(org) if hot else org
+
+
+def games(
+    spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES, crowded: bool = False, hot: bool = False
+) -> DataFrame:
     """Games read off the orders.  ``crowded`` adds away games of every team on the other
     day of some weekends, so that the weekend rule leaves shifts without candidates."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -35,7 +43,7 @@ def games(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES, crowde
     club = F.concat(F.lit(CLUB_PREFIX), F.col("org_id").cast("string"))
     own_side = F.when(number > "1", F.concat(club, F.lit(" "), number)).otherwise(club)
     base = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(
-        F.floor(F.col("o_custkey") / MEMBERS_PER_ORG).cast("int").alias("org_id"),
+        _org(F.col("o_custkey"), hot).alias("org_id"),
         key.alias("game_id"),
         F.date_add(F.lit("2000-01-03").cast("date"), (week + day).cast("int")).alias("game_date"),
         (600 + 15 * ((key * 7) % 41)).cast("int").alias("start_min"),
@@ -85,14 +93,14 @@ def clubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def persons(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def persons(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES, hot: bool = False) -> DataFrame:
     key = F.col("c_custkey")
     supervisor = key % 20 == 0
     return (
         spark.read.parquet(f"{sf_dir}/customer.parquet")
         .select("c_custkey", "c_name", "c_acctbal")
         .select(
-            F.floor(key / MEMBERS_PER_ORG).cast("int").alias("org_id"),
+            _org(key, hot).alias("org_id"),
             key.alias("person_id"),
             F.col("c_name").alias("name"),
             F.when(supervisor, SUPERVISOR_TEAM)

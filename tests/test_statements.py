@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not available")
 
 STATEMENTS = oracle.sql()
-LONG_RUNNING = {"assigner_summary", "assigner_player_mode", "fixed_roster_status", "season_totals"}
+LONG_RUNNING = {"assigner_summary", "assigner_player_mode", "fixed_roster_status", "season_totals", "assigner_hot_org"}
 
 
 def test_every_query_is_registered_once():
