@@ -135,12 +135,12 @@ def _votes(x: Column, text: Column) -> Column:
 
 def _candidates(text: Column, base: list[Column]) -> Column:
     """Runs that might be an id or a secret and overlap no span of a rule."""
-    runs = _spans(text, r"[A-Za-z0-9_+/-]++")
-    likely = F.filter(runs, lambda x: (F.length(x["m"]) >= MIN_CANDIDATE) & x["m"].rlike("[0-9]"))
+    # Only whole runs that are long enough and hold a digit match, so ordinary words cost no array work.
+    run = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{%d})(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]++" % MIN_CANDIDATE
     taken = F.concat(*base)
-    free = F.filter(likely, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    free = F.filter(_spans(text, run), lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(text.rlike(f"[A-Za-z0-9_+/-]{{{MIN_CANDIDATE}}}") & text.rlike("[0-9]"), free).otherwise(none)
+    return F.when(text.rlike("[0-9]"), free).otherwise(none)
 
 
 EM = """
