@@ -10,13 +10,18 @@ groups, in these steps, none of which loses a link between different texts:
     fixed order is right; the frequent grams that tasks report are put last so that
     no common line opens a posting.
 2.  Partition similar nodes into groups: within each posting every node is compared
-    with the posting's smallest node, and linked nodes form groups.
-3.  The token-group matrix has a row for each group and a column for each cell of
-    the gram space, with the number of distinct grams of the group's union in that
-    cell.  A query node of another group that shares a posted gram meets the group
-    once; the sum over cells of the smaller count bounds its overlap with the union
-    and so with every member.  Only groups whose bound reaches percent of the query
-    are opened and their members compared.
+    with one pivot, and linked nodes form groups.  A few rounds with other pivots join
+    most of what belongs together at a cost of one comparison per node and round.
+    Postings with the same nodes, as those of near copies, count as one.
+3.  The nodes of a posting are dealt into groups of about GROUP.  The token-group matrix
+    has a row for each group and a column for each cell of the gram space.  A set's
+    i-th gram in a cell counts as the coarse token (cell, i), so the union of a group's
+    coarse tokens is the largest count of any member in each cell, and the sum over
+    cells of the smaller of that and the query's count bounds the query's overlap with
+    every member.  Only groups whose bound reaches percent of the query are opened;
+    their members are compared by the same bound, one by one, unless they are linked
+    with the query already.  Groups meet in blocks, so no pair is a row before it has
+    passed.
 4.  New links join the groups.
 
 The same cell counts bound the overlap of two sets, so texts are fetched and compared
@@ -49,7 +54,9 @@ from rotaloom.llm.components import components
 GRAM, PERCENT = 3, 90
 CELLS = 64
 LOCAL_BYTES, LOCAL_COUNT = 8 << 20, 3
-FREQUENT_GRAMS = 50_000
+FREQUENT_GRAMS = 300_000
+STAR_ROUNDS = 3
+GROUP = 256
 BROADCAST_ROWS = 500_000
 SALTS = 8
 
@@ -104,8 +111,8 @@ def _frequent(docs: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray]:
                 )
 
     counted = map_arrow(docs.select("text"), local, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).collect()
-    grams = np.array([r.gram for r in top], np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).toArrow()
+    grams = top.column("gram").to_numpy().view(np.uint64)
     by_gram = np.argsort(grams)
     return grams[by_gram], (len(top) - np.arange(len(top)))[by_gram]  # the most frequent ranks last
 
@@ -210,61 +217,78 @@ def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 # -- the matrix --------------------------------------------------------------
-def _matrix(groups: DataFrame, members: DataFrame, sizes: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
-    """Rows (comp, union_cells) of the token-group matrix for ``groups`` (comp).
-
-    A group of one node has that node's counts.  The union of more nodes is counted
-    gram by gram, so grams that members share count once.
+def _members(column: pa.ListArray) -> list[tuple]:
+    """node, n, comp, cell counts and postings of the members of each group."""
+    offsets = np.asarray(column.offsets)
+    values = column.values
+    node, n, comp = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    cells = np.frombuffer(b"".join(values.field(3).slice(offsets[0], offsets[-1] - offsets[0]).to_pylist()), "<u4")
+    cells = cells.reshape(-1, CELLS)
+    posts = values.field(4)
+    return [
+        (node[a:b], n[a:b], comp[a:b], cells[a - offsets[0] : b - offsets[0]], posts.slice(a, b - a))
+        for a, b in zip(offsets[:-1], offsets[1:])
+    ]
+
+
+def open_groups(queries, group, percent: int, posting: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a member of another component that may be linked.
+
+    A pair that shares several postings is reported by the smallest of them only.
     """
-    of_group = members.join(groups, "comp")
-    single = sizes.join(groups, sizes.node == groups.comp).join(members.select("comp").distinct(), "comp", "left_anti")
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, (low, high) in ((b, part) for b in batches for part in slices(b.column(1), LOCAL_BYTES)):
-            batch = whole.slice(low, high - low)
-            sets = list(gram_sets(batch.column(1), gram))
-            comps = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-            grams = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-            order = np.lexsort((grams, comps))
-            grams, comps = grams[order], comps[order]
-            new = np.ones(len(grams), bool)
-            new[1:] = (grams[1:] != grams[:-1]) | (comps[1:] != comps[:-1])
-            yield pa.record_batch([pa.array(comps[new]), pa.array(grams[new])], names=["comp", "gram"])
-
-    grams = map_arrow(of_group.join(texts, "node").select("comp", "text"), exploded, "comp long, gram long").distinct()
-    cells = grams.groupBy("comp", F.shiftrightunsigned("gram", 58).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.groupBy("comp").agg(F.collect_list(F.struct("cell", "n")).alias("counts"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for counts in batch.column(1).to_pylist():
-                row = np.zeros(CELLS, "<u4")
-                for c in counts:
-                    row[c["cell"]] = c["n"]
-                out.append(row.tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["comp", "union_cells"])
-
-    several = map_arrow(rows, packed, "comp long, union_cells binary")
-    return several.unionByName(single.select("comp", F.col("cells").alias("union_cells")))
-
-
-def _open_groups(queries: DataFrame, matrix: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) of ``queries`` whose bound on the overlap with the group's union is enough."""
+    q_node, q_n, q_comp, q_cells, q_posts = queries
+    node, n, comp, cells, posts = group
+    lists: dict[int, set] = {}
+
+    def first_here(own: list[int], j: int) -> bool:
+        if j not in lists:
+            lists[j] = set(posts[j].as_py())
+        return next(p for p in own if p in lists[j]) == posting
+
+    union = cells.max(axis=0)
+    opened = np.flatnonzero(np.minimum(q_cells, union).sum(axis=1, dtype=np.int64) >= needed(q_n, percent))
+    left, right = [], []
+    for i in opened.tolist():
+        fits = np.flatnonzero((comp != q_comp[i]) & (needed(q_n[i], percent) <= n) & (needed(n, percent) <= q_n[i]))
+        most = np.minimum(cells[fits], q_cells[i]).sum(axis=1, dtype=np.int64)
+        fits = fits[linked(most, q_n[i], n[fits], percent)]
+        if len(fits) and posting is not None:
+            own = q_posts[i].as_py()
+            fits = fits[[first_here(own, j) for j in fits.tolist()]]
+        left.append(np.full(len(fits), q_node[i]))
+        right.append(node[fits])
+    none = np.empty(0, np.int64)
+    a, b = np.concatenate([*left, none]), np.concatenate([*right, none])
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _met(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a posting and pass the bounds."""
+    mixed = placed.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    mixed = mixed.filter("low < high").select("gram", F.ceil(F.col("k") / GROUP).alias("blocks"))
+    rows = materialize(placed.join(mixed, "gram"), "mixed")
+    posts = rows.groupBy("node").agg(F.sort_array(F.collect_list("gram")).alias("posts"))
+    rows = rows.join(sizes.select("node", "cells").join(posts, "node"), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    groups = rows.groupBy("gram", "blocks", block).agg(
+        F.collect_list(F.struct("node", "n", "comp", "cells", "posts")).alias("members")
+    )
+    groups = materialize(groups, "groups")
+    alone = groups.filter("blocks = 1").select("gram", F.col("members").alias("q"), F.col("members").alias("g"))
+    several = groups.filter("blocks > 1")
+    others = several.select("gram", F.col("block").alias("_other"), F.col("members").alias("g"))
+    meeting = several.join(others, "gram").filter("block <= _other").select("gram", F.col("members").alias("q"), "g")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            query, union = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CELLS)
-                for c in ("cells", "union_cells")
-            )
-            most = np.minimum(query, union).sum(axis=1, dtype=np.int64)
-            yield batch.filter(pa.array(most >= needed(batch.column("n").to_numpy(), percent))).select(["node", "comp"])
+            for row in range(batch.num_rows):
+                (queries,), (group,) = (_members(batch.column(c).slice(row, 1)) for c in (1, 2))
+                a, b = open_groups(queries, group, percent, batch.column(0)[row].as_py())
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    joined = queries.join(sizes, "node").join(matrix, "comp").select("node", "comp", "n", "cells", "union_cells")
-    return map_arrow(joined, keep, "node long, comp long")
+    return map_arrow(alone.unionByName(meeting), compared, "a long, b long").distinct()
 
 
 # -- the join ----------------------------------------------------------------
@@ -281,38 +305,39 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sizes = nodes.select("node", "n", "cells")
 
-    # Postings that more than one node shares, with the smallest node of each.
+    # Postings that more than one node shares; of those with the same nodes one is enough.
     postings = nodes.select("node", "n", F.explode("first").alias("gram"))
-    repeated = postings.groupBy("gram").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = materialize(postings.join(repeated.drop("k"), "gram"), "postings")
-
-    # Groups of similar nodes.
-    star = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    near = materialize(_bounded(_sized(star, sizes), percent), "near")
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    texts = _texts(docs, nodes, ends(near))
-    links = materialize(_verified(near, texts, gram, percent), "links")
-    members = components(links)
-
-    # Every node against the groups of others that it shares a posted gram with.
-    placed = shared.select("gram", "node", "n").join(members, "node", "left")
-    placed = materialize(placed.withColumn("comp", F.coalesce("comp", "node")), "placed")
-    mixed = placed.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    met = placed.join(mixed.select("gram"), "gram", "left_semi")
-    groups = met.groupBy("gram", F.col("comp").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    asked = met.join(groups, "gram").filter(F.col("group") < F.col("comp")).filter(fits)
-    asked = materialize(asked.select("node", F.col("group").alias("comp")).distinct(), "asked")
-    matrix = materialize(_matrix(asked.select("comp").distinct(), members, sizes, texts, gram), "matrix")
-    opened = materialize(_open_groups(asked, matrix, sizes, percent), "opened")
-    inside = members.select("comp", F.col("node").alias("b")).union(
-        opened.select("comp", F.col("comp").alias("b")).distinct()
+    once, again = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
+    repeated = postings.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("k"), F.min("node").alias("m"), F.bit_xor(once).alias("x"), F.bit_xor(again).alias("y")
     )
-    pairs = opened.select(F.col("node").alias("a"), "comp").join(inside.distinct(), "comp").select("a", "b")
-    more = materialize(_bounded(_sized(pairs, sizes), percent), "more")
+    unlike = repeated.filter("k > 1").groupBy("k", "m", "x", "y").agg(F.min("gram").alias("gram")).select("gram")
+    shared = materialize(postings.join(unlike, "gram"), "postings")
+    texts = _texts(docs, nodes, shared.select("node"))
+
+    # Groups of similar nodes, by comparing with pivots.
+    links = near = None
+    placed = shared.withColumn("comp", F.col("node"))
+    for turn in range(STAR_ROUNDS):
+        order = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
+        pivots = placed.groupBy("gram").agg(
+            F.min(F.struct(order.alias("o"), F.col("node").alias("pivot"), F.col("comp").alias("home"))).alias("p")
+        )
+        star = placed.join(pivots.select("gram", "p.pivot", "p.home"), "gram").filter("comp <> home")
+        star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        near = materialize(_bounded(_sized(star, sizes), percent), "near")
+        found = materialize(_verified(near, texts, gram, percent), "links")
+        if turn and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        members = components(links)
+        placed = shared.join(members, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = materialize(placed.select("gram", "node", "n", "comp"), "placed")
+
+    # Every node against the groups of others that it shares a posting with.
+    more = materialize(_met(placed, sizes, percent), "more")
     if not more.isEmpty():
-        found = _verified(more, _texts(docs, nodes, ends(more)), gram, percent)
-        links = materialize(links.union(found), "links")
+        links = materialize(links.union(_verified(more, texts, gram, percent)), "links")
         members = components(links)
 
     joined = nodes.select("node", "digest", "rep", "n_rows").join(members, "node", "left")
