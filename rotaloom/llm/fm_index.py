@@ -79,7 +79,10 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of ``text`` (symbols 0 .. size - 1) for patterns of up to ``depth`` symbols."""
+    """Index of ``text`` (symbols 0 .. size - 1) for patterns of up to ``depth`` symbols.
+
+    The last symbol of ``text`` must be one that no pattern holds.
+    """
 
     def __init__(self, text: np.ndarray, size: int, depth: int):
         order = suffix_order(text, depth + 1)

@@ -40,8 +40,8 @@ from rotaloom.llm.fm_index import FMIndex
 
 WINDOW, ANCHOR = 35, 12
 FREQUENT_ANCHOR = 2000
-SHARD_WORDS = 400_000
-SLICE_BYTES = 4 << 20
+SHARD_WORDS = 250_000
+SLICE_BYTES = 1 << 20
 SALTS = 8
 KEY = ["doc_id", "text_hash"]
 
@@ -259,7 +259,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     placed = described.select(*KEY, zipped).select(
         *KEY, F.col("x.anchors").alias("anchor"), F.col("x.begins").alias("begin"), F.col("x.counts").alias("count")
     )
-    repeated = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # As a table of its own, so that both sides of the join are dealt out and a hot anchor can be split.
+    repeated = materialize(placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
     hits = placed.join(repeated, "anchor").groupBy(*KEY).agg(
         F.collect_set(F.struct("begin", "count", "anchor", "n")).alias("hits")
     )
