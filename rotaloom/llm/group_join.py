@@ -50,6 +50,7 @@ from rotaloom.llm.common import (
     word_spans,
 )
 from rotaloom.llm.components import components
+from rotaloom.plans.scratch import Scratch
 
 GRAM, PERCENT = 3, 90
 CELLS = 64
@@ -294,7 +295,8 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 # -- the join ----------------------------------------------------------------
 def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The set of each row, and per digest that is copied or linked: component_id and its representative row."""
-    sets = materialize(_sets(docs, gram, percent), "sets")
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.keep(_sets(docs, gram, percent), "sets", "sets")
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     nodes = (
         sets.filter("n > 0")
@@ -303,6 +305,10 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
              F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_rows"))
     )
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # From here on a row needs no more than its key and its set's digest.
+    light = materialize(sets.select("doc_id", "text_hash", "n", "digest"), "rows")
+    scratch.remove("sets")
+    sets = light
     sizes = nodes.select("node", "n", "cells")
 
     # Postings that more than one node shares; of those with the same nodes one is enough.
@@ -312,6 +318,9 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
         F.count(F.lit(1)).alias("k"), F.min("node").alias("m"), F.bit_xor(once).alias("x"), F.bit_xor(again).alias("y")
     )
     unlike = repeated.filter("k > 1").groupBy("k", "m", "x", "y").agg(F.min("gram").alias("gram")).select("gram")
+    unlike = materialize(unlike, "grams")
+    if unlike.count() <= BROADCAST_ROWS:  # a checked size; beyond it the postings are dealt out once more
+        unlike = F.broadcast(unlike)
     shared = materialize(postings.join(unlike, "gram"), "postings")
     texts = _texts(docs, nodes, shared.select("node"))
 
