@@ -476,6 +476,8 @@ def assign(
     while done < total and slack <= LAST_SLACK:
         seed += 1
         filled = accept("propose", _propose(state, seed, slack))
+        if not filled and slack:
+            break  # two rounds without a taker: the exact pass is next
         slack = next_slack(slack, filled, total - done)
         done += filled
     for alone in (False,) if rules.team_mode else (False, True):

@@ -50,7 +50,7 @@ def make_workers(spark, owing, team="M1"):
 def test_every_slot_is_filled_once(spark, people, shifts, slots, want):
     spans = [(660 + 150 * i, 780 + 150 * i) for i in range(shifts)]
     cands = make_cands(spark, spans, slots, people)
-    run = A.assign(cands, make_workers(spark, [100] * people), PLAYER)
+    run = A.assign(cands, make_workers(spark, [100] * people), PLAYER, least_gain=1.0)
     assert run.roster.count() == want and run.uncovered().isEmpty()
     assert score.violations(run.roster, run.workers, cands, PLAYER).isEmpty()
 
@@ -58,7 +58,7 @@ def test_every_slot_is_filled_once(spark, people, shifts, slots, want):
 def test_uncoverable_slot_is_reported(spark):
     # One member cannot serve two shifts at the same time.
     cands = make_cands(spark, [(660, 780), (700, 800)], 1, 1)
-    run = A.assign(cands, make_workers(spark, [500]), PLAYER)
+    run = A.assign(cands, make_workers(spark, [500]), PLAYER, least_gain=1.0)
     assert run.uncovered().count() == 1
     assert tuples(run.status(), "n_slots", "n_filled", "status") == [(2, 1, "partial")]
 
@@ -77,7 +77,7 @@ def test_optional_cover_skips_what_does_not_pay(spark):
 def test_fixed_slot_is_kept(spark):
     cands = make_cands(spark, [(660, 780), (800, 900)], 1, 3)
     fixed = spark.createDataFrame([(1, "s0", 0, 2)], "org_id int, shift_id string, slot_nr int, person_id long")
-    run = A.assign(cands, make_workers(spark, [500, 500, 0]), PLAYER, fixed=fixed)
+    run = A.assign(cands, make_workers(spark, [500, 500, 0]), PLAYER, fixed=fixed, least_gain=1.0)
     assert (0, 2) in [(r.slot_nr, r.person_id) for r in run.roster.filter("shift_id = 's0'").collect()]
     assert score.violations(run.roster, run.workers, cands, PLAYER, fixed=fixed).isEmpty()
 
@@ -118,7 +118,7 @@ def test_assignment_does_not_depend_on_partitions(spark, make_games, make_person
     rosters = []
     for n in ("2", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        run = Season(games.repartition(int(n)), persons.repartition(int(n)), TEAM).assign()
+        run = Season(games.repartition(int(n)), persons.repartition(int(n)), TEAM).assign(least_gain=1.0)
         rosters.append(tuples(run.roster, "org_id", "shift_id", "slot_nr", "person_id"))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert rosters[0] and rosters[0] == rosters[1]
@@ -127,7 +127,7 @@ def test_assignment_does_not_depend_on_partitions(spark, make_games, make_person
 def test_model_tables_agree_with_the_scorer(player_season):
     season, pairs = player_season
     built = model.build_model(pairs, season.active, PLAYER)
-    for roster in (season.simple_roster, season.assign().roster):
+    for roster in (season.simple_roster, season.assign(least_gain=1.0).roster):
         solution = model.solution_of(roster, built, pairs, season.active)
         priced = {(r.org_id, r.problem): (r.objective, r.n_missing) for r in model.objective(built, solution).collect()}
         scored = score.score(roster, season.active, season.free, season.costs, PLAYER).collect()
