@@ -4,14 +4,16 @@ The vocabulary is a merge-type (BPE) piece model with byte fallback.  A text is
 space mark, then its characters with spaces turned into space marks.  The agenda of a
 stretch of text holds every adjacent pair whose concatenation is a piece; the best
 scored pair, the leftmost of equals, is merged until none is left.  With dropout, a
-candidate merge is skipped for good when a keyed hash of its place (seed, document,
-stretch, span) falls below the rate, so one seed always gives the same segmentation
-and another seed another one.  With rate 0 the ids are those of the library.
+candidate merge is skipped for good when a keyed hash of its place (seed, document
+and copy, number of the stretch in the document, span) falls below the rate, so one
+seed always gives the same segmentation and another seed another one, and every
+occurrence of a stretch draws for itself.  With rate 0 the ids are those of the library.
 
 Stretches are cut where no piece can reach across: at space marks after other
 characters and around characters that no merge contains.  All distinct stretches of
-a batch are merged in step by array operations; very long ones use a heap.  Which of
-VARIANTS segmentations an occurrence gets is drawn by document and place.
+a batch are merged in step by array operations; very long ones use a heap.  Occurrences
+that skip none of the candidates met there have that segmentation; all others are merged
+one by one, in step as well.
 
 Characters outside the vocabulary become bytes, and so does the mark character itself
 when a text contains it, so decoding gives back every text exactly.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from rotaloom.llm.common import map_arrow, mix, pack, span_hashes
 
 MARK = "▁"
-RATE, SEED, VARIANTS = 0.1, 2024, 16
+RATE, SEED = 0.1, 2024
 LONG = 96
 CHUNK_CHARS = 1 << 20
 _MASK = (1 << 64) - 1
@@ -168,8 +170,13 @@ class Pieces:
             offer(i)
         return [s for s, g in zip(symbols, gone) if not g]
 
-    def merge_all(self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Merge many stretches in step: their symbols one after the other, and how many each keeps."""
+    def merge_all(
+        self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int, seen: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Merge many stretches in step: their symbols one after the other, and how many each keeps.
+
+        ``seen`` takes up the stretch and the hashed span of every candidate that is met, but for very long stretches.
+        """
         numbers = np.arange(len(lengths))
         done_numbers: list[np.ndarray] = []
         done_symbols: list[np.ndarray] = []
@@ -189,11 +196,16 @@ class Pieces:
         def score(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Rank and piece of the pairs (at, at + 1) that lie in one stretch."""
             piece = self.merged(sym[at], sym[at + 1])
-            if limit:
-                place = keys[seg[at]].copy()
-                for offset, factor in zip((start[at], start[at + 1], end[at + 1]), _PLACE):
-                    place += offset.astype(np.uint64) * np.uint64(factor)
-                piece[mix(place) < np.uint64(limit)] = -1
+            if limit or seen is not None:
+                met = np.flatnonzero(piece >= 0)
+                pair = at[met]
+                span = np.zeros(len(met), np.uint64)
+                for offset, factor in zip((start[pair], start[pair + 1], end[pair + 1]), _PLACE):
+                    span += offset.astype(np.uint64) * np.uint64(factor)
+                if seen is not None:
+                    seen.append((seg[pair], span))
+                if limit:
+                    piece[met[mix(keys[seg[pair]] + span) < np.uint64(limit)]] = -1
             return np.where(piece < 0, _NEVER, self.rank[piece]), piece
 
         rank, piece = np.full(len(sym), _NEVER), np.full(len(sym), -1, np.int64)
@@ -266,28 +278,25 @@ class Pieces:
         hashes = span_hashes(values, begins, ends, _FIRST)
         second = span_hashes(values, begins, ends, _SECOND)
         limit = min(int(rate * 2**64), _MASK)
-        if limit:
-            ordinal = np.arange(len(begins)) - np.repeat(reach[:-1], np.diff(reach))
-            drawn = mix(np.repeat(keys, np.diff(reach)) + (ordinal + seed).astype(np.uint64) * np.uint64(_FIRST))
-            variant = mix((drawn % np.uint64(VARIANTS) + np.uint64(1 + VARIANTS * seed)) * np.uint64(_SECOND))
-            # A stretch of one character has one segmentation.
-            variant[ends - begins == 1] = 0
-            key = mix(hashes ^ variant)
-            second = second ^ variant
-        else:
-            key = hashes
-        codes_of, firsts = pd.factorize(key)
+        codes_of, firsts = pd.factorize(hashes)
         rep = np.empty(len(firsts), np.int64)
         rep[codes_of[::-1]] = np.arange(len(codes_of) - 1, -1, -1)
         if (second != second[rep[codes_of]]).any():
-            codes_of, firsts = pd.factorize(pd.MultiIndex.from_arrays([key, second]))
+            codes_of, firsts = pd.factorize(pd.MultiIndex.from_arrays([hashes, second]))
             rep = np.empty(len(firsts), np.int64)
             rep[codes_of[::-1]] = np.arange(len(codes_of) - 1, -1, -1)
 
-        lengths = ends[rep] - begins[rep]
-        upto = np.cumsum(lengths)
-        source = np.repeat(begins[rep] - (upto - lengths), lengths) + np.arange(int(lengths.sum()))
-        kept, counts = self.merge_all(self.symbol[codes[source]], lengths, key[rep], limit)
+        seen: list[tuple[np.ndarray, np.ndarray]] | None = [] if limit else None
+        kept, counts = self._merge_spans(codes, begins[rep], ends[rep], hashes[rep], 0, seen)
+        if limit:
+            ordinal = np.arange(len(begins)) - np.repeat(reach[:-1], np.diff(reach))
+            of_seed = np.uint64(_mix_int((seed * _SECOND + 1) & _MASK))
+            drawn = mix(np.repeat(mix(keys ^ of_seed), np.diff(reach)) + ordinal.astype(np.uint64) * np.uint64(_FIRST))
+            own = np.flatnonzero(self._skips(codes_of, drawn, seen, limit, len(rep)) | (ends - begins > LONG))
+            more, more_counts = self._merge_spans(codes, begins[own], ends[own], drawn[own], limit)
+            codes_of = codes_of.copy()
+            codes_of[own] = len(rep) + np.arange(len(own))
+            kept, counts = np.concatenate([kept, more]), np.concatenate([counts, more_counts])
         kept, counts = self._with_bytes(kept, counts)
         begin = np.cumsum(counts) - counts
         of = counts[codes_of]
@@ -295,6 +304,28 @@ class Pieces:
         source = np.repeat(begin[codes_of] - (upto - of), of) + np.arange(int(of.sum()))
         return kept[source], np.diff(np.concatenate([[0], upto])[reach])
 
+    def _merge_spans(
+        self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray, limit: int, seen: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``merge_all`` of stretches of a text."""
+        lengths = ends - begins
+        upto = np.cumsum(lengths)
+        source = np.repeat(begins - (upto - lengths), lengths) + np.arange(int(lengths.sum()))
+        return self.merge_all(self.symbol[codes[source]], lengths, keys, limit, seen)
+
+    def _skips(self, codes_of: np.ndarray, keys: np.ndarray, seen: list, limit: int, n: int) -> np.ndarray:
+        """Whether an occurrence skips one of the ``seen`` candidates of its stretch, of which there are ``n``."""
+        stretch = np.concatenate([np.empty(0, np.int64), *[s for s, _ in seen]])
+        spans = np.concatenate([np.empty(0, np.uint64), *[p for _, p in seen]])
+        spans = spans[np.argsort(stretch, kind="stable")]
+        counts = np.bincount(stretch, minlength=n)
+        of = counts[codes_of]
+        upto = np.cumsum(of)
+        source = np.repeat((np.cumsum(counts) - counts)[codes_of] - (upto - of), of) + np.arange(int(of.sum()))
+        hit = mix(np.repeat(keys, of) + spans[source]) < np.uint64(limit)
+        total = np.concatenate([[0], np.cumsum(hit)])
+        return total[upto] > total[upto - of]
+
     def _with_bytes(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters outside the vocabulary as byte pieces."""
         odd = np.flatnonzero(symbols >= self.size)
@@ -350,14 +381,16 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 def encode(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """``docs`` with piece_ids and n_pieces instead of text.
 
-    Null and empty texts have no pieces.  Rows with one doc_id and text get the same
-    pieces, as do all rows without doc_id; an empty table stays empty.  Columns of
-    ``docs`` with one of the new names give way.
+    Null and empty texts have no pieces.  Equal rows are numbered, and each of these
+    copies draws its own dropout; rows without doc_id count as one document.  An empty
+    table stays empty.  Columns of ``docs`` with one of the new names give way.
     """
     with open(model_file, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
     packed, restored = pack(docs, ["doc_id", "text"])
-    rows = packed.select("doc_id", "_rest", F.xxhash64("doc_id").alias("_key"), "text")
+    counted = packed.groupBy("doc_id", "text", "_rest").agg(F.count(F.lit(1)).alias("_copies"))
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    rows = copies.select("doc_id", "_rest", F.xxhash64("doc_id", "_copy").alias("_key"), "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = pieces(model.value)
@@ -401,6 +434,7 @@ def round_trip(docs: DataFrame, model_file: str, rate: float = RATE, seed: int =
 
     ids_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit
     integers; ``lossless`` says whether decoding gave the text back (null: empty).
+    Equal rows are one document here and get the same pieces.
     """
     with open(model_file, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())

@@ -84,3 +84,29 @@ def test_rows(spark):
     back = sorted(((r.doc_id, r.text) for r in P.decode(coded, FILE).collect()), key=str)
     assert back == sorted(((d, t or "") for d, t, _ in rows), key=str)
     assert P.encode(docs.limit(0), FILE).count() == 0
+
+
+def test_every_occurrence_draws_for_itself():
+    """More segmentations of a frequent word than the 16 that a stretch once had, each that of the plain agenda."""
+    word, rate, seed = " internationalisation", 0.3, 7
+    text = " " + word.strip() + word * 399
+    keys = np.array([5, 6], np.uint64)
+    symbols = [int(TABLES.symbol[ord(c)]) for c in word]
+    ids, counts = TABLES.encode([text[1:]] * 2, keys, rate, seed)
+    got = split(ids, counts)
+    want, shown = [], set()
+    for key in keys.tolist():
+        base = P._mix_int(key ^ P._mix_int((seed * P._SECOND + 1) & P._MASK))
+        parts = [agenda(symbols, P._mix_int((base + i * P._FIRST) & P._MASK), int(rate * 2**64)) for i in range(400)]
+        shown |= {tuple(p) for p in parts}
+        want.append([s for p in parts for s in p])
+    assert got == want
+    assert got[0] != got[1] and len(shown) > 16
+
+
+def test_copies_draw_for_themselves(spark):
+    text = "the international organisation of the thing and the other thing " * 5
+    docs = spark.createDataFrame([(1, text, "x")] * 3 + [(2, "short", "y")], "doc_id long, text string, source string")
+    one = sorted(tuple(r.piece_ids) for r in P.encode(docs.repartition(3), FILE).filter("doc_id = 1").collect())
+    assert len(one) == len(set(one)) == 3
+    assert one == sorted(tuple(r.piece_ids) for r in P.encode(docs.coalesce(1), FILE).filter("doc_id = 1").collect())
