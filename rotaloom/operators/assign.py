@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaloom.operators.candidates import CLASS, SHIFT, open_slots, with_class
-from rotaloom.operators.score import PERSON
+from rotaloom.operators.score import PERSON, PROBLEM
 from rotaloom.plans.scratch import Scratch
-from rotaloom.plans.skew import spread_row_number
+from rotaloom.plans.skew import salted_join, spread_row_number
 from rotaloom.rules import Rules
 
 LANE = ["org_id", "problem", "team_code"]
@@ -81,11 +81,16 @@ class _State:
 
     def replace_chosen(self, chosen: DataFrame) -> None:
         """Write the new roster and delete the one it supersedes."""
-        old = self.scratch.paths.get("chosen")
-        self.chosen = self.scratch.keep(chosen, "chosen", "chosen")
+        self.chosen = self.replace(chosen, "chosen")
+
+    def replace(self, table: DataFrame, name: str) -> DataFrame:
+        """Write the next version of a table and delete the one it supersedes."""
+        old = self.scratch.paths.get(name)
+        new = self.scratch.keep(table, name, name)
         if old:
             self.scratch.paths["old"] = old
             self.scratch.remove("old")
+        return new
 
     def stage_rested(self) -> DataFrame:
         """``rested`` as a table, for the several uses of one round."""
@@ -342,9 +347,10 @@ def _first_members(state: _State, pairs: DataFrame, rested: DataFrame) -> DataFr
     return asked.join(ranked, [*group, "position"]).drop("position")
 
 
-def _improve(state: _State, seed: int) -> DataFrame:
+def _improve(state: _State, seed: int, going: DataFrame) -> DataFrame:
     """One improvement round: slots whose transfer to another member pays off.
 
+    Only slots of the organisations and problems in ``going`` are looked at.
     A hash splits the members into givers and takers, so gains of one round do
     not interfere.  Shifts bound to one team move between its members only.
     """
@@ -355,7 +361,9 @@ def _improve(state: _State, seed: int) -> DataFrame:
     )
     takers = rested.filter("takes")
     heads = takers.groupBy(*LANE).agg(F.max("rest").alias("head_rest"), F.count(F.lit(1)).alias("n_members"))
-    held = state.held().filter("not is_fixed").join(givers, PERSON)
+    free = state.held().filter("not is_fixed")
+    mine = salted_join(free, going.select(*PROBLEM), PROBLEM, "left_semi", ["shift_id", "slot_nr"], rules.salts)
+    held = mine.join(givers, PERSON)
     old_lane = state.lanes.select(*SHIFT, F.col("team_code").alias("old_team"), F.col("cost").alias("old_cost"))
     offered = (
         held.withColumnRenamed("person_id", "old_person")
@@ -404,7 +412,7 @@ def _improve(state: _State, seed: int) -> DataFrame:
         - F.col("cost")
         - added_cost(F.col("rest") - added, F.col("minutes"), rules)
     )
-    return moves.withColumn("gain", gain).filter("gain > 1e-6").select(*SLOT, "person_id", "gain")
+    return moves.withColumn("gain", gain).filter("gain > 1e-6").select(*SLOT, "problem", "person_id", "gain")
 
 
 def next_slack(slack: float, filled: int, left: int) -> float:
@@ -414,12 +422,14 @@ def next_slack(slack: float, filled: int, left: int) -> float:
     return slack * 4 if slack else FIRST_SLACK
 
 
-def _objective(state: _State) -> float:
-    """Balance penalty and proximity of the current choice, over all organisations."""
-    rested = state.rested().agg(F.sum(_penalty(F.col("rest"), state.rules))).first()[0]
+def _objectives(state: _State) -> DataFrame:
+    """Balance penalty and proximity of the current choice, per organisation and problem."""
+    time = state.rested().groupBy(*PROBLEM).agg(F.sum(_penalty(F.col("rest"), state.rules)).alias("_time"))
     teams = state.workers.select(*PERSON, "team_code")
     near = state.held().join(teams, PERSON).join(state.lanes.select(*SHIFT, "team_code", "cost"), [*SHIFT, "team_code"])
-    return float(rested or 0) + float(near.agg(F.sum("cost")).first()[0] or 0)
+    near = near.groupBy(*PROBLEM).agg(F.sum("cost").alias("_near"))
+    objective = F.coalesce("_time", F.lit(0.0)) + F.coalesce("_near", F.lit(0))
+    return time.join(near, PROBLEM, "left").select(*PROBLEM, objective.cast("double").alias("objective"))
 
 
 def assign(
@@ -433,15 +443,15 @@ def assign(
     """Fill the slots of the candidates at low cost under N1 to N4.
 
     Rounds go on while they fill slots, with a tolerance that grows as they fill
-    fewer.  Improvement goes on until a round gains less than ``least_gain`` of the
-    objective, or until two rounds in a row find nothing.
+    fewer.  Improvement goes on, for each organisation and problem by itself, until two
+    rounds in a row gain no more than ``least_gain`` of its own objective.
 
     ``cover='exactly_one'`` fills every slot somebody can take; ``at_most_one``
     fills a slot only where that lowers the objective.
 
     ``cands`` are free candidates with a ``cost`` column and ``workers`` comes
     from ``active_workers``; both should be stage tables.  The driver sees one
-    number per round, the count of newly filled or moved slots.
+    number per round, the count of newly filled or moved slots, and the sum of the gains.
     """
     scratch = Scratch(cands.sparkSession)
     lanes = scratch.keep(_lanes(cands), "lanes", "lanes")
@@ -487,21 +497,25 @@ def assign(
             done += n
             if n == 0:
                 break
-    objective = _objective(state)
-    quiet, seed = 0, 1000
-    while quiet < 2:
+    groups, seed = state.replace(_objectives(state).withColumn("quiet", F.lit(0)), "groups"), 1000
+    while not (going := groups.filter("quiet < 2")).isEmpty():
         seed += 1
-        moves = scratch.keep(_improve(state, seed), "moves", "moves")
+        moves = scratch.keep(_improve(state, seed, going), "moves", "moves")
         n, gain = moves.agg(F.count(F.lit(1)), F.coalesce(F.sum("gain"), F.lit(0.0))).first()
         rounds.append({"step": "improve", "slots": n, "gain": gain})
         if n:
             kept = state.chosen.join(moves.select(*SLOT, F.col("person_id").alias("_new")), SLOT, "left")
             state.replace_chosen(kept.withColumn("person_id", F.coalesce("_new", "person_id")).select(*CHOSEN))
-        scratch.remove("moves", "rested")
+        gained = groups.join(moves.groupBy(*PROBLEM).agg(F.sum("gain").alias("gain")), PROBLEM, "left").withColumn(
+            "gain", F.coalesce("gain", F.lit(0.0))
+        )
         # Givers and takers swap at random, so one quiet round may be bad luck.
-        quiet = quiet + 1 if gain <= least_gain * abs(objective) else 0
-        objective -= gain
-    scratch.remove("lanes")
+        still = F.col("gain") <= least_gain * F.abs("objective")
+        quiet = F.when((F.col("quiet") >= 2) | still, F.col("quiet") + 1).otherwise(0)
+        objective = F.col("objective") - F.col("gain")
+        groups = state.replace(gained.select(*PROBLEM, objective.alias("objective"), quiet.alias("quiet")), "groups")
+        scratch.remove("moves", "rested")
+    scratch.remove("lanes", "groups")
     return Assignment(state.chosen, slots, workers, rounds)
 
 

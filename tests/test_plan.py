@@ -102,6 +102,25 @@ def test_objective_between_optimum_and_bound(spark):
     assert bound <= best <= got <= best * 1.25
 
 
+def test_each_club_is_improved_until_its_own_gains_are_small(spark, monkeypatch):
+    """A club that still gains 30 % a round is not stopped by another with a far larger objective."""
+    small = make_cands(spark, [(660, 780)], 1, 2)
+    cands = small.unionByName(small.withColumn("org_id", F.lit(2)))
+    workers = make_workers(spark, [500, 500])
+    rich = workers.withColumn("org_id", F.lit(2)).withColumn("owing_min", F.lit("9000000").cast("decimal(20,6)"))
+    seen = []
+
+    def scripted(state, seed, *going):
+        seen.append([r.org_id for r in going[0].collect()] if going else None)
+        gain = 300.0 if len(seen) <= 3 else 0.0
+        moves = state.chosen.filter("org_id = 1").withColumn("gain", F.lit(gain)).filter("gain > 0")
+        return moves.select(*A.SLOT, "problem", "person_id", "gain")
+
+    monkeypatch.setattr(A, "_improve", scripted)
+    A.assign(cands, workers.unionByName(rich), TEAM)
+    assert [sorted(orgs) for orgs in seen] == [[1, 2], [1, 2], [1], [1], [1]]
+
+
 def test_player_mode_assignment_keeps_every_rule(player_season):
     season, _ = player_season
     run = season.assign()
