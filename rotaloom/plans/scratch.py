@@ -51,6 +51,15 @@ class Scratch:
         self.paths[slot or path] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def replace(self, df: DataFrame, slot: str) -> DataFrame:
+        """Write the next version of a table and delete the one it supersedes."""
+        old = self.paths.get(slot)
+        new = self.keep(df, slot, slot)
+        if old:
+            self.paths["old"] = old
+            self.remove("old")
+        return new
+
     def remove(self, *slots: str) -> None:
         """Delete tables that nothing reads any more."""
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
