@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaloom.llm.common import materialize
+from rotaloom.plans.scratch import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,12 +15,11 @@ def components(edges: DataFrame) -> DataFrame:
     those of the node its label names, so labels travel over doubling distances.
     Every round is a table in the shared folder.  Loops and repeated edges do no harm.
     """
-    both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
-    )
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("comp")
-    ), "labels")
+    scratch = Scratch(edges.sparkSession)
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = scratch.keep(both, "edges", "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    labels = scratch.keep(labels.select("node", F.least("node", "m").alias("comp")), "labels", "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("comp").alias("near")
@@ -31,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
             .join(jump, "comp")
             .select("node", F.least("comp", "near", "far").alias("next"), F.col("comp").alias("old"))
         )
-        following = materialize(following, "labels")
-        moved = following.filter("next <> old")
+        following = scratch.replace(following, "labels")
         labels = following.select("node", F.col("next").alias("comp"))
-        if moved.isEmpty():
+        if following.filter("next <> old").isEmpty():
+            scratch.remove("edges")
             return labels

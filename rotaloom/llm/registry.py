@@ -13,6 +13,7 @@ from rotaloom.llm import (
     exact_dedup,
     group_join,
     language_id,
+    lexical,
     main_text,
     mixing,
     personal_data,
@@ -20,6 +21,8 @@ from rotaloom.llm import (
     quality,
     substring_dedup,
     token_binary,
+    vector_codes,
+    vector_join,
 )
 from rotaloom.llm.common import documents
 from rotaloom.plans.scratch import folder
@@ -82,6 +85,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return lexical.rank(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -98,5 +114,8 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_main_text": op9_main_text,
         "op10_personal_data": op10_personal_data,
+        "op11_vector_join": op11_vector_join,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": pipeline,
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from rotaloom.llm.lexical_statements import OP13
+from rotaloom.llm.vector_statements import OP11, OP12
+
 OP2 = """
 with t as (select doc_id, coalesce(text, '') as body from documents),
 g as (select body, max(doc_id) as keep_id, count(*) as group_size from t group by body)
@@ -114,4 +117,11 @@ from e
 
 
 def sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op8_mixing": OP8}
+    return {
+        "op2_exact_dedup": OP2,
+        "op4_quality_rules": OP4,
+        "op8_mixing": OP8,
+        "op11_vector_join": OP11,
+        "op12_vector_codes": OP12,
+        "op13_lexical_search": OP13,
+    }
