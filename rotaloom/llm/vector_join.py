@@ -59,7 +59,7 @@ def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     sizes = np.diff(np.asarray(vectors.offsets)[: len(vectors) + 1])
     if (sizes == dim).all():
-        return flat.reshape(-1, dim)
+        return flat.reshape(len(sizes), dim)
     out = np.zeros((len(sizes), dim))
     out[np.arange(dim) < sizes[:, None]] = flat
     return out
