@@ -11,6 +11,12 @@ Marginal costs within a round assume that all earlier proposals of the round
 are accepted.  The time penalty is convex, so that estimate is never too low,
 accepted improvements never raise the objective, and the outcome does not
 depend on partitioning.
+
+Every organisation and problem goes through the rounds by itself: a state table has
+its tolerance and whether it goes on, so its roster is the same alone and beside any others.
+In team mode, where a few representatives serve each organisation, improvement exchanges
+slots along chains: a slot moves to another member, two slots change places, or a
+slot pushes another one of the same length out to a third member.
 """
 
 from __future__ import annotations
@@ -31,8 +37,11 @@ SLOT = [*SHIFT, "slot_nr"]
 UNIT = ["org_id", "problem", "shift_id", "shift_date", "start_min", "end_min", "minutes", "n_slots"]
 CHOSEN = ["org_id", "problem", "shift_id", "slot_nr", "person_id", "is_fixed"]
 ANY_COST = 1e18
-# A round that fills less than one in FEW open slots widens the tolerance, fourfold up to LAST_SLACK.
-FEW, FIRST_SLACK, LAST_SLACK = 4, 30.0, 30.0 * 4**5
+# A round that fills less than SHARE of the open slots widens the tolerance GROWTH times; the last REST of the
+# slots are taken at any cost, as improvement follows.
+SHARE, REST, FIRST_SLACK, GROWTH = 0.25, 0.02, 30.0, 16
+# Slots of one length that a member hands to another in one round, and the least gain of an exchange.
+UNITS, LEAST = 8, 1e-6
 
 
 @dataclass
@@ -85,12 +94,11 @@ class _State:
 
     def replace(self, table: DataFrame, name: str) -> DataFrame:
         """Write the next version of a table and delete the one it supersedes."""
-        old = self.scratch.paths.get(name)
-        new = self.scratch.keep(table, name, name)
-        if old:
-            self.scratch.paths["old"] = old
-            self.scratch.remove("old")
-        return new
+        return self.scratch.replace(table, name)
+
+    def only(self, rows: DataFrame, going: DataFrame) -> DataFrame:
+        """Rows of the organisations and problems in ``going``, of which one may hold most rows."""
+        return salted_join(rows, going.select(*PROBLEM), PROBLEM, "left_semi", ["shift_id", "slot_nr"], self.rules.salts)
 
     def stage_rested(self) -> DataFrame:
         """``rested`` as a table, for the several uses of one round."""
@@ -201,10 +209,10 @@ def _ranked(state: _State, rested: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def _propose(state: _State, seed: int, slack: float) -> DataFrame:
-    """One round: every open shift asks its cheapest team; returns the accepted slots."""
+def _propose(state: _State, seed: int, going: DataFrame) -> DataFrame:
+    """One round: every open shift of ``going`` asks its cheapest team; returns the accepted slots."""
     rules = state.rules
-    open_ = state.open()
+    open_ = state.only(state.open(), going)
     rested = state.stage_rested()
     heads = rested.groupBy(*LANE).agg(F.max("rest").alias("head_rest"), F.count(F.lit(1)).alias("n_members"))
     asking = _eligible(state, _units(state, open_)).join(heads, LANE).withColumn(
@@ -227,7 +235,8 @@ def _propose(state: _State, seed: int, slack: float) -> DataFrame:
     shift_by = F.pmod(_hash("shift_id", seed), F.col("n_members")) if seed % 2 == 0 else F.lit(0)
     place = F.pmod((F.col("turn") - 1) * width + F.col("k") + shift_by, F.col("n_members")) + 1
     proposals = (
-        best.join(numbered, SHIFT)
+        salted_join(best, going.select(*PROBLEM, "slack"), PROBLEM, "inner", ["shift_id"], rules.salts)
+        .join(numbered, SHIFT)
         .withColumn("position", place.cast("long"))
         .join(_ranked(state, rested, seed), [*LANE, "position"])
         .filter(F.array_contains("free_groups", F.col("coach_of")))
@@ -239,7 +248,7 @@ def _propose(state: _State, seed: int, slack: float) -> DataFrame:
     exact = added_cost(F.col("rest") - taken, F.col("minutes"), rules) + F.col("cost")
     # Without another team the alternative is another member, or nobody at all.
     fallback = F.when(F.col("n_members") == 1, ANY_COST).otherwise(F.col("asked"))
-    limit = F.greatest(F.coalesce(F.col("next_best"), fallback), F.col("asked") + slack)
+    limit = F.greatest(F.coalesce(F.col("next_best"), fallback), F.col("asked") + F.col("slack"))
     accepted = proposals.withColumn("fine", (exact <= limit) & state.worthwhile(exact)).filter("fine")
     fine = _without_clashes(state, accepted)
     if not rules.team_mode:
@@ -252,7 +261,7 @@ def _propose(state: _State, seed: int, slack: float) -> DataFrame:
     )
 
 
-def _settle(state: _State, seed: int, alone: bool) -> DataFrame:
+def _settle(state: _State, seed: int, alone: bool, going: DataFrame) -> DataFrame:
     """Exact pass for the shifts the rounds left open.
 
     The penalty is convex, so the cheapest members of a class are those with the
@@ -264,7 +273,7 @@ def _settle(state: _State, seed: int, alone: bool) -> DataFrame:
     team rule does not bind.
     """
     rules = state.rules
-    open_ = state.open()
+    open_ = state.only(state.open(), going)
     rested = state.stage_rested()
     if alone:
         units = open_.withColumn("need", F.lit(1)).withColumn("anchor", F.lit(None).cast("string"))
@@ -362,8 +371,7 @@ def _improve(state: _State, seed: int, going: DataFrame) -> DataFrame:
     takers = rested.filter("takes")
     heads = takers.groupBy(*LANE).agg(F.max("rest").alias("head_rest"), F.count(F.lit(1)).alias("n_members"))
     free = state.held().filter("not is_fixed")
-    mine = salted_join(free, going.select(*PROBLEM), PROBLEM, "left_semi", ["shift_id", "slot_nr"], rules.salts)
-    held = mine.join(givers, PERSON)
+    held = state.only(free, going).join(givers, PERSON)
     old_lane = state.lanes.select(*SHIFT, F.col("team_code").alias("old_team"), F.col("cost").alias("old_cost"))
     offered = (
         held.withColumnRenamed("person_id", "old_person")
@@ -415,11 +423,121 @@ def _improve(state: _State, seed: int, going: DataFrame) -> DataFrame:
     return moves.withColumn("gain", gain).filter("gain > 1e-6").select(*SLOT, "problem", "person_id", "gain")
 
 
-def next_slack(slack: float, filled: int, left: int) -> float:
-    """Tolerance over the asked cost of the next round: it grows while a round fills little of what is open."""
-    if filled * FEW >= left:
-        return slack
-    return slack * 4 if slack else FIRST_SLACK
+def _edges(state: _State, rested: DataFrame, going: DataFrame) -> DataFrame:
+    """Team mode: the slots of each length that a giver hands to a taker at the least change of proximity.
+
+    Representatives are bounded by the teams, so the result is bounded for each organisation
+    by the pairs of them, the lengths and UNITS.
+    """
+    givers = rested.select(*PERSON, F.col("team_code").alias("old_team"))
+    old_lane = state.lanes.select(*SHIFT, F.col("team_code").alias("old_team"), F.col("cost").alias("old_cost"))
+    takers = rested.select(*LANE, "coach_of", F.col("person_id").alias("taker"))
+    offers = (
+        state.only(state.held().filter("not is_fixed"), going)
+        .join(givers, PERSON)
+        .join(old_lane, [*SHIFT, "old_team"])
+        .join(state.lanes, SHIFT)
+        .join(takers, LANE)
+        .filter(F.array_contains("free_groups", F.col("coach_of")) & (F.col("person_id") != F.col("taker")))
+    )
+    key = [*PROBLEM, "minutes", "giver", "taker"]
+    delta = (F.col("cost") - F.col("old_cost")).cast("double").alias("delta")
+    priced = offers.select(
+        *PROBLEM, "minutes", F.col("person_id").alias("giver"), "taker",
+        F.struct(delta, F.xxhash64("shift_id", "slot_nr").alias("tie"), "shift_id", "slot_nr").alias("slot"),
+    )
+    first = priced.withColumn("_nr", F.row_number().over(Window.partitionBy(*key).orderBy("slot"))).filter(F.col("_nr") <= UNITS)
+    return first.groupBy(*key).agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+
+
+def _chains(state: _State, going: DataFrame, linked: bool) -> DataFrame:
+    """Team mode: one improvement round by exchanges that pay off and share no member.
+
+    A chain moves up to UNITS slots of one length from one member to another, as long as each pays off
+    by itself.  If ``linked`` it may also be a swap of two slots of any lengths or an ejection, where the slot that a member takes pushes out one of the same length to a third member.  Of the
+    chains between the same first and last member the best is kept; from the best of an organisation and problem
+    down, a chain is taken if none of its members is in one taken before.  So the gains of a
+    round add up and the objective falls by exactly their sum.
+    """
+    rules = state.rules
+    rested = state.stage_rested()
+    edges = state.scratch.keep(_edges(state, rested, going), "edges", "edges")
+
+    def side(prefix: str) -> DataFrame:
+        return rested.select(*PROBLEM, F.col("person_id").alias(prefix), F.col("rest").alias(f"{prefix}_rest"))
+
+    def move(slot: str, taker: str) -> Column:
+        return F.struct(F.col(f"{slot}.shift_id"), F.col(f"{slot}.slot_nr"), F.col(taker).alias("person_id"))
+
+    def chains(df: DataFrame, gain: Column, nodes: list[str], moves: Column) -> DataFrame:
+        return df.select(*PROBLEM, gain.alias("gain"), F.array(*nodes).alias("nodes"), moves.alias("moves")).filter(
+            F.col("gain") > LEAST
+        )
+
+    priced = edges.join(side("giver"), [*PROBLEM, "giver"]).join(side("taker"), [*PROBLEM, "taker"])
+    minutes = F.col("minutes")
+
+    def gain_of(slot: Column, nr: Column) -> Column:
+        moved = nr * minutes
+        saved = saved_cost(F.col("giver_rest") + moved, minutes, rules)
+        return saved - added_cost(F.col("taker_rest") - moved, minutes, rules) - slot["delta"]
+
+    # Gains fall from slot to slot, so those that pay off come first.
+    paying = F.filter(F.transform("slots", gain_of), lambda g: g > LEAST)
+    handed = F.transform(
+        F.slice("slots", 1, F.size(paying)),
+        lambda x: F.struct(x["shift_id"].alias("shift_id"), x["slot_nr"].alias("slot_nr"), F.col("taker").alias("person_id")),
+    )
+    found = chains(priced, F.aggregate(paying, F.lit(0.0), lambda a, g: a + g), ["giver", "taker"], handed)
+    priced = priced.withColumn("slot", F.element_at("slots", 1))
+    saved, added = saved_cost(F.col("giver_rest"), minutes, rules), added_cost(F.col("taker_rest"), minutes, rules)
+    if linked:
+        first = priced.select(
+            *PROBLEM, F.col("giver").alias("a"), F.col("taker").alias("b"), F.col("minutes").alias("m1"),
+            F.col("slot").alias("s1"), F.col("giver_rest").alias("a_rest"), F.col("taker_rest").alias("b_rest"), saved.alias("saved"),
+        )
+        second = priced.select(
+            *PROBLEM, F.col("giver").alias("b"), F.col("taker").alias("c"), F.col("minutes").alias("m2"),
+            F.col("slot").alias("s2"), added.alias("added"),
+        )
+        more = F.col("m1") - F.col("m2")
+        swaps = first.filter("a < b").join(second.withColumnRenamed("c", "a"), [*PROBLEM, "a", "b"])
+        both = (
+            saved_cost(F.col("a_rest"), more, rules)
+            - added_cost(F.col("b_rest"), more, rules)
+            - F.col("s1.delta")
+            - F.col("s2.delta")
+        )
+        found = found.unionByName(chains(swaps, both, ["a", "b"], F.array(move("s1", "b"), move("s2", "a"))))
+        pushed = first.join(second.withColumnRenamed("m2", "m1"), [*PROBLEM, "b", "m1"]).filter("a <> c")
+        through = F.col("saved") - F.col("added") - F.col("s1.delta") - F.col("s2.delta")
+        found = found.unionByName(chains(pushed, through, ["a", "b", "c"], F.array(move("s1", "b"), move("s2", "c"))))
+    ends = [F.element_at("nodes", 1).alias("_first"), F.element_at("nodes", -1).alias("_last")]
+    best = found.groupBy(*PROBLEM, *ends).agg(F.max(F.struct("gain", "nodes", "moves")).alias("chain"))
+    # At most one chain for each pair of representatives, so the list is bounded.
+    listed = best.groupBy(*PROBLEM).agg(F.sort_array(F.collect_list("chain"), asc=False).alias("chains"))
+    kind = listed.schema["chains"].dataType.simpleString()
+    none = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast(kind).alias("taken"))
+    taken = F.aggregate(
+        "chains",
+        none,
+        lambda kept, x: F.when(F.arrays_overlap(kept["used"], x["nodes"]), kept).otherwise(
+            F.struct(F.concat(kept["used"], x["nodes"]).alias("used"), F.concat(kept["taken"], F.array(x)).alias("taken"))
+        ),
+    )
+    return (
+        listed.select(*PROBLEM, F.explode(taken["taken"]).alias("chain"))
+        .select(*PROBLEM, F.col("chain.gain").alias("gain"), F.posexplode("chain.moves").alias("_nr", "move"))
+        .select("org_id", "move.shift_id", "move.slot_nr", "problem", "move.person_id",
+                F.when(F.col("_nr") == 0, F.col("gain")).otherwise(0.0).alias("gain"))
+    )
+
+
+def _next_slack() -> Column:
+    """Tolerance of the next round: it grows while a round fills little of what is open."""
+    wider = F.when(F.col("slack") > 0, F.col("slack") * GROWTH).otherwise(FIRST_SLACK)
+    last = F.col("left") <= REST * F.col("n_slots")
+    return F.when(last, ANY_COST).when(F.col("filled") >= SHARE * (F.col("left") + F.col("filled")), F.col("slack")).otherwise(wider)
 
 
 def _objectives(state: _State) -> DataFrame:
@@ -437,14 +555,14 @@ def assign(
     workers: DataFrame,
     rules: Rules,
     fixed: DataFrame | None = None,
-    least_gain: float = 0.01,
+    least_gain: float = 0.003,
     cover: str = "exactly_one",
 ) -> Assignment:
     """Fill the slots of the candidates at low cost under N1 to N4.
 
-    Rounds go on while they fill slots, with a tolerance that grows as they fill
-    fewer.  Improvement goes on, for each organisation and problem by itself, until two
-    rounds in a row gain no more than ``least_gain`` of its own objective.
+    For each organisation and problem by itself, rounds go on while they fill slots, with a
+    tolerance that grows as they fill fewer, and improvement goes on until a round gains no more than
+    ``least_gain`` of its own objective (two in a row where chance picks the moves).
 
     ``cover='exactly_one'`` fills every slot somebody can take; ``at_most_one``
     fills a slot only where that lowers the objective.
@@ -453,6 +571,8 @@ def assign(
     from ``active_workers``; both should be stage tables.  The driver sees one
     number per round, the count of newly filled or moved slots, and the sum of the gains.
     """
+    if cover not in ("exactly_one", "at_most_one"):
+        raise ValueError(f"unknown cover {cover}")
     scratch = Scratch(cands.sparkSession)
     lanes = scratch.keep(_lanes(cands), "lanes", "lanes")
     slots = scratch.keep(open_slots(cands).select(*UNIT, "slot_nr"), "slots", "slots")
@@ -463,58 +583,84 @@ def assign(
         one = fixed.groupBy(*SLOT).agg(F.min("person_id").alias("person_id"))
         seeds = slots.join(one, SLOT).select(*CHOSEN[:-1], F.lit(True).alias("is_fixed"))
         chosen = chosen.unionByName(seeds)
-    if cover not in ("exactly_one", "at_most_one"):
-        raise ValueError(f"unknown cover {cover}")
     state = _State(rules, slots, lanes, workers, chosen, scratch, cover == "at_most_one")
     state.replace_chosen(chosen)
     rounds: list[dict] = []
-
-    def accept(step: str, filled: DataFrame) -> int:
-        filled = scratch.keep(filled, "accepted", "accepted")
-        n = filled.count()
-        rounds.append({"step": step, "slots": n})
-        if n:
-            state.replace_chosen(state.chosen.unionByName(filled))
-        scratch.remove("accepted", "rested")
-        return n
-
-    # Every round but the last of each loop fills or moves something, and the
-    # tolerance grows whenever it fills little, so the loops end.
-    total = slots.count()
-    done = state.chosen.count()
-    seed, slack = 0, 0.0
-    while done < total and slack <= LAST_SLACK:
+    parts = [scratch.paths["chosen"]]
+
+    def fill(step: str, groups: DataFrame, round_of, following) -> tuple[DataFrame, bool]:
+        """One filling round of the groups that go on, the groups' state after it, and whether any goes on."""
+        going = groups.filter("going")
+        slot = f"filled{len(rounds)}"
+        filled = scratch.keep(round_of(going), "filled", slot)
+        n = filled.groupBy(*PROBLEM).agg(F.count(F.lit(1)).alias("filled"))
+        after = groups.drop("filled").join(n, PROBLEM, "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
+        after = after.withColumn("left", F.col("left") - F.col("filled"))
+        # A group that is over keeps its state.
+        after = after.select(
+            *PROBLEM, "n_slots", "left", "filled", *[F.when(F.col("going"), c).otherwise(F.col(k)).alias(k) for k, c in following.items()]
+        )
+        groups = state.replace(after, "groups")
+        total, more = groups.agg(F.sum("filled"), F.max("going")).first()
+        rounds.append({"step": step, "slots": total})
+        if total:
+            parts.append(scratch.paths[slot])
+            state.chosen = scratch.spark.read.schema(state.chosen.schema).parquet(*parts)
+        scratch.remove("rested")
+        return groups, more
+
+    # Every round but a group's last fills something, or widens its tolerance, so the loops end.
+    open_now = state.open().groupBy(*PROBLEM).agg(F.count(F.lit(1)).alias("left"))
+    blank = slots.groupBy(*PROBLEM).agg(F.count(F.lit(1)).alias("n_slots")).join(open_now, PROBLEM, "left").select(
+        *PROBLEM, "n_slots", F.coalesce("left", F.lit(0)).alias("left")
+    )
+    start = [F.lit(0).cast("long").alias("filled"), F.lit(0.0).alias("slack")]
+    groups = state.replace(blank.select("*", *start, (F.col("left") > 0).alias("going")), "groups")
+    seed, more = 0, not groups.filter("going").isEmpty()
+    while more:
         seed += 1
-        filled = accept("propose", _propose(state, seed, slack))
-        if not filled and slack:
-            break  # two rounds without a taker: the exact pass is next
-        slack = next_slack(slack, filled, total - done)
-        done += filled
+        # A round without a taker, once the tolerance is open, hands over to the exact pass.
+        over = (F.col("left") == 0) | ((F.col("filled") == 0) & (F.col("slack") > 0))
+        following = {"slack": _next_slack(), "going": ~over}
+        groups, more = fill("propose", groups, lambda going: _propose(state, seed, going), following)
     for alone in (False,) if rules.team_mode else (False, True):
-        while done < total:
+        groups, seed = state.replace(groups.withColumn("going", F.col("left") > 0), "groups"), 2000 + 1000 * alone
+        more = not groups.filter("going").isEmpty()
+        while more:
             seed += 1
-            n = accept("single" if alone else "settle", _settle(state, seed, alone))
-            done += n
-            if n == 0:
-                break
-    groups, seed = state.replace(_objectives(state).withColumn("quiet", F.lit(0)), "groups"), 1000
-    while not (going := groups.filter("quiet < 2")).isEmpty():
-        seed += 1
-        moves = scratch.keep(_improve(state, seed, going), "moves", "moves")
-        n, gain = moves.agg(F.count(F.lit(1)), F.coalesce(F.sum("gain"), F.lit(0.0))).first()
-        rounds.append({"step": "improve", "slots": n, "gain": gain})
-        if n:
-            kept = state.chosen.join(moves.select(*SLOT, F.col("person_id").alias("_new")), SLOT, "left")
-            state.replace_chosen(kept.withColumn("person_id", F.coalesce("_new", "person_id")).select(*CHOSEN))
-        gained = groups.join(moves.groupBy(*PROBLEM).agg(F.sum("gain").alias("gain")), PROBLEM, "left").withColumn(
-            "gain", F.coalesce("gain", F.lit(0.0))
-        )
-        # Givers and takers swap at random, so one quiet round may be bad luck.
-        still = F.col("gain") <= least_gain * F.abs("objective")
-        quiet = F.when((F.col("quiet") >= 2) | still, F.col("quiet") + 1).otherwise(0)
-        objective = F.col("objective") - F.col("gain")
-        groups = state.replace(gained.select(*PROBLEM, objective.alias("objective"), quiet.alias("quiet")), "groups")
-        scratch.remove("moves", "rested")
+            following = {"slack": F.col("slack"), "going": (F.col("left") > 0) & (F.col("filled") > 0)}
+            step = "single" if alone else "settle"
+            groups, more = fill(step, groups, lambda going: _settle(state, seed, alone, going), following)
+
+    state.replace_chosen(state.chosen)
+    scratch.remove(*[f"filled{i}" for i in range(len(rounds))])
+
+    def improve(steps: str, patience: int, round_of) -> None:
+        """Rounds of moves; a group leaves after ``patience`` rounds in a row that gain little."""
+        nonlocal groups
+        groups, seed = state.replace(_objectives(state).withColumn("quiet", F.lit(0)), "groups"), 1000
+        while not (going := groups.filter(F.col("quiet") < patience)).isEmpty():
+            seed += 1
+            moves = scratch.keep(round_of(seed, going), "moves", "moves")
+            n, gain = moves.agg(F.count(F.lit(1)), F.coalesce(F.sum("gain"), F.lit(0.0))).first()
+            rounds.append({"step": steps, "slots": n, "gain": gain})
+            if n:
+                kept = state.chosen.join(moves.select(*SLOT, F.col("person_id").alias("_new")), SLOT, "left")
+                state.replace_chosen(kept.withColumn("person_id", F.coalesce("_new", "person_id")).select(*CHOSEN))
+            gained = moves.groupBy(*PROBLEM).agg(F.sum("gain").alias("gain"))
+            gained = groups.join(gained, PROBLEM, "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+            still = F.col("gain") <= least_gain * F.abs("objective")
+            quiet = F.when((F.col("quiet") >= patience) | still, F.col("quiet") + 1).otherwise(0)
+            objective = F.col("objective") - F.col("gain")
+            groups = state.replace(gained.select(*PROBLEM, objective.alias("objective"), quiet.alias("quiet")), "groups")
+            scratch.remove("moves", "rested", "edges")
+
+    if rules.team_mode:
+        improve("move", 1, lambda seed, going: _chains(state, going, linked=False))
+        improve("chain", 1, lambda seed, going: _chains(state, going, linked=True))
+    else:
+        # Givers and takers change at random, so one quiet round may be bad luck.
+        improve("improve", 2, lambda seed, going: _improve(state, seed, going))
     scratch.remove("lanes", "groups")
     return Assignment(state.chosen, slots, workers, rounds)
 

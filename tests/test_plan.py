@@ -1,6 +1,8 @@
 """Model, scorer, assigner, reports, skew helpers and plan shape."""
 
 import itertools
+import os
+from functools import reduce
 
 import pytest
 from conftest import tuples
@@ -102,7 +104,8 @@ def test_objective_between_optimum_and_bound(spark):
     assert bound <= best <= got <= best * 1.25
 
 
-def test_each_club_is_improved_until_its_own_gains_are_small(spark, monkeypatch):
+@pytest.mark.parametrize("rules, name", [(TEAM, "_chains"), (PLAYER, "_improve")])
+def test_each_club_is_improved_until_its_own_gains_are_small(spark, monkeypatch, rules, name):
     """A club that still gains 30 % a round is not stopped by another with a far larger objective."""
     small = make_cands(spark, [(660, 780)], 1, 2)
     cands = small.unionByName(small.withColumn("org_id", F.lit(2)))
@@ -110,15 +113,98 @@ def test_each_club_is_improved_until_its_own_gains_are_small(spark, monkeypatch)
     rich = workers.withColumn("org_id", F.lit(2)).withColumn("owing_min", F.lit("9000000").cast("decimal(20,6)"))
     seen = []
 
-    def scripted(state, seed, *going):
-        seen.append([r.org_id for r in going[0].collect()] if going else None)
+    def scripted(state, first, second, **options):
+        going = second if name == "_improve" else first
+        seen.append([r.org_id for r in going.collect()])
         gain = 300.0 if len(seen) <= 3 else 0.0
         moves = state.chosen.filter("org_id = 1").withColumn("gain", F.lit(gain)).filter("gain > 0")
         return moves.select(*A.SLOT, "problem", "person_id", "gain")
 
-    monkeypatch.setattr(A, "_improve", scripted)
-    A.assign(cands, workers.unionByName(rich), TEAM)
-    assert [sorted(orgs) for orgs in seen] == [[1, 2], [1, 2], [1], [1], [1]]
+    if name == "_chains":
+        monkeypatch.setattr(A, name, lambda state, going, linked: scripted(state, going, None))
+    else:
+        monkeypatch.setattr(A, name, scripted)
+    A.assign(cands, workers.unionByName(rich), rules)
+    # Team mode leaves after one quiet round and starts again with chains.
+    want = [[1, 2], [1], [1], [1], [1, 2]] if name == "_chains" else [[1, 2], [1, 2], [1], [1], [1]]
+    assert [sorted(orgs) for orgs in seen] == want
+
+
+def lane_cands(spark, shifts):
+    """One slot each: (minutes, {team: cost})."""
+    import datetime as dt
+
+    rows = [
+        (1, f"s{i}", dt.date(2000, 1, 8), 600, 600 + m, "Kasse", "KVW", 1, 1, m, team, False, "", 1, cost)
+        for i, (m, teams) in enumerate(shifts) for team, cost in teams.items()
+    ]
+    return spark.createDataFrame(rows, make_cands(spark, [(0, 1)], 1, 1).schema)
+
+
+def lane_workers(spark, owing):
+    parts = [make_workers(spark, [o], t).withColumn("person_id", F.lit(i).cast("long")) for i, (t, o) in enumerate(owing.items())]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def state_of(spark, cands, workers, held):
+    """A state with the given owner of each shift."""
+    from rotaloom.plans.scratch import Scratch
+
+    slots = C.open_slots(cands).select(*A.UNIT, "slot_nr")
+    rows = [(1, "KVW", f"s{i}", 0, p, False) for i, p in enumerate(held)]
+    chosen = spark.createDataFrame(rows, "org_id int, problem string, shift_id string, slot_nr int, person_id long, is_fixed boolean")
+    return A._State(TEAM, slots, A._lanes(cands), workers, chosen, Scratch(spark))
+
+
+def exchanged(spark, cands, workers, held, linked):
+    state = state_of(spark, cands, workers, held)
+    before = A._objectives(state).first().objective
+    moves = A._chains(state, A._objectives(state), linked).collect()
+    for r in moves:
+        held[int(r.shift_id[1:])] = r.person_id
+    after = A._objectives(state_of(spark, cands, workers, held)).first().objective
+    assert after == pytest.approx(before - sum(r.gain for r in moves))
+    return held, before - after
+
+
+def test_a_giver_hands_over_as_many_slots_as_pay(spark):
+    cands = lane_cands(spark, [(60, {"M1": 90, "M2": 90})] * 6)
+    workers = lane_workers(spark, {"M1": 120, "M2": 240})
+    held, gain = exchanged(spark, cands, workers, [0] * 6, False)
+    assert held.count(0) == 2 and gain == 4 * 60 * 6
+
+
+def test_swap_of_two_slots(spark):
+    cands = lane_cands(spark, [(60, {"M1": 90, "M2": 20}), (60, {"M1": 20, "M2": 90}), (200, {"M1": 90}), (180, {"M2": 90})])
+    workers = lane_workers(spark, {"M1": 260, "M2": 240})
+    held = [0, 1, 0, 1]
+    assert exchanged(spark, cands, workers, list(held), False) == (held, 0)
+    assert exchanged(spark, cands, workers, list(held), True) == ([1, 0, 0, 1], 140)
+    lengths = lane_cands(spark, [(100, {"M1": 90, "M2": 90}), (70, {"M1": 90, "M2": 90})])
+    assert exchanged(spark, lengths, lane_workers(spark, {"M1": 70, "M2": 100}), [0, 1], True)[0] == [1, 0]
+
+
+def test_ejection_over_a_third_member(spark):
+    cands = lane_cands(spark, [(60, {"M1": 90, "M2": 90}), (60, {"M2": 90, "M3": 90})])
+    workers = lane_workers(spark, {"M1": 0, "M2": 60, "M3": 60})
+    held, gain = exchanged(spark, cands, workers, [0, 1], True)
+    assert held == [1, 2] and gain == 6 * 60
+
+
+LONG = pytest.mark.skipif(not os.environ.get("ROTALOOM_LONG"), reason="takes minutes; set ROTALOOM_LONG=1")
+
+
+@pytest.mark.parametrize("rules", [TEAM, pytest.param(PLAYER, marks=LONG)])
+def test_a_club_is_planned_alike_alone_and_beside_others(make_games, make_persons, rules):
+    games, persons = random_season(make_games, make_persons, 5)
+    more, others = random_season(make_games, make_persons, 6)
+    rows = lambda season: tuples(season.assign().roster.filter("org_id = 1"), "shift_id", "slot_nr", "person_id")
+    first = persons.select("org_id").first().org_id
+    one = games.filter(F.col("org_id") == first).withColumn("org_id", F.lit(1))
+    people = persons.filter(F.col("org_id") == first).withColumn("org_id", F.lit(1))
+    both = [df.withColumn("org_id", F.col("org_id") + 10) for df in (more, others)]
+    alone = rows(Season(one, people, rules))
+    assert alone and alone == rows(Season(one.unionByName(both[0]), people.unionByName(both[1]), rules))
 
 
 def test_player_mode_assignment_keeps_every_rule(player_season):
