@@ -13,19 +13,18 @@ groups, in these steps, none of which loses a link between different texts:
     with one pivot, and linked nodes form groups.  A few rounds with other pivots join
     most of what belongs together at a cost of one comparison per node and round.
     Postings with the same nodes, as those of near copies, count as one.
-3.  The nodes of a posting are dealt into groups of about GROUP.  The token-group matrix
-    has a row for each group and a column for each cell of the gram space.  A set's
-    i-th gram in a cell counts as the coarse token (cell, i), so the union of a group's
-    coarse tokens is the largest count of any member in each cell, and the sum over
-    cells of the smaller of that and the query's count bounds the query's overlap with
-    every member.  Only groups whose bound reaches percent of the query are opened;
-    their members are compared by the same bound, one by one, unless they are linked
-    with the query already.  Groups meet in blocks, so no pair is a row before it has
-    passed.
+3.  The groups are the rows of the token-group matrix, and the cells of the gram space its
+    columns.  A set's i-th gram in a cell counts as the coarse token (cell, i), so the union of a
+    group's coarse tokens is the largest count of any member in each cell, and the sum over cells of the
+    smaller of that and the query's count bounds the query's overlap with every member.  Within each
+    posting a node asks the groups that it is not in (a node without links is a group of its
+    own); only groups of fitting sizes whose bound reaches percent of the query are opened, and
+    their members are held to the same bound one by one.  Large postings meet in blocks, so no
+    pair is a row before it has passed.
 4.  New links join the groups.
 
 The same cell counts bound the overlap of two sets, so texts are fetched and compared
-in full only for pairs that pass the bound.
+in full only for pairs that pass the bound, and for each pair only once.
 """
 
 from __future__ import annotations
@@ -44,6 +43,7 @@ from rotaloom.llm.common import (
     map_arrow,
     materialize,
     pack,
+    ship,
     slices,
     text_or_empty,
     word_hashes,
@@ -57,7 +57,8 @@ CELLS = 64
 LOCAL_BYTES, LOCAL_COUNT = 8 << 20, 3
 FREQUENT_GRAMS = 300_000
 STAR_ROUNDS = 3
-GROUP = 256
+# Nodes of a block, rows of a task's table and pairs that are bounded at a time.
+GROUP, TABLE_ROWS, PAIRS = 256, 4096, 1 << 16
 BROADCAST_ROWS = 500_000
 SALTS = 8
 
@@ -182,23 +183,20 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, keep, "a long, b long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes."""
-    keys = wanted.distinct().join(nodes.select("node", "rep"), "node").select(
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, gram: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked; only texts of nodes in a pair are read and shipped."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = wanted.join(nodes.select("node", "rep"), "node").select(
         "node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")
     )
-    keys = materialize(keys, "wanted")
+    keys = scratch.keep(keys, "wanted", "wanted")
     if keys.count() <= BROADCAST_ROWS:  # a checked size; beyond it both sides are dealt out
         keys = F.broadcast(keys)
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_or_empty().alias("text")).withColumn(
         "_text_hash", F.xxhash64("text")
     )
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return materialize(rows.join(keys, same).select("node", "text"), "texts")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked."""
+    texts = scratch.keep(rows.join(keys, same).select("node", "text"), "texts", "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +207,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> Da
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    return map_arrow(pairs.join(text("a"), "a").join(text("b"), "b"), compare, "a long, b long").distinct()
+    found = map_arrow(pairs.join(text("a"), "a").join(text("b"), "b"), compare, "a long, b long").distinct()
+    found = scratch.keep(found, "found")
+    scratch.remove("wanted", "texts")
+    return found
 
 
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -218,78 +219,109 @@ def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 # -- the matrix --------------------------------------------------------------
-def _members(column: pa.ListArray) -> list[tuple]:
-    """node, n, comp, cell counts and postings of the members of each group."""
-    offsets = np.asarray(column.offsets)
-    values = column.values
-    node, n, comp = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-    cells = np.frombuffer(b"".join(values.field(3).slice(offsets[0], offsets[-1] - offsets[0]).to_pylist()), "<u4")
-    cells = cells.reshape(-1, CELLS)
-    posts = values.field(4)
-    return [
-        (node[a:b], n[a:b], comp[a:b], cells[a - offsets[0] : b - offsets[0]], posts.slice(a, b - a))
-        for a, b in zip(offsets[:-1], offsets[1:])
-    ]
-
-
-def open_groups(queries, group, percent: int, posting: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a query and a member of another component that may be linked.
-
-    A pair that shares several postings is reported by the smallest of them only.
-    """
-    q_node, q_n, q_comp, q_cells, q_posts = queries
-    node, n, comp, cells, posts = group
-    lists: dict[int, set] = {}
-
-    def first_here(own: list[int], j: int) -> bool:
-        if j not in lists:
-            lists[j] = set(posts[j].as_py())
-        return next(p for p in own if p in lists[j]) == posting
-
-    union = cells.max(axis=0)
-    opened = np.flatnonzero(np.minimum(q_cells, union).sum(axis=1, dtype=np.int64) >= needed(q_n, percent))
-    left, right = [], []
-    for i in opened.tolist():
-        fits = np.flatnonzero((comp != q_comp[i]) & (needed(q_n[i], percent) <= n) & (needed(n, percent) <= q_n[i]))
-        most = np.minimum(cells[fits], q_cells[i]).sum(axis=1, dtype=np.int64)
-        fits = fits[linked(most, q_n[i], n[fits], percent)]
-        if len(fits) and posting is not None:
-            own = q_posts[i].as_py()
-            fits = fits[[first_here(own, j) for j in fits.tolist()]]
-        left.append(np.full(len(fits), q_node[i]))
-        right.append(node[fits])
-    none = np.empty(0, np.int64)
-    a, b = np.concatenate([*left, none]), np.concatenate([*right, none])
-    return np.minimum(a, b), np.maximum(a, b)
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for each of the ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
 
+def open_groups(t: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Row numbers of queries and members of other groups that may be linked, groups asked and groups opened.
 
-def _met(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share a posting and pass the bounds."""
+    ``t`` has rows (gram, q, g, block, node, n, comp, cells) ordered by gram, q, g and comp: block q of the posting ``gram`` asks
+    the groups in its block g.
+    """
+    key = np.cumsum(np.r_[False, (np.diff(t["gram"]) != 0) | (np.diff(t["q"]) != 0) | (np.diff(t["g"]) != 0)])
+    n, node, comp, cells = (t[c] for c in ("n", "node", "comp", "cells"))
+    members = np.flatnonzero(t["block"] == t["g"])
+    asking = np.flatnonzero(t["block"] == t["q"])
+    none = np.empty(0, np.int64)
+    if not len(members) or not len(asking):
+        return none, none, 0, 0
+    begins = np.flatnonzero(np.r_[True, (np.diff(key[members]) != 0) | (np.diff(comp[members]) != 0)])
+    sizes = np.diff(np.r_[begins, len(members)])
+    union = np.maximum.reduceat(cells[members], begins)
+    low, high = np.minimum.reduceat(n[members], begins), np.maximum.reduceat(n[members], begins)
+    of_group, of_comp = key[members[begins]], comp[members[begins]]
+    from_, to = (np.searchsorted(of_group, key[asking], side) for side in ("left", "right"))
+    reach = np.cumsum(to - from_)
+    left, right, asked, opened = [none], [none], 0, 0
+    at = 0
+    while at < len(asking):
+        last = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + PAIRS, side="right")))
+        i = np.repeat(asking[at:last], to[at:last] - from_[at:last])
+        j = _ranges(from_[at:last], to[at:last] - from_[at:last])
+        other = of_comp[j] != comp[i]
+        i, j = i[other], j[other]
+        asked += len(i)
+        fits = (needed(n[i], percent) <= high[j]) & (needed(low[j], percent) <= n[i])
+        i, j = i[fits], j[fits]
+        some = np.minimum(cells[i], union[j]).sum(axis=1, dtype=np.int64) >= needed(n[i], percent)
+        i, j = i[some], j[some]
+        opened += len(i)
+        at = last
+        if not len(i):
+            continue
+        m = members[_ranges(begins[j], sizes[j])]
+        i = np.repeat(i, sizes[j])
+        # Within one block both sides hold every node, so each pair is met once.
+        once = (t["q"][i] != t["g"][i]) | (node[i] < node[m])
+        i, m = i[once], m[once]
+        for part in range(0, len(i), PAIRS):
+            a, b = i[part : part + PAIRS], m[part : part + PAIRS]
+            most = np.minimum(cells[a], cells[b]).sum(axis=1, dtype=np.int64)
+            good = linked(most, n[a], n[b], percent)
+            left.append(a[good])
+            right.append(b[good])
+    return np.concatenate(left), np.concatenate(right), asked, opened
+
+
+def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes in different groups that share a posting and pass the bounds."""
     mixed = placed.groupBy("gram").agg(
         F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
-    mixed = mixed.filter("low < high").select("gram", F.ceil(F.col("k") / GROUP).alias("blocks"))
-    rows = materialize(placed.join(mixed, "gram"), "mixed")
+    blocks = F.ceil(F.col("k") / GROUP).cast("int").alias("blocks")
+    mixed = scratch.keep(mixed.filter("low < high").select("gram", "k", blocks), "mixed", "mixed")
+    rows = scratch.keep(placed.join(mixed.select("gram", "blocks"), "gram"), "rows", "members")
     posts = rows.groupBy("node").agg(F.sort_array(F.collect_list("gram")).alias("posts"))
-    rows = rows.join(sizes.select("node", "cells").join(posts, "node"), "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    groups = rows.groupBy("gram", "blocks", block).agg(
-        F.collect_list(F.struct("node", "n", "comp", "cells", "posts")).alias("members")
+    facts = scratch.keep(sizes.select("node", "cells").join(posts, "node"), "facts", "facts")
+    n_rows = mixed.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 0
+    tables = max(1, -(-n_rows // TABLE_ROWS))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meeting = (
+        rows.withColumn("block", block)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("q", F.least("block", "_other"))
+        .withColumn("g", F.greatest("block", "_other"))
+        .join(facts, "node")
+        .select(F.pmod(F.xxhash64("gram", "q", "g"), F.lit(tables)).alias("table"),
+                "gram", "q", "g", "block", "node", "n", "comp", "cells", "posts")
     )
-    groups = materialize(groups, "groups")
-    alone = groups.filter("blocks = 1").select("gram", F.col("members").alias("q"), F.col("members").alias("g"))
-    several = groups.filter("blocks > 1")
-    others = several.select("gram", F.col("block").alias("_other"), F.col("members").alias("g"))
-    meeting = several.join(others, "gram").filter("block <= _other").select("gram", F.col("members").alias("q"), "g")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (queries,), (group,) = (_members(batch.column(c).slice(row, 1)) for c in (1, 2))
-                a, b = open_groups(queries, group, percent, batch.column(0)[row].as_py())
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+    def compared(table: pa.Table) -> pa.Table:
+        t = {c: table.column(c).to_numpy() for c in ("gram", "q", "g", "block", "node", "n", "comp")}
+        order = np.lexsort((t["comp"], t["g"], t["q"], t["gram"]))
+        t = {c: x[order] for c, x in t.items()}
+        t["cells"] = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u4").reshape(-1, CELLS)[order]
+        a, b, _, _ = open_groups(t, percent)
+        posts, lists = table.column("posts"), {}
+
+        def known(i: int) -> list[int]:
+            if i not in lists:
+                lists[i] = posts[int(order[i])].as_py()
+            return lists[i]
+
+        # A pair that shares several postings is reported by the smallest of them only.
+        first = [min(set(known(i)).intersection(known(j))) == t["gram"][i] for i, j in zip(a.tolist(), b.tolist())]
+        a, b = t["node"][a[first]] if len(a) else a, t["node"][b[first]] if len(b) else b
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return map_arrow(alone.unionByName(meeting), compared, "a long, b long").distinct()
+    ship(placed.sparkSession)
+    found = meeting.groupBy("table").applyInArrow(compared, "a long, b long").distinct()
+    found = scratch.keep(found, "more", "more")
+    scratch.remove("mixed", "members", "facts")
+    return found
 
 
 # -- the join ----------------------------------------------------------------
@@ -304,7 +336,7 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
         .agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("first").alias("first"),
              F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_rows"))
     )
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", "nodes")
     # From here on a row needs no more than its key and its set's digest.
     light = materialize(sets.select("doc_id", "text_hash", "n", "digest"), "rows")
     scratch.remove("sets")
@@ -318,14 +350,14 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
         F.count(F.lit(1)).alias("k"), F.min("node").alias("m"), F.bit_xor(once).alias("x"), F.bit_xor(again).alias("y")
     )
     unlike = repeated.filter("k > 1").groupBy("k", "m", "x", "y").agg(F.min("gram").alias("gram")).select("gram")
-    unlike = materialize(unlike, "grams")
+    unlike = scratch.keep(unlike, "grams", "grams")
     if unlike.count() <= BROADCAST_ROWS:  # a checked size; beyond it the postings are dealt out once more
         unlike = F.broadcast(unlike)
-    shared = materialize(postings.join(unlike, "gram"), "postings")
-    texts = _texts(docs, nodes, shared.select("node"))
+    shared = scratch.keep(postings.join(unlike, "gram"), "postings", "postings")
+    scratch.remove("grams")
 
-    # Groups of similar nodes, by comparing with pivots.
-    links = near = None
+    # Groups of similar nodes, by comparing with pivots.  Pairs that were compared are not compared again.
+    links = done = members = None
     placed = shared.withColumn("comp", F.col("node"))
     for turn in range(STAR_ROUNDS):
         order = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
@@ -334,25 +366,30 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
         )
         star = placed.join(pivots.select("gram", "p.pivot", "p.home"), "gram").filter("comp <> home")
         star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        near = materialize(_bounded(_sized(star, sizes), percent), "near")
-        found = materialize(_verified(near, texts, gram, percent), "links")
+        if done is not None:
+            star = star.join(done, ["a", "b"], "left_anti")
+        near = scratch.keep(_bounded(_sized(star, sizes), percent), "near")
+        done = near if done is None else done.union(near)
+        found = _verified(near, docs, nodes, gram, percent, scratch)
         if turn and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         members = components(links)
         placed = shared.join(members, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        placed = materialize(placed.select("gram", "node", "n", "comp"), "placed")
+        placed = scratch.replace(placed.select("gram", "node", "n", "comp"), "placed")
 
     # Every node against the groups of others that it shares a posting with.
-    more = materialize(_met(placed, sizes, percent), "more")
+    more = _met(placed, sizes, percent, scratch).join(done, ["a", "b"], "left_anti")
     if not more.isEmpty():
-        links = materialize(links.union(_verified(more, texts, gram, percent)), "links")
+        links = links.union(_verified(more, docs, nodes, gram, percent, scratch))
         members = components(links)
 
     joined = nodes.select("node", "digest", "rep", "n_rows").join(members, "node", "left")
     joined = joined.filter("n_rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
     best = joined.groupBy("comp").agg(F.min("rep").alias("best"))
-    return sets, materialize(joined.join(best, "comp").select("digest", "best"), "classes")
+    classes = materialize(joined.join(best, "comp").select("digest", "best"), "classes")
+    scratch.remove(*list(scratch.paths))
+    return sets, classes
 
 
 def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
