@@ -58,7 +58,7 @@ LOCAL_BYTES, LOCAL_COUNT = 8 << 20, 3
 FREQUENT_GRAMS = 300_000
 STAR_ROUNDS = 3
 # Nodes of a block, rows of a task's table and pairs that are bounded at a time.
-GROUP, TABLE_ROWS, PAIRS = 256, 4096, 1 << 16
+GROUP, TABLE_ROWS, PAIRS = 2048, 8192, 1 << 16
 BROADCAST_ROWS = 500_000
 SALTS = 8
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from rotaloom.llm import group_join as G
@@ -63,6 +64,30 @@ def test_groups(spark, gram, percent):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, gram, percent)
 
 
+def test_groups_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "GROUP", 4)
+    monkeypatch.setattr(G, "TABLE_ROWS", 16)
+    rng = random.Random(4)
+    rows = list(enumerate(t for _ in range(4) for t in family(rng, 14, 60)))
+    got = G.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 70).select("doc_id", "n_shingles", "component_id")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 3, 70)
+
+
+def test_only_groups_that_may_hold_a_partner_are_opened():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 9, (6, G.CELLS))
+    comp = np.repeat(np.arange(6), 10)
+    cells = (base[comp] + rng.integers(0, 2, (60, G.CELLS))).astype("<u4")
+    zeros = np.zeros(60, np.int64)
+    t = {"gram": zeros, "q": zeros, "g": zeros, "block": zeros, "node": np.arange(60), "n": cells.sum(axis=1), "comp": comp, "cells": cells}
+    a, b, asked, opened = G.open_groups(t, 70)
+    want = {
+        (i, j) for i in range(60) for j in range(i + 1, 60)
+        if comp[i] != comp[j] and G.linked(np.minimum(cells[i], cells[j]).sum(), t["n"][i], t["n"][j], 70)
+    }
+    assert set(zip(a.tolist(), b.tolist())) == want and asked == 60 * 5 and opened < asked / 2
+
+
 def test_chain_through_a_third_text(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(3, " ".join(words)), (2, " ".join(words[1:] + ["x1"])), (1, " ".join(words[2:] + ["x1", "x2"])), (0, " ".join(words[3:] + ["x1", "x2", "x3"]))]
