@@ -79,7 +79,7 @@ def test_only_groups_that_may_hold_a_partner_are_opened():
     comp = np.repeat(np.arange(6), 10)
     cells = (base[comp] + rng.integers(0, 2, (60, G.CELLS))).astype("<u4")
     zeros = np.zeros(60, np.int64)
-    t = {"gram": zeros, "q": zeros, "g": zeros, "block": zeros, "node": np.arange(60), "n": cells.sum(axis=1), "comp": comp, "cells": cells}
+    t = {"gram": zeros, "q": zeros, "g": zeros, "block": zeros, "node": np.arange(60), "n": cells.sum(axis=1).astype(np.int64), "comp": comp, "cells": cells}
     a, b, asked, opened = G.open_groups(t, 70)
     want = {
         (i, j) for i in range(60) for j in range(i + 1, 60)
