@@ -84,6 +84,20 @@ def cell_counts(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype("<u4")
 
 
+def stored_cells(counts: np.ndarray) -> bytes:
+    """One byte a cell, or four where a count needs them."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def cells_of(stored: list[bytes]) -> np.ndarray:
+    """A row of cell counts for each stored one."""
+    out = np.empty((len(stored), CELLS), np.uint32)
+    narrow = np.fromiter((len(s) == CELLS for s in stored), bool, len(stored))
+    out[narrow] = np.frombuffer(b"".join(s for s in stored if len(s) == CELLS), np.uint8).reshape(-1, CELLS)
+    out[~narrow] = np.frombuffer(b"".join(s for s in stored if len(s) != CELLS), "<u4").reshape(-1, CELLS)
+    return out
+
+
 def linked(common: np.ndarray | int, n_a, n_b, percent: int = PERCENT):
     return 100 * common >= percent * (n_a + n_b - common)
 
@@ -146,7 +160,7 @@ def _sets(docs: DataFrame, gram: int, percent: int) -> DataFrame:
             for grams in gram_sets(batch.column(2), gram):
                 n.append(len(grams))
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                cells.append(cell_counts(grams).tobytes())
+                cells.append(stored_cells(cell_counts(grams)))
                 first.append(posted(grams, frequent, rank, percent).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(
@@ -172,10 +186,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = [
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CELLS)
-                for c in ("cells_a", "cells_b")
-            ]
+            cell = [cells_of(batch.column(c).to_pylist()) for c in ("cells_a", "cells_b")]
             most = np.minimum(*cell).sum(axis=1, dtype=np.int64)
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             yield batch.filter(pa.array(linked(most, n_a, n_b, percent))).select(["a", "b"])
@@ -303,7 +314,7 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
         t = {c: table.column(c).to_numpy() for c in ("gram", "q", "g", "block", "node", "n", "comp")}
         order = np.lexsort((t["comp"], t["g"], t["q"], t["gram"]))
         t = {c: x[order] for c, x in t.items()}
-        t["cells"] = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u4").reshape(-1, CELLS)[order]
+        t["cells"] = cells_of(table.column("cells").to_pylist())[order]
         a, b, _, _ = open_groups(t, percent)
         posts, lists = table.column("posts"), {}
 

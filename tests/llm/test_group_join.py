@@ -80,12 +80,19 @@ def test_only_groups_that_may_hold_a_partner_are_opened():
     cells = (base[comp] + rng.integers(0, 2, (60, G.CELLS))).astype("<u4")
     zeros = np.zeros(60, np.int64)
     t = {"gram": zeros, "q": zeros, "g": zeros, "block": zeros, "node": np.arange(60), "n": cells.sum(axis=1).astype(np.int64), "comp": comp, "cells": cells}
-    a, b, asked, opened = G.open_groups(t, 70)
-    want = {
-        (i, j) for i in range(60) for j in range(i + 1, 60)
-        if comp[i] != comp[j] and G.linked(np.minimum(cells[i], cells[j]).sum(), t["n"][i], t["n"][j], 70)
-    }
-    assert set(zip(a.tolist(), b.tolist())) == want and asked == 60 * 5 and opened < asked / 2
+    for percent, most in ((50, 300), (70, 250), (80, 0)):
+        a, b, asked, opened = G.open_groups(t, percent)
+        want = {
+            (i, j) for i in range(60) for j in range(i + 1, 60)
+            if comp[i] != comp[j] and G.linked(np.minimum(cells[i], cells[j]).sum(), t["n"][i], t["n"][j], percent)
+        }
+        assert set(zip(a.tolist(), b.tolist())) == want and asked == 60 * 5 and opened <= most
+
+
+def test_cell_counts_of_any_size():
+    counts = np.array([[0] * G.CELLS, [255] * G.CELLS, [256] + [0] * (G.CELLS - 1), [70_000] * G.CELLS])
+    stored = [G.stored_cells(c) for c in counts]
+    assert [len(s) for s in stored] == [64, 64, 256, 256] and (G.cells_of(stored) == counts).all()
 
 
 def test_chain_through_a_third_text(spark):
