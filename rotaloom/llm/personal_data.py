@@ -16,6 +16,8 @@ part are first replaced by a neutral character of the same length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ EM_ROUNDS = 30
 ACCEPT = 0.5
 CONTEXT_CHARS = 32
 MIN_CANDIDATE = 8
+SPANS = "array<struct<s:int,e:int,m:string,b:string>>"
 
 # Prefixes of well-known credentials and numbers, and words that announce such values.
 PREFIXES = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|sk-|sk_|pk_|xox[abp]-|eyJ|glpat-|SG\.|ya29\.|DE[0-9]{2}|FR[0-9]{2}|ES[0-9]{2}|GB[0-9]{2})"
@@ -38,24 +41,43 @@ STRICT_SECRET = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-
 STRICT_ID = r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{8}[A-Z])$"
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column], rest: Callable[[Column], Column]) -> Column:
+    """``rest`` of the running ``join`` (sum, largest) of an array, by doubling steps: n log n in its length."""
+    steps = F.sequence(F.lit(1), F.greatest(F.length(F.bin(F.size(values))), F.lit(1)))
+    reach = lambda k: F.call_function("shiftleft", F.lit(1), k - 1)
+    step = lambda acc, k: F.transform(
+        acc, lambda x, i: F.when(i >= reach(k), join(x, F.get(acc, i - reach(k)))).otherwise(x)
+    )
+    return F.aggregate(steps, values, step, rest)
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: where ``pattern`` matches, in code points, end exclusive."""
+    """array<struct<s, e, m, b>>: where ``pattern`` matches, in code points, end exclusive.
+
+    ``m`` is the match and ``b`` the end, at most CONTEXT_CHARS long, of the match before it and what stands between.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    start = lambda acc, x: acc["at"] + F.length(x["b"])
-    return F.aggregate(
-        F.filter(F.arrays_zip(found.alias("m"), between.alias("b")), lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(start(acc, x).alias("s"), (start(acc, x) + F.length(x["m"])).alias("e"), x["m"].alias("m"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    matches = F.filter(F.arrays_zip(found.alias("m"), between.alias("b")), lambda x: x["m"].isNotNull())
+
+    def placed(rows: Column) -> Column:
+        lengths = F.transform(rows, lambda x: F.length(x["b"]) + F.length(x["m"]))
+
+        def span(x: Column, end: Column, i: Column) -> Column:
+            last = F.right(F.coalesce(F.get(rows, i - 1)["m"], F.lit("")), F.lit(CONTEXT_CHARS))
+            before = F.right(F.concat(last, F.right(x["b"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+            return F.struct(
+                (end - F.length(x["m"])).alias("s"), end.alias("e"), x["m"].alias("m"), before.alias("b")
+            )
+
+        return _running(lengths, lambda x, y: x + y, lambda ends: F.transform(rows, lambda x, i: span(x, F.get(ends, i), i)))
+
+    return _with(matches, placed)
 
 
 def _digits(text: Column) -> Column:
@@ -74,7 +96,7 @@ def _luhn(digits: Column) -> Column:
 
 def _base(text: Column) -> dict[str, Column]:
     """The spans of each kind that its rule accepts."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast(SPANS)
     # A dot of a domain stands between two domain characters; any other counts as a local character only.
     dotted = F.regexp_replace(text, r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])", "%")
     email = _spans(
@@ -104,10 +126,9 @@ def _base(text: Column) -> dict[str, Column]:
     }
 
 
-def _votes(x: Column, text: Column) -> Column:
+def _votes(x: Column) -> Column:
     """A candidate with its kind, votes (1, 0 or null for abstaining) and shape."""
-    m = x["m"]
-    before = F.substring(text, F.greatest(x["s"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARS)))
+    m, before = x["m"], x["b"]
     upper, lower = F.length(F.regexp_replace(m, "[^A-Z]", "")), F.length(F.regexp_replace(m, "[^a-z]", ""))
     digits = F.length(_digits(m))
     strict = m.rlike(STRICT_SECRET) | m.rlike(STRICT_ID)
@@ -137,9 +158,30 @@ def _candidates(text: Column, base: list[Column]) -> Column:
     """Runs that might be an id or a secret and overlap no span of a rule."""
     # Only whole runs that are long enough and hold a digit match, so ordinary words cost no array work.
     run = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{%d})(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]++" % MIN_CANDIDATE
-    taken = F.concat(*base)
-    free = F.filter(_spans(text, run), lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    # Sorted by a span's start and a run's end, a run is free if no span before it ends behind the run's start.
+    taken = F.transform(
+        F.concat(*base),
+        lambda x: F.struct(
+            x["s"].alias("k"), F.lit(1).alias("rule"), x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m"), F.lit("").alias("b")
+        ),
+    )
+    runs = F.transform(
+        _spans(text, run),
+        lambda x: F.struct(
+            x["e"].alias("k"), F.lit(0).alias("rule"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["b"].alias("b")
+        ),
+    )
+
+    def unmet(rows: Column) -> Column:
+        ends = F.transform(rows, lambda x: F.when(x["rule"] == 1, x["e"]).otherwise(0))
+        clear = lambda upto: F.filter(rows, lambda x, i: (x["rule"] == 0) & (F.get(upto, i) <= x["s"]))
+        kept = lambda upto: F.transform(
+            clear(upto), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["b"].alias("b"))
+        )
+        return _running(ends, F.greatest, kept)
+
+    free = _with(F.sort_array(F.concat(taken, runs)), unmet)
+    none = F.array().cast(SPANS)
     return F.when(text.rlike("[0-9]"), free).otherwise(none)
 
 
@@ -227,7 +269,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"_{kind}": spans for kind, spans in _base(text).items()})
     rows = rows.withColumn("_candidates", _candidates(text, [F.col(f"_{k}") for k in BASE]))
     light = [F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in BASE]
-    voted = F.transform("_candidates", lambda x: _votes(x, text)).alias("candidates")
+    voted = F.transform("_candidates", _votes).alias("candidates")
     rows = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *light, voted)
     found = materialize(rows, "spans")
 
@@ -250,22 +292,39 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span of ``found`` replaced by its kind in angle brackets; spans inside others go first."""
+    """(doc_id, text) with every span of ``found`` replaced by its kind in angle brackets.
+
+    Spans that overlap are replaced as one, by the kind of the first, the longest if several start there.
+    """
     spans = F.transform(
         F.filter(F.split("spans", ","), lambda x: x != ""),
         lambda x: F.struct(
             F.split(x, ":")[1].cast("int").alias("s"), (-F.split(x, ":")[2].cast("int")).alias("e"), F.split(x, ":")[0].alias("k")
         ),
     )
-    ordered = F.sort_array(spans)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = lambda acc, x: F.when(x["s"] < acc["at"], acc).otherwise(
-        F.struct(
-            (-x["e"]).alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), x["k"], F.lit(">")).alias("out"),
+
+    def merged(rows: Column) -> Column:
+        """The first span of each group with the end of the group before it."""
+        def heads(upto: Column) -> Column:
+            last = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
+            marked = F.transform(
+                rows, lambda x, i: F.struct(last(i).alias("at"), x["s"].alias("s"), x["k"].alias("k"), (x["s"] >= last(i)).alias("head"))
+            )
+            # The text behind the last group ends the list.
+            rest = F.struct(F.array_max(upto).alias("at"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("string").alias("k"), F.lit(True).alias("head"))
+            return F.concat(F.filter(marked, lambda x: x["head"]), F.array(rest))
+
+        return _running(F.transform(rows, lambda x: -x["e"]), F.greatest, heads)
+
+    def rebuilt(chars: Column) -> Column:
+        part = lambda x: F.array_join(
+            F.slice(chars, x["at"] + 1, F.coalesce(x["s"], F.size(chars)) - x["at"]), ""
         )
-    )
-    whole = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        mark = lambda x: F.when(x["k"].isNull(), "").otherwise(F.concat(F.lit("<"), x["k"], F.lit(">")))
+        return F.array_join(F.transform(F.col("_heads"), lambda x: F.concat(part(x), mark(x))), "")
+
     joined = docs.select("doc_id", "text").join(found.select("doc_id", "spans"), "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole).alias("text"))
+    joined = joined.withColumn("_heads", F.when(F.col("spans") != "", _with(F.sort_array(spans), merged)))
+    whole = _with(F.split(text, ""), rebuilt)
+    return joined.select("doc_id", F.when(F.col("_heads").isNull(), F.col("text")).otherwise(whole).alias("text"))

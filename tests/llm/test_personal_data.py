@@ -92,3 +92,38 @@ def test_no_python_on_the_way(spark):
     for df in (D.find(docs), quality.judge(docs), mixing.plan(docs), exact_dedup.exact_groups(docs), quality.features(docs)):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_dense_text_is_linear(spark):
+    """A megabyte of spans, each of which a plain expression finds as well, and masking without any of them left."""
+    import time
+
+    rng = random.Random(2)
+    text = "".join(f"u{rng.randrange(10**5)}@mail.example.org token {rng.randrange(16**20):020x} " for _ in range(17_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    found = D.find(docs)
+    row = found.first()
+    assert time.time() - start < 40
+    counts, spans = brute(text)
+    assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == counts
+    assert row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    assert "@" not in D.mask(docs, found).first().text
+
+
+def test_candidates_keep_clear_of_rules(spark):
+    text = "x 4111111111111111 abcd1234efgh 10.20.30.40 a1b2c3d4e5@mail.example.org zz99zz99 tail"
+    docs = spark.createDataFrame([(text,)], "_text string")
+    kinds = D._base(docs["_text"])
+    got = docs.select(*[v.alias(k) for k, v in kinds.items()]).select("*", D._candidates(D.F.lit(text), [D.F.col(k) for k in kinds]).alias("c")).first()
+    taken = [(x.s, x.e) for k in kinds for x in got[k]]
+    runs = [(m.start(), m.end()) for m in re.finditer(r"(?<![\w+/-])(?=[\w+/-]{8})(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]+", text)]
+    assert [(x.s, x.e) for x in got.c] == [r for r in runs if not any(a < r[1] and r[0] < b for a, b in taken)]
+    assert all(text[x.s : x.e] == x.m and text[: x.s].endswith(x.b) for x in got.c)
+
+
+def test_mask_joins_overlapping_spans(spark):
+    docs = spark.createDataFrame([(1, "0123456789abc"), (2, None), (3, "none")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, "card:2:5,phone:0:4,ip:4:6,id:8:10"), (2, ""), (3, "")], "doc_id long, spans string")
+    got = {r.doc_id: r.text for r in D.mask(docs, found).collect()}
+    assert got == {1: "<phone>67<id>abc", 2: None, 3: "none"}
