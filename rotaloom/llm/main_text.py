@@ -8,7 +8,8 @@ that mark it with <article> or <main>; those pages are the labels, and at most
 LABELLED_PAGES of them, those with the smallest keyed hash, are counted.  Tokens that
 the labels do not know score by their tag, and else by DEFAULTS.
 
-Inside the region the subtrees that are never article text are left out.
+Elements that by name, role or class are other parts of a page (menus, forms, comments,
+adverts) score below zero and are left out of the region, unless they hold all of it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -43,17 +44,36 @@ BLOCKS = frozenset(
 )
 NEVER = frozenset("nav footer aside form menu dialog button label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|sidebar|side-bar|widget|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|"
-    r"footer|masthead|site-header|page-header|comments?|comment-\w+|disqus|replies|respond|share|sharing|social|"
-    r"related|recommended|recommendations|toolbar|skip-link)(?:$|[\s_-])",
-    re.IGNORECASE,
+# A class or id names such a part if all its words are of these two lists and one is of the first.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promoted "
+    "banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar widget widgets nav "
+    "navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus replies respond "
+    "share sharing social related recommended recommendations toolbar skip".split()
 )
+AROUND = frozenset(
+    "site page main top bottom left right side box bar block area section list wrapper container inner outer link links button "
+    "buttons icon icons item items form post posts article articles story stories reader user global primary secondary header "
+    "unit slot label wrap group panel row holder".split()
+)
+# The header of a site, but not that of an article.
+SITE_HEADER = re.compile(r"(?:site|page)[_-]header", re.IGNORECASE)
+SPLIT_NAME = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+# Tags that an opening tag closes, up to the element that holds them.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select", "datalist")),
+}
 DEFAULTS = {"word": 1.0, "link": -1.0, "tag": -0.25, "never": -0.2}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+(?<=/)>"
     rf"|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)"
@@ -73,73 +93,99 @@ class Token:
     words: int = 0
     text: str = ""
     block: bool = False  # a tag that ends a block of text
-    dropped: bool = False  # inside a subtree that is never article text
+    within: tuple[int, ...] = ()  # the open elements that are taken for other parts of a page
     marked: bool = False  # inside <article> or <main>
 
+    @property
+    def dropped(self) -> bool:
+        return bool(self.within)
+
 
 @dataclass
 class Weights:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def of(self, token: Token) -> float:
+    def of(self, token: Token, holders: frozenset[int] | None = frozenset()) -> float:
+        """A token's score; ``holders`` are parts that hold the article, None if all parts are taken as they come."""
+        other = holders is not None and not holders.issuperset(token.within)
         if token.words:
+            if other:
+                return DEFAULTS["never"] * token.words
             known = self.words.get(token.key, self.words.get(token.tag))
             if known is None:
-                known = DEFAULTS["never"] if token.dropped else DEFAULTS["link" if token.tag == "a" else "word"]
+                known = DEFAULTS["link" if token.tag == "a" else "word"]
             return known * token.words
         known = self.tags.get(token.key, self.tags.get(token.tag))
         return (DEFAULTS["never"] if token.tag in NEVER else DEFAULTS["tag"]) if known is None else known
 
 
+def other_part(name: str) -> bool:
+    """Whether one of the words of a class or id names a part of a page that is not its article."""
+    for word in name.split():
+        parts = {part.lower() for part in SPLIT_NAME.split(word) if part}
+        if parts & PARTS and parts <= PARTS | AROUND or SITE_HEADER.fullmatch(word):
+            return True
+    return False
+
+
 def tokens(page: str) -> list[Token]:
     """Tags and text runs of a page in order; comments, scripts and the like are left out."""
     out: list[Token] = []
-    opened: list[tuple[str, str, bool]] = []  # tag, key, never article text
-    dropped = marked = 0
+    opened: list[tuple[str, str, tuple[int, ...], int]] = []  # tag, key, other parts, marked elements
+
+    def where() -> tuple[tuple[int, ...], bool]:
+        return (opened[-1][2], opened[-1][3] > 0) if opened else ((), False)
+
+    def close(names: tuple[str, ...], until: Callable[[str], bool]) -> None:
+        """Close the outermost of ``names`` that is open above ``until``, and what it left open."""
+        lowest = None
+        for depth in range(len(opened) - 1, -1, -1):
+            if opened[depth][0] in names:
+                lowest = depth
+            elif until(opened[depth][0]):
+                break
+        if lowest is not None:
+            del opened[lowest:]
+
     for found in TOKEN.finditer(page):
         raw, closing, name, rest = found.groups()
         whole = found[0]
         if name is None or raw is not None:
             if raw is not None or whole[0] == "<" and len(whole) > 1:
                 continue
-            words = len(whole.split())
-            tag, key, _ = opened[-1] if opened else ("", "", False)
-            out.append(Token(key, tag, words, whole, False, dropped > 0, marked > 0))
+            tag, key = opened[-1][:2] if opened else ("", "")
+            within, marked = where()
+            out.append(Token(key, tag, len(whole.split()), whole, False, within, marked))
             continue
         name = name.lower()
         if closing:
             for depth in range(len(opened) - 1, -1, -1):
                 if opened[depth][0] == name:
-                    for tag, _, never in opened[depth:]:
-                        dropped -= never
-                        marked -= tag in ("article", "main")
                     del opened[depth:]
                     break
-            out.append(Token("/" + name, "/" + name, 0, "", name in BLOCKS, dropped > 0, marked > 0))
+            out.append(Token("/" + name, "/" + name, 0, "", name in BLOCKS, *where()))
             continue
         if name in BLOCKS:  # a new block ends an open paragraph and what it left open
-            for depth in range(len(opened) - 1, -1, -1):
-                if opened[depth][0] == "p":
-                    dropped -= sum(never for _, _, never in opened[depth:])
-                    del opened[depth:]
-                    break
-                if opened[depth][0] in BLOCKS:
-                    break
-        key, never = name, name in NEVER or name == "header" and not marked
+            close(("p",), lambda tag: tag in BLOCKS)
+        if name in IMPLIED:
+            ends, holders = IMPLIED[name]
+            close(ends, lambda tag: tag in holders)  # noqa: B023
+        within, marked = where()
+        key, other = name, name in NEVER or name == "header" and not marked
         if "=" in rest:
             for attribute, *values in NAMED.findall(rest):
                 value = " ".join("".join(values).split())
                 if attribute.lower() == "role":
-                    never |= value.lower() in ROLES
+                    other |= value.lower() in ROLES
                 elif value:
-                    never |= name not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
+                    other |= name not in ("html", "body", "article", "main") and other_part(value)
                     key = f"{name}.{value.lower()}" if key == name else key
-        out.append(Token(key, name, 0, "", name in BLOCKS, dropped > 0, marked > 0))
+        out.append(Token(key, name, 0, "", name in BLOCKS, within, marked))
         if name not in VOID and not rest.endswith("/"):
-            opened.append((name, key, never))
-            dropped += never
-            marked += name in ("article", "main")
+            # A part inside a part is already left out, unless the outer one turns out to hold the article.
+            depth = opened[-1][3] if opened else 0
+            opened.append((name, key, (*within, len(out) - 1) if other else within, depth + (name in ("article", "main"))))
     return out
 
 
@@ -156,10 +202,31 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return low, high
 
 
+def region(found: list[Token], weights: Weights) -> tuple[int, int, frozenset[int]]:
+    """The best run of tokens and the parts that hold all of it, which therefore are no other parts.
+
+    A form, or a part by its class, that holds the page's first <main> or <article> holds the article.  Where the run
+    has only words of other parts, the parts around the best stretch of all are opened and the scan runs again.
+    """
+    outer = [t for t in found if t.tag in ("main", "article") and not t.words and not t.marked]
+    first = min(outer, key=lambda t: t.tag != "main", default=None)
+    holders: frozenset[int] = frozenset()
+    if first and not other_part(first.key[len(first.tag) + 1 :]):  # a comment may be an <article> as well
+        holders = frozenset(i for i in first.within if found[i].tag not in NEVER - {"form", "fieldset"})
+    low, high = best_run([weights.of(t, holders) for t in found])
+    if not any(t.words and holders.issuperset(t.within) for t in found[low:high]):
+        low, high = best_run([weights.of(t, None) for t in found])
+        parts = [frozenset(t.within) for t in found[low:high] if t.words]
+        if parts:
+            holders |= frozenset.intersection(*parts)
+            low, high = best_run([weights.of(t, holders) for t in found])
+    return low, high, holders
+
+
 def main_text(page: str, weights: Weights) -> str:
     """Text of the best region's blocks, joined by empty lines."""
     found = tokens(page)
-    low, high = best_run([weights.of(t) for t in found])
+    low, high, holders = region(found, weights)
     if low == high:
         return ""
     while low > 0 and not found[low - 1].block:
@@ -176,7 +243,7 @@ def main_text(page: str, weights: Weights) -> str:
                 blocks.append(text)
         elif token.tag == "br" and not token.text:
             open_text.append(" ")
-        elif token.text and not token.dropped:
+        elif token.text and holders.issuperset(token.within):
             open_text.append(entities.unescape(token.text))
     return "\n\n".join(blocks)
 

@@ -59,3 +59,46 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(r.n_chars for r in got.collect()) == [0, 15, 96, 96, 399_999]
     assert M.extract(pages.limit(0)).count() == 0
+
+
+ARTICLE = "<h1>Some title</h1><p>One sentence of the text stands here.<p>And then another sentence follows it."
+WANT = "Some title\n\nOne sentence of the text stands here.\n\nAnd then another sentence follows it."
+
+
+@pytest.mark.parametrize("mark", ["article", "div"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar">{}</div>',
+        '<div class="post with-comments">{}<div id="comments"><p>Nice one</p></div></div>',
+        '<section class="social-policy">{}</section>',
+        '<form id="aspnetForm" action="/">{}</form>',
+        '<form><nav><a href="/">Home page</a></nav>{}<div class="share-buttons">Share it</div></form>',
+        '<p>A <svg/> b</p>{}',
+        '<ul><li class=share>Share</ul>{}',
+        '<div class="sidebar"><div>{}</div></div>',
+        '<div class="widget">{}<ul><li class="ad">Buy<li>not this</ul></div>',
+    ],
+)
+def test_wrappers_keep_their_article(page, mark):
+    got = M.main_text("<html><body>" + page.format(f"<{mark}>{ARTICLE}</{mark}>") + "</body></html>", M.Weights())
+    assert WANT in got and not any(w in got for w in ("Nice", "Share", "Home", "Buy"))
+
+
+def test_implied_ends():
+    page = "<article><ul><li class=share>Share me<li>A point of the article</ul><table><tr><td class=ad>Buy<td>One cell of it<tr><td>Next row of it</table></article>"
+    assert M.main_text(page, M.Weights()) == "A point of the article\n\nOne cell of it\n\nNext row of it"
+
+
+@pytest.mark.parametrize(
+    "name, other",
+    [("share-buttons", True), ("ad banner", True), ("site-header", True), ("post-header", False), ("mainNav", True), ("has-sidebar", False),
+     ("social-policy", False), ("with-comments", False), ("comments-area", True), ("related_posts", True), ("header", False), ("ad-free", False), ("", False)],
+)
+def test_names_of_parts(name, other):
+    assert M.other_part(name) == other
+
+
+def test_comments_marked_as_articles():
+    page = f"<div><div class=x>{ARTICLE}</div><div id=comments><article class=comment><p>I say this</article><article><p>Me too I say</article></div></div>"
+    assert M.main_text(page, M.Weights()) == WANT
