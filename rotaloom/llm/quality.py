@@ -5,9 +5,12 @@ of its own language and source.  Four integer measures are summarised by histogr
 sketches: values up to 64 have a bucket each, larger ones share 32 buckets per power
 of two, so quantiles are right within 1/32 and the number of buckets is bounded.
 Such sketches merge by adding counts: those of a language and source merge into those
-of the language, and these into one of everything, which stand in for groups that are
-too small.  A document passes if every measure lies within the quartiles of its group
-widened by FENCE quartile distances (or by FENCE times SPREAD where the bulk is denser).
+of the language, and these into one of everything.  A group's quantiles are blended
+with those of its language, and these with those of everything, as if PRIOR documents
+of the wider group belonged to it, at every size alike.  An upper bound lies FENCE times
+as far above the 90th percentile as that lies above the median, and a lower bound mirrors it
+at the 10th, so up to a tenth of a group may be bad without moving its bounds.  What happens
+once in a text is chance: a single symbol, line or window that repeats is not counted.
 
 Everything is DataFrame code.
 """
@@ -23,10 +26,13 @@ SPLITTER = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 FENCE = 3
-MIN_GROUP = 100
+PRIOR = 100
 SALTS = 8
-# Measure: least quartile distance that counts, and whether low values fail as well.
-SPREAD = {"word_length": (30, True), "symbols": (50, False), "dup_lines": (100, False), "repeats": (100, False)}
+# Measure: whether low values fail as well.
+MEASURES = {"word_length": True, "symbols": False, "dup_lines": False, "repeats": False}
+PERCENTS = (10, 50, 90)
+# What a single symbol, line or three-word window found twice adds to a count.
+ONCE = {"n_symbols": 1, "n_dup_lines": 1, "n_repeat_words": 6}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -83,11 +89,12 @@ def features(docs: DataFrame) -> DataFrame:
 def measures(rows: DataFrame) -> DataFrame:
     """The four integer measures of rows with features; null without words."""
     words, lines = F.nullif("n_words", F.lit(0)), F.nullif("n_lines", F.lit(0))
+    more = lambda name: F.greatest(F.col(name) - ONCE[name], F.lit(0))
     per = {
         "word_length": F.floor(F.col("word_chars") * 100 / words),
-        "symbols": F.floor(F.col("n_symbols") * 1000 / words),
-        "dup_lines": F.floor(F.col("n_dup_lines") * 1000 / lines),
-        "repeats": F.floor(F.col("n_repeat_words") * 1000 / words),
+        "symbols": F.floor(more("n_symbols") * 1000 / words),
+        "dup_lines": F.floor(more("n_dup_lines") * 1000 / lines),
+        "repeats": F.floor(more("n_repeat_words") * 1000 / words),
     }
     return rows.withColumns({f"m_{name}": value.cast("long") for name, value in per.items()})
 
@@ -107,7 +114,7 @@ def bucket_value(number: Column) -> Column:
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n) of the rows that pass the base rules."""
     stacked = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(f"m_{m}")).alias("bucket")) for m in SPREAD])
+        F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(f"m_{m}")).alias("bucket")) for m in MEASURES])
     )
     good = rows.filter(~F.col("base_failed")).select("lang", "source", stacked.alias("x"))
     return good.groupBy("lang", "source", F.col("x.measure").alias("measure"), F.col("x.bucket").alias("bucket")).agg(
@@ -115,49 +122,53 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per ``keys`` and measure: n, q1, q3 of the merged sketches."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys`` and measure: n, and the percentiles p10, p50 and p90 of the merged sketches."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*keys, "measure").orderBy("bucket")
     whole = Window.partitionBy(*keys, "measure")
     placed = merged.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(whole))
-    at = lambda part: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * part, F.col("bucket")))
-    found = placed.groupBy(*keys, "measure").agg(F.first("_all").alias("n"), at(1).alias("b1"), at(3).alias("b3"))
-    return found.select(*keys, "measure", "n", bucket_value(F.col("b1")).alias("q1"), bucket_value(F.col("b3")).alias("q3"))
+    at = lambda p: F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * p, F.col("bucket")))
+    found = placed.groupBy(*keys, "measure").agg(F.first("_all").alias("n"), *[at(p).alias(f"p{p}") for p in PERCENTS])
+    return found.select(*keys, "measure", "n", *[bucket_value(F.col(f"p{p}")).alias(f"p{p}") for p in PERCENTS])
 
 
 def thresholds(sketch: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per group (lang, source) the bounds low_<measure> and high_<measure>.
+    """Per group (lang, source) the bounds low_<measure> and high_<measure>, from the blended quantiles.
 
-    Taken from the group's own sketch if it holds MIN_GROUP documents, else from its
-    language's if that does, else from the sketch of everything.
+    A group none of whose documents pass the base rules takes the quantiles of its language, or of everything.
     """
+    names = ["n", *[f"p{p}" for p in PERCENTS]]
+
     def wide(keys: list[str], level: int) -> DataFrame:
-        found = _quartiles(sketch, keys)
-        out = found.groupBy(*keys).pivot("measure", list(SPREAD)).agg(
-            F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("q3").alias("q3")
+        out = _quantiles(sketch, keys).groupBy(*keys).pivot("measure", list(MEASURES)).agg(
+            *[F.first(c).alias(c) for c in names]
         )
-        cells = [F.col(f"{m}_{c}").alias(c) for m in SPREAD for c in ("n", "q1", "q3")]
-        per = [F.struct(*cells[3 * i : 3 * i + 3]).alias(m) for i, m in enumerate(SPREAD)]
+        per = [F.struct(*[F.col(f"{m}_{c}").alias(c) for c in names]).alias(m) for m in MEASURES]
         return out.select(*keys, F.struct(*per).alias(f"_level{level}"))
 
     own, lang = wide(["lang", "source"], 0), wide(["lang"], 1)
-    # Three numbers for each measure, or nothing if no document passes the base rules.
-    everything = {r["measure"]: r for r in _quartiles(sketch, []).collect()}
+    # A few numbers for each measure, or nothing if no document passes the base rules.
+    everything = {r["measure"]: r for r in _quantiles(sketch, []).collect()}
     g, o, l = groups.alias("g"), own.alias("o"), lang.alias("l")  # noqa: E741
     joined = g.join(
         o, F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left"
     ).join(l, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
+
+    def blended(name: str, quantile: str) -> Column:
+        value = F.lit(everything[name][quantile] if name in everything else None).cast("long")
+        for level in ("_level1", "_level0"):
+            n = F.coalesce(F.col(f"{level}.{name}.n"), F.lit(0))
+            part = F.coalesce(F.col(f"{level}.{name}.{quantile}"), F.lit(0)) * n
+            value = F.call_function("div", part + value * PRIOR, n + PRIOR)
+        return value
+
     bounds = []
-    for name, (spread, both) in SPREAD.items():
-        enough = lambda level: F.col(f"{level}.{name}.n") >= MIN_GROUP  # noqa: B023, E731
-        pick = F.when(enough("_level0"), F.col(f"_level0.{name}")).when(enough("_level1"), F.col(f"_level1.{name}"))
-        top = everything.get(name)
-        last = [F.lit(top[c] if top else None).cast("long").alias(c) for c in ("n", "q1", "q3")]
-        pick = pick.otherwise(F.struct(*last))
-        reach = F.greatest(pick["q3"] - pick["q1"], F.lit(spread)) * FENCE
-        low = pick["q1"] - reach if both else F.lit(0)
-        bounds += [low.cast("long").alias(f"low_{name}"), (pick["q3"] + reach).cast("long").alias(f"high_{name}")]
+    for name, both in MEASURES.items():
+        p10, p50, p90 = (blended(name, f"p{p}") for p in PERCENTS)
+        low = p10 - (p50 - p10) * FENCE if both else F.lit(0)
+        high = p90 + (p90 - p50) * FENCE
+        bounds += [low.cast("long").alias(f"low_{name}"), high.cast("long").alias(f"high_{name}")]
     return joined.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *bounds)
 
 
@@ -179,9 +190,9 @@ def judge(docs: DataFrame) -> DataFrame:
     salted = key(rows).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     spread = key(bounds).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     within = F.lit(True)
-    for name in SPREAD:
+    for name in MEASURES:
         within &= F.coalesce(F.col(f"m_{name}").between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(False))
     told = salted.join(spread, ["_l", "_ln", "_s", "_sn", "_salt"], "left")
     kept = ~F.col("base_failed") & within
-    limits = [f"{side}_{name}" for name, (_, both) in SPREAD.items() for side in (("low", "high") if both else ("high",))]
+    limits = [f"{side}_{name}" for name, both in MEASURES.items() for side in (("low", "high") if both else ("high",))]
     return told.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), *limits)

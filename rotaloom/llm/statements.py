@@ -19,8 +19,8 @@ with d as (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from documents),
 g as (select rid, words, unnest(range(1, len(words) - 1)) as i from d where len(words) >= 3),
-h as (select rid, i, count(*) over (partition by rid, words[i], words[i + 1], words[i + 2]) as k from g),
-rep as (select rid, count(distinct p)::bigint as n from (select rid, unnest([i, i + 1, i + 2]) as p from h where k > 1) group by rid),
+hh as (select rid, i, count(*) over (partition by rid, words[i], words[i + 1], words[i + 2]) as k from g),
+rep as (select rid, count(distinct p)::bigint as n from (select rid, unnest([i, i + 1, i + 2]) as p from hh where k > 1) group by rid),
 f as (
   select doc_id, lang, source, len(words)::bigint as n_words,
          coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
@@ -30,8 +30,8 @@ f as (
   from d left join rep using (rid)),
 b as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-         (word_chars * 100) // nullif(n_words, 0) as m1, (n_symbols * 1000) // nullif(n_words, 0) as m2,
-         (n_dup_lines * 1000) // nullif(n_lines, 0) as m3, (n_repeat_words * 1000) // nullif(n_words, 0) as m4
+         (word_chars * 100) // nullif(n_words, 0) as m1, (greatest(n_symbols - 1, 0) * 1000) // nullif(n_words, 0) as m2,
+         (greatest(n_dup_lines - 1, 0) * 1000) // nullif(n_lines, 0) as m3, (greatest(n_repeat_words - 6, 0) * 1000) // nullif(n_words, 0) as m4
   from f),
 v as (select lang, source, unnest([1, 2, 3, 4]) as m, unnest([m1, m2, m3, m4]) as x from b where not base_failed),
 k as (
@@ -48,31 +48,30 @@ u as (
          sum(n) over (partition by lv, lang, source, m) as total
   from c),
 q as (
-  select lv, lang, source, m, any_value(total) as n,
-         min(case when 4 * upto >= total then bucket end)::bigint as b1,
-         min(case when 4 * upto >= 3 * total then bucket end)::bigint as b3
-  from u group by lv, lang, source, m),
-w as (
-  select lv, lang, source, m, n,
-         case when b1 < 64 then b1 else ((b1 - (b1 // 32 - 1) * 32 + 1) << (b1 // 32 - 1)) - 1 end as q1,
-         case when b3 < 64 then b3 else ((b3 - (b3 // 32 - 1) * 32 + 1) << (b3 // 32 - 1)) - 1 end as q3
-  from q),
+  select lv, lang, source, m, any_value(total)::bigint as n, p, min(bucket)::bigint as k
+  from u cross join (select unnest([10, 50, 90]) as p) where 100 * upto >= p * total group by lv, lang, source, m, p),
+w as (select *, case when k < 64 then k else ((k - (k // 32 - 1) * 32 + 1) << (k // 32 - 1)) - 1 end as x from q),
 s as (select distinct lang, source from b),
 t as (
-  select s.lang, s.source, a2.m,
-         case when a0.n >= 100 then a0.q1 when a1.n >= 100 then a1.q1 else a2.q1 end as q1,
-         case when a0.n >= 100 then a0.q3 when a1.n >= 100 then a1.q3 else a2.q3 end as q3
+  select s.lang, s.source, a2.m, a2.p,
+         (coalesce(a0.n * a0.x, 0) + 100 * ((coalesce(a1.n * a1.x, 0) + 100 * a2.x) // (coalesce(a1.n, 0) + 100)))
+         // (coalesce(a0.n, 0) + 100) as x
   from s cross join (from w where lv = 2) a2
-  left join (from w where lv = 0) a0 on a0.m = a2.m and a0.lang is not distinct from s.lang and a0.source is not distinct from s.source
-  left join (from w where lv = 1) a1 on a1.m = a2.m and a1.lang is not distinct from s.lang),
+  left join (from w where lv = 0) a0
+    on a0.m = a2.m and a0.p = a2.p and a0.lang is not distinct from s.lang and a0.source is not distinct from s.source
+  left join (from w where lv = 1) a1 on a1.m = a2.m and a1.p = a2.p and a1.lang is not distinct from s.lang),
+h as (
+  select lang, source, m, max(case when p = 10 then x end) as p10, max(case when p = 50 then x end) as p50,
+         max(case when p = 90 then x end) as p90
+  from t group by lang, source, m),
 l as (
   select lang, source,
-         max(case when m = 1 then q1 - 3 * greatest(q3 - q1, 30) end)::bigint as low_word_length,
-         max(case when m = 1 then q3 + 3 * greatest(q3 - q1, 30) end)::bigint as high_word_length,
-         max(case when m = 2 then q3 + 3 * greatest(q3 - q1, 50) end)::bigint as high_symbols,
-         max(case when m = 3 then q3 + 3 * greatest(q3 - q1, 100) end)::bigint as high_dup_lines,
-         max(case when m = 4 then q3 + 3 * greatest(q3 - q1, 100) end)::bigint as high_repeats
-  from t group by lang, source)
+         max(case when m = 1 then p10 - 3 * (p50 - p10) end)::bigint as low_word_length,
+         max(case when m = 1 then p90 + 3 * (p90 - p50) end)::bigint as high_word_length,
+         max(case when m = 2 then p90 + 3 * (p90 - p50) end)::bigint as high_symbols,
+         max(case when m = 3 then p90 + 3 * (p90 - p50) end)::bigint as high_dup_lines,
+         max(case when m = 4 then p90 + 3 * (p90 - p50) end)::bigint as high_repeats
+  from h group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(not base_failed and m1 between low_word_length and high_word_length and m2 <= high_symbols
                 and m3 <= high_dup_lines and m4 <= high_repeats, false) as kept,
