@@ -522,6 +522,43 @@ def sql() -> dict[str, str]:
         "select org_id, problem, 'N1/' || shift_id || '/' || slot_nr as row, cast(0 as bigint) as activity from filled "
         "where ((person_id % 3) + 3) % 3 = 1"
     )
+    # Sets of type 2, in which every third representative stands in all slots that they may take.
+    q["model_broken_sets"] = statement(
+        ", m AS (select f.org_id, f.problem, 'N1/' || f.shift_id || '/' || s.slot_nr as set, w.person_id, "
+        "((w.person_id % 3) + 3) % 3 = 1 as stands from free f join slots s on s.org_id = f.org_id and s.shift_id = f.shift_id "
+        "join workers w on w.org_id = f.org_id and w.team_code = f.team_code "
+        "and w.is_supervisor = f.is_supervisor and w.coach_of = f.coach_of), "
+        "e AS (select org_id, problem, set, count(*) as n_nonzero, min(person_id) as lo, max(person_id) as hi from m where stands "
+        "group by all having count(*) > 1) "
+        "select e.org_id, e.problem, e.set, e.n_nonzero, count(*) - e.n_nonzero as n_between from e join m "
+        "on m.org_id = e.org_id and m.problem = e.problem and m.set = e.set and m.person_id between e.lo and e.hi "
+        "group by e.org_id, e.problem, e.set, e.n_nonzero having e.n_nonzero > 2 or count(*) > e.n_nonzero"
+    )
+    # All sets of shifts that run at one moment; members are few, so some moments cannot be filled.
+    q["impossible_moments"] = statement(
+        ", few AS (select org_id, team_code, is_supervisor, coach_of, count(*) as n from workers "
+        "where ((person_id % 16) + 16) % 16 = 0 group by all), "
+        "fr AS (select f.org_id, f.shift_date, f.start_min, f.end_min, f.shift_id, f.n_slots, "
+        "p.team_code || '/' || p.coach_of || '/' || p.is_supervisor as class, p.n from free f join few p on p.org_id = f.org_id "
+        "and p.team_code = f.team_code and p.is_supervisor = f.is_supervisor and p.coach_of = f.coach_of where f.problem = 'KVW'), "
+        "mo AS (select distinct org_id, shift_date, start_min as at_min from fr), "
+        "sh AS (select distinct m.*, f.shift_id, f.n_slots from mo m join fr f on f.org_id = m.org_id "
+        "and f.shift_date = m.shift_date and f.start_min <= m.at_min and m.at_min < f.end_min), "
+        "nr AS (select *, row_number() over (partition by org_id, shift_date, at_min order by shift_id) - 1 as place, "
+        "count(*) over (partition by org_id, shift_date, at_min) as k from sh), "
+        "ma AS (select org_id, shift_date, at_min, unnest(range(1, cast(power(2, k) as bigint))) as mask "
+        "from (select distinct org_id, shift_date, at_min, k from nr)), "
+        "ne AS (select m.org_id, m.shift_date, m.at_min, m.mask, cast(sum(r.n_slots) as bigint) as n_needed from ma m join nr r "
+        "on r.org_id = m.org_id and r.shift_date = m.shift_date and r.at_min = m.at_min and (m.mask >> r.place) & 1 = 1 group by all), "
+        "cl AS (select r.org_id, r.shift_date, r.at_min, f.class, f.n, bit_or(cast(1 as bigint) << r.place) as able from nr r join fr f "
+        "on f.org_id = r.org_id and f.shift_id = r.shift_id group by all), "
+        "me AS (select e.org_id, e.shift_date, e.at_min, e.mask, e.n_needed, cast(sum(c.n) as bigint) as n_members from ne e join cl c "
+        "on c.org_id = e.org_id and c.shift_date = e.shift_date and c.at_min = e.at_min and (c.able & e.mask) <> 0 group by all) "
+        "select org_id, strftime(shift_date, '%Y-%m-%d') as shift_date, at_min, n_needed, n_members, n_needed - n_members as n_missing "
+        "from (select *, row_number() over (partition by org_id, shift_date, at_min order by n_needed - n_members desc, n_needed) as rn "
+        "from me) where rn = 1 and n_needed > n_members",
+        team_mode=False,
+    )
     q["roster_violations_spoiled"] = statement(
         ", r AS (select *, person_id % 11 = 2 as gone, person_id % 5 = 0 as swapped, person_id % 7 = 1 as odd, "
         "person_id % 13 = 3 as twice from filled), "

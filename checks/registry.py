@@ -7,13 +7,14 @@ compare by value across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotaloom.functions import dates as D
 from rotaloom.functions import intervals as I
-from rotaloom.operators import availability, candidates, disjoin, model, report, score, shifts
+from rotaloom.operators import availability, candidates, disjoin, feasible, model, report, score, shifts
 from rotaloom.plans.season import Season
 from rotaloom.rules import Rules
 from rotaloom.sources import text_files, views
@@ -229,6 +230,25 @@ def _model_broken_rows(season: Season) -> DataFrame:
     return broken.select("org_id", "problem", "row", F.col("activity").cast("long").alias("activity"))
 
 
+def _model_broken_sets(season: Season) -> DataFrame:
+    # Sets of type 2, and every third representative stands in all slots that they may take.
+    pairs = candidates.expand(season.free, season.workers, season.rules)
+    built = model.build_model(pairs, season.active, season.rules)
+    wide = replace(built, sets=built.sets.withColumn("max_nonzero", F.lit(2)))
+    value = F.when(F.pmod("person_id", F.lit(3)) == 1, 1.0).otherwise(0.0)
+    solution = pairs.select("org_id", "problem", model.choice_name().alias("var"), value.alias("value"))
+    return model.broken_sets(wide, solution).drop("max_nonzero")
+
+
+def _impossible(season: Season) -> DataFrame:
+    # Only members with an even number come, so that some days cannot be filled.
+    few = season.workers.filter(F.pmod("person_id", F.lit(16)) == 0)
+    present = candidates.worker_classes(few)
+    free = season.free.drop("n_persons").join(present, candidates.CLASS)
+    found = feasible.impossible_moments(free)
+    return _plain(found, "org_id", "shift_date", "at_min", "n_needed", "n_members").withColumn("n_missing", F.col("n_needed") - F.col("n_members"))
+
+
 def _checked_assignment(season: Season, compare: bool) -> DataFrame:
     """Status, rule check and bounds of an assigner run, one row per organisation and problem."""
     keys = ["org_id", "problem"]
@@ -469,6 +489,8 @@ def queries() -> dict[str, Query]:
         "model_objective": season(_model_objective),
         "model_row_kinds": season(_model_row_kinds),
         "model_broken_rows": season(_model_broken_rows),
+        "model_broken_sets": season(_model_broken_sets),
+        "impossible_moments": season(_impossible, PLAYER),
         "assigner_summary": season(lambda x: _checked_assignment(x, True)),
         "candidates_hot_org": lambda s, d: _per_shift(_season(s, d, PLAYER, hot=True).candidates),
         "stats_person_hot_org": lambda s, d: _person_stats(_season(s, d, PLAYER, hot=True)),

@@ -62,8 +62,17 @@ class Assignment:
             raise ValueError("some slots could not be filled")
         return self
 
-    def status(self) -> DataFrame:
-        """One row per organisation and problem."""
+    def status(self, impossible: DataFrame | None = None) -> DataFrame:
+        """One row per organisation and problem.
+
+        With the witnesses of ``feasible.impossible_moments`` an incomplete roster that nothing could complete
+        is 'infeasible'; without a witness it is only not found.
+        """
+        if impossible is not None:
+            proven = impossible.select("org_id", F.lit("KVW").alias("problem"), F.lit(True).alias("_proven")).distinct()
+            told = self.status().join(proven, ["org_id", "problem"], "left")
+            none = F.col("_proven") & (F.col("status") != "complete")
+            return told.withColumn("status", F.when(none, "infeasible").otherwise(F.col("status"))).drop("_proven")
         filled = self.roster.select(*SLOT, F.lit(1).alias("filled"))
         return (
             self.slots.join(filled, SLOT, "left")

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from rotaloom.operators import assign as A
-from rotaloom.operators import availability, candidates, people, report, score, shifts, targets
+from rotaloom.operators import availability, candidates, feasible, people, report, score, shifts, targets
 from rotaloom.plans.scratch import materialize
 from rotaloom.rules import Rules
 
@@ -88,6 +88,12 @@ class Season:
     def uncovered(self) -> DataFrame:
         return candidates.uncovered_shifts(self.shifts, self.free)
 
+    @cached_property
+    def impossible(self) -> DataFrame:
+        """Witnesses of moments that cannot be filled; none in team mode, where a representative stands for a team."""
+        found = feasible.impossible_moments(self.free)
+        return found.limit(0) if self.rules.team_mode else materialize(found, "impossible")
+
     @cached_property
     def active(self) -> DataFrame:
         return materialize(score.active_workers(self.workers, self.free, self.targets, self.rules), "active")
