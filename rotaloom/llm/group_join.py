@@ -273,17 +273,22 @@ def open_groups(t: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
         at = last
         if not len(i):
             continue
-        m = members[_ranges(begins[j], sizes[j])]
-        i = np.repeat(i, sizes[j])
-        # Within one block both sides hold every node, so each pair is met once.
-        once = (t["q"][i] != t["g"][i]) | (node[i] < node[m])
-        i, m = i[once], m[once]
-        for part in range(0, len(i), PAIRS):
-            a, b = i[part : part + PAIRS], m[part : part + PAIRS]
-            most = np.minimum(cells[a], cells[b]).sum(axis=1, dtype=np.int64)
-            good = linked(most, n[a], n[b], percent)
-            left.append(a[good])
-            right.append(b[good])
+        # Opened groups are unfolded to about PAIRS members at a time, however many groups open at once.
+        unfolded = np.cumsum(sizes[j])
+        low_j = 0
+        while low_j < len(j):
+            high_j = max(low_j + 1, int(np.searchsorted(unfolded, (unfolded[low_j - 1] if low_j else 0) + PAIRS, side="right")))
+            groups = j[low_j:high_j]
+            m = members[_ranges(begins[groups], sizes[groups])]
+            k = np.repeat(i[low_j:high_j], sizes[groups])
+            low_j = high_j
+            # Within one block both sides hold every node, so each pair is met once.
+            once = (t["q"][k] != t["g"][k]) | (node[k] < node[m])
+            k, m = k[once], m[once]
+            most = np.minimum(cells[k], cells[m]).sum(axis=1, dtype=np.int64)
+            good = linked(most, n[k], n[m], percent)
+            left.append(k[good])
+            right.append(m[good])
     return np.concatenate(left), np.concatenate(right), asked, opened
 
 
