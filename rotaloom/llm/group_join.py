@@ -300,8 +300,6 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
     blocks = F.ceil(F.col("k") / GROUP).cast("int").alias("blocks")
     mixed = scratch.keep(mixed.filter("low < high").select("gram", "k", blocks), "mixed", "mixed")
     rows = scratch.keep(placed.join(mixed.select("gram", "blocks"), "gram"), "rows", "members")
-    posts = rows.groupBy("node").agg(F.sort_array(F.collect_list("gram")).alias("posts"))
-    facts = scratch.keep(sizes.select("node", "cells").join(posts, "node"), "facts", "facts")
     n_rows = mixed.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 0
     tables = max(1, -(-n_rows // TABLE_ROWS))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -310,9 +308,9 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("q", F.least("block", "_other"))
         .withColumn("g", F.greatest("block", "_other"))
-        .join(facts, "node")
+        .join(sizes.select("node", "cells"), "node")
         .select(F.pmod(F.xxhash64("gram", "q", "g"), F.lit(tables)).alias("table"),
-                "gram", "q", "g", "block", "node", "n", "comp", "cells", "posts")
+                "gram", "q", "g", "block", "node", "n", "comp", "cells")
     )
 
     def compared(table: pa.Table) -> pa.Table:
@@ -321,22 +319,15 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
         t = {c: x[order] for c, x in t.items()}
         t["cells"] = cells_of(table.column("cells").to_pylist())[order]
         a, b, _, _ = open_groups(t, percent)
-        posts, lists = table.column("posts"), {}
-
-        def known(i: int) -> list[int]:
-            if i not in lists:
-                lists[i] = posts[int(order[i])].as_py()
-            return lists[i]
-
-        # A pair that shares several postings is reported by the smallest of them only.
-        first = [min(set(known(i)).intersection(known(j))) == t["gram"][i] for i, j in zip(a.tolist(), b.tolist())]
-        a, b = t["node"][a[first]] if len(a) else a, t["node"][b[first]] if len(b) else b
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        # Few pairs pass, so one that shares several postings is reported by each of them.
+        a, b = t["node"][a], t["node"][b]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     ship(placed.sparkSession)
     found = meeting.groupBy("table").applyInArrow(compared, "a long, b long").distinct()
     found = scratch.keep(found, "more", "more")
-    scratch.remove("mixed", "members", "facts")
+    scratch.remove("mixed", "members")
     return found
 
 
