@@ -20,11 +20,17 @@ STANDS_OUT = 1.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts, texts without letters and foreign scripts go."""
+    """Documents whose language is recognised; null texts, texts without letters and foreign scripts go.
+
+    Where no document outside the held-out fold names its language there is no model,
+    and all texts with a letter stay.
+    """
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     packed, restored = pack(docs, ["doc_id", "text"])
     told = language_id.identify(packed, "text", model)
-    least = STANDS_OUT / max(len(model.languages), 1) if model and len(model.languages) > 1 else 0.0
+    least = STANDS_OUT / len(model.languages) if len(model.languages) > 1 else 0.0
     known = (F.col("lang_pred") != language_id.UNDECIDED) & (F.col("score") >= least)
     return told.filter(known).select(*restored)
 
@@ -40,7 +46,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training stream: documents as often as the mix takes them, sorted by training position."""
+    """The training stream: documents as often as the mix takes them, sorted by training position.
+
+    The columns of ``documents`` have no room for the position, so the order lives in the
+    rows of this DataFrame and in the order of the part files it is written to.
+    """
     packed, restored = pack(docs, ["doc_id", "text", "source"])
     return mixing.mix(packed).select(*restored)
 
