@@ -52,3 +52,10 @@ def test_odd_rows(spark):
         out.collect()
         assert stage(spark, docs.limit(0), "").count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(rows)
+
+
+def test_without_languages_texts_with_letters_stay(spark):
+    rows = [(1, "the house", None, "s", 9), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "\u0436", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
