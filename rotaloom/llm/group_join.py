@@ -59,6 +59,8 @@ FREQUENT_GRAMS = 300_000
 STAR_ROUNDS = 3
 # Nodes of a block, rows of a task's table and pairs that are bounded at a time.
 GROUP, TABLE_ROWS, PAIRS = 2048, 8192, 1 << 16
+# Postings that a row of the matrix names, so that pairs which share many are not reported by each.
+LOWEST = 4
 BROADCAST_ROWS = 500_000
 SALTS = 8
 
@@ -292,6 +294,28 @@ def open_groups(t: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
     return np.concatenate(left), np.concatenate(right), asked, opened
 
 
+def lowest_of(stored: list[list[int]]) -> np.ndarray:
+    """A row of LOWEST postings for each stored list; the highest number stands for none."""
+    out = np.full((len(stored), LOWEST), np.iinfo(np.int64).max)
+    for i, grams in enumerate(stored):
+        out[i, : len(grams)] = grams
+    return out
+
+
+def first_meetings(gram: np.ndarray, lowest: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of rows do not share a lower posting among the lowest of both, where they would be reported already.
+
+    A pair that shares one of these is reported once, any other once for each posting that it shares.
+    """
+    new = np.ones(len(left), bool)
+    for first in range(0, len(left), PAIRS):
+        i, j = left[first : first + PAIRS], right[first : first + PAIRS]
+        earlier = np.where(lowest[i] < gram[i][:, None], lowest[i], np.iinfo(np.int64).min)
+        known = (earlier[:, :, None] == lowest[j][:, None, :]) & (earlier[:, :, None] > np.iinfo(np.int64).min)
+        new[first : first + PAIRS] = ~known.any(axis=(1, 2))
+    return new
+
+
 def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes in different groups that share a posting and pass the bounds."""
     mixed = placed.groupBy("gram").agg(
@@ -300,6 +324,8 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
     blocks = F.ceil(F.col("k") / GROUP).cast("int").alias("blocks")
     mixed = scratch.keep(mixed.filter("low < high").select("gram", "k", blocks), "mixed", "mixed")
     rows = scratch.keep(placed.join(mixed.select("gram", "blocks"), "gram"), "rows", "members")
+    lowest = F.slice(F.sort_array(F.collect_list("gram")), 1, LOWEST).alias("lowest")
+    facts = scratch.keep(sizes.select("node", "cells").join(rows.groupBy("node").agg(lowest), "node"), "facts", "facts")
     n_rows = mixed.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 0
     tables = max(1, -(-n_rows // TABLE_ROWS))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -308,9 +334,9 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("q", F.least("block", "_other"))
         .withColumn("g", F.greatest("block", "_other"))
-        .join(sizes.select("node", "cells"), "node")
+        .join(facts, "node")
         .select(F.pmod(F.xxhash64("gram", "q", "g"), F.lit(tables)).alias("table"),
-                "gram", "q", "g", "block", "node", "n", "comp", "cells")
+                "gram", "q", "g", "block", "node", "n", "comp", "cells", "lowest")
     )
 
     def compared(table: pa.Table) -> pa.Table:
@@ -319,15 +345,15 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
         t = {c: x[order] for c, x in t.items()}
         t["cells"] = cells_of(table.column("cells").to_pylist())[order]
         a, b, _, _ = open_groups(t, percent)
-        # Few pairs pass, so one that shares several postings is reported by each of them.
-        a, b = t["node"][a], t["node"][b]
+        new = first_meetings(t["gram"], lowest_of(table.column("lowest").to_pylist())[order], a, b)
+        a, b = t["node"][a[new]], t["node"][b[new]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     ship(placed.sparkSession)
     found = meeting.groupBy("table").applyInArrow(compared, "a long, b long").distinct()
     found = scratch.keep(found, "more", "more")
-    scratch.remove("mixed", "members")
+    scratch.remove("mixed", "members", "facts")
     return found
 
 

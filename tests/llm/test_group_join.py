@@ -116,3 +116,19 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 3), (7, 6), (6, 5), (5, 4), (4, 3), (20, 20)] + [(100, 100 + i) for i in range(1, 50)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {got[i] for i in range(1, 8)} == {1} and got[11] == 10 and got[20] == 20 and {got[100 + i] for i in range(50)} == {100}
+
+
+def test_first_meetings_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        lists = [sorted(rng.choice(30, rng.integers(1, 12), replace=False).tolist()) for _ in range(8)]
+        rows = [(g, i) for i, held in enumerate(lists) for g in held]
+        gram = np.array([g for g, _ in rows])
+        lowest = G.lowest_of([lists[i][: G.LOWEST] for _, i in rows])
+        pairs = [(x, y) for x in range(len(rows)) for y in range(len(rows)) if rows[x][0] == rows[y][0] and rows[x][1] < rows[y][1]]
+        left, right = (np.array(side, np.int64) for side in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
+        seen = [(rows[x][1], rows[y][1]) for (x, y), new in zip(pairs, G.first_meetings(gram, lowest, left, right)) if new]
+        assert set(seen) == {(rows[x][1], rows[y][1]) for x, y in pairs}
+        for a, b in set(seen):
+            if set(lists[a][: G.LOWEST]) & set(lists[b][: G.LOWEST]):
+                assert seen.count((a, b)) == 1
