@@ -464,12 +464,13 @@ def sql() -> dict[str, str]:
         "group by org_id, shift_id, team_code having sum(n_persons) > 1", team_mode=False,
     )
     q["disjoint_intervals"] = statement(
-        ", ivs AS (select distinct org_id, team_code, shift_date, start_min, end_min from cands where problem = 'KVW'), "
-        "pts AS (select distinct org_id, team_code, shift_date, unnest([start_min, end_min]) as p from ivs), "
-        "pcs AS (select org_id, team_code, shift_date, p as piece_start, lead(p) over (partition by org_id, team_code, "
-        "shift_date order by p) as piece_end from pts) "
-        f"select c.org_id, c.team_code, {_D.format('c.shift_date')} as shift_date, piece_start, piece_end, "
-        "count(*) as n_covering from pcs c join ivs i on i.org_id = c.org_id and i.team_code = c.team_code "
+        ", ivs AS (select distinct org_id, problem, team_code, shift_date, start_min, end_min from cands), "
+        "pts AS (select distinct org_id, problem, team_code, shift_date, unnest([start_min, end_min]) as p from ivs), "
+        "pcs AS (select org_id, problem, team_code, shift_date, p as piece_start, lead(p) over (partition by org_id, "
+        "problem, team_code, shift_date order by p) as piece_end from pts) "
+        f"select c.org_id, c.problem, c.team_code, {_D.format('c.shift_date')} as shift_date, piece_start, piece_end, "
+        "count(*) as n_covering from pcs c join ivs i on i.org_id = c.org_id and i.problem = c.problem "
+        "and i.team_code = c.team_code "
         "and i.shift_date = c.shift_date and i.start_min <= piece_start and i.end_min >= piece_end "
         "where piece_end is not null group by all", team_mode=False,
     )

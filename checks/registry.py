@@ -132,8 +132,8 @@ def _same_team(season: Season) -> DataFrame:
 
 
 def _disjoint(season: Season) -> DataFrame:
-    keys = ["org_id", "team_code", "shift_date"]
-    spans = season.candidates.filter("problem = 'KVW'").select(*keys, "start_min", "end_min").distinct()
+    keys = ["org_id", "problem", "team_code", "shift_date"]
+    spans = season.candidates.select(*keys, "start_min", "end_min").distinct()
     pieces = disjoin.disjoin(spans, keys).groupBy(*keys, "piece_start", "piece_end")
     return _plain(pieces.agg(F.count(F.lit(1)).alias("n_covering")))
 
