@@ -679,6 +679,11 @@ def sql() -> dict[str, str]:
         "else name end as short_name, team_code, worked_min, is_supervisor, coalesce(trains_team, '') as trains_team "
         "from persons"
     )
+    q["ingest_person_rejects"] = statement(
+        "select org_id, reason, count(*) as n_rows from (select org_id, case when person_id % 10 = 3 and not is_supervisor "
+        "then 'unknown team' when person_id % 10 = 4 then 'unknown coached team' when person_id % 10 = 5 then 'bad hours' "
+        "when person_id % 10 = 7 then 'repeated line' end as reason from persons) where reason is not null group by all"
+    )
     q["ingest_rejects"] = statement(
         "select org_id, 'unknown team' as reason, count(*) as n_rows from games where team_nr = '' group by org_id"
     )

@@ -318,7 +318,7 @@ def _parsed_games(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return text_files.parse_games(lines, views.clubs(spark, sf_dir), TEAM)
 
 
-def _parsed_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _person_lines(persons: DataFrame) -> DataFrame:
     minutes = F.col("worked_min")
     hours = F.regexp_replace(F.format_string("%.6f", minutes / 60.0), "\\.", ",")
     supervisor = F.col("is_supervisor")
@@ -332,11 +332,28 @@ def _parsed_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Every line of a supervisor is quoted as a whole.
     value = F.when(supervisor, F.concat(F.lit('"'), cells, F.lit('"'))).otherwise(cells)
-    lines = views.persons(spark, sf_dir).select("org_id", value.alias("value"))
-    rows, _ = text_files.parse_persons(lines, TEAM)
+    return persons.select("org_id", value.alias("value"))
+
+
+def _parsed_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = text_files.parse_persons(_person_lines(views.persons(spark, sf_dir)), TEAM)
     return _plain(rows.drop("person_id"))
 
 
+def _person_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some members in an unknown team, some coaching one, some without hours, and some lines twice."""
+    digit = F.pmod("person_id", F.lit(10))
+    persons = views.persons(spark, sf_dir)
+    damaged = (
+        persons.withColumn("team_code", F.when(digit == 3, "ZZ9").otherwise(F.col("team_code")))
+        .withColumn("trains_team", F.when(digit == 4, "ZZ9").otherwise(F.col("trains_team")))
+        .withColumn("worked_min", F.when(digit != 5, F.col("worked_min")))
+    )
+    lines = _person_lines(damaged.unionByName(damaged.filter(digit == 7)))
+    _, rejects = text_files.parse_persons(lines, TEAM)
+    return rejects.groupBy("org_id", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _parsed_fixed(season: Season) -> DataFrame:
     cells = F.concat_ws(
         ";",
@@ -510,6 +527,7 @@ def queries() -> dict[str, Query]:
         .groupBy("org_id", "reason")
         .agg(F.count(F.lit(1)).alias("n_rows")),
         "ingest_persons": _parsed_persons,
+        "ingest_person_rejects": _person_rejects,
         "ingest_fixed": season(_parsed_fixed, PLAYER),
         "season_window": lambda s, d: _plain(
             text_files.season_window(views.games(s, d), "2000-09-01", "2001-06-30"), "org_id", "game_id", "game_date"
