@@ -13,7 +13,7 @@ from rotaloom.operators.candidates import SHIFT, parent_assignments
 from rotaloom.operators.people import PARENT_PREFIX, parent_key
 from rotaloom.operators.shifts import is_parent_sales
 from rotaloom.plans.scratch import materialize
-from rotaloom.plans.skew import salted_join, spread_row_number
+from rotaloom.plans.skew import growing, salted_join, spread_row_number
 from rotaloom.rules import SUPERVISION, Rules
 
 PERSON = ["org_id", "person_id"]
@@ -50,7 +50,7 @@ def effective_minutes(roster: DataFrame, shifts: DataFrame, rules: Rules) -> Dat
     length = F.col("end_min") - F.col("start_min")
     single = F.lit(rules.team_mode) & ~is_parent_sales(F.col("duty_type"), F.col("parents_of"))
     return (
-        roster.join(shifts, SHIFT)
+        roster.join(growing(shifts), SHIFT)
         .groupBy(*PERSON)
         .agg(F.sum(length * F.when(single, F.col("n_people")).otherwise(1)).alias("planned_min"))
     )
@@ -199,7 +199,7 @@ def roster_layout(
     spread buckets, so a crowded day does not end up in a single task.
     """
     day = ["org_id", "shift_date"]
-    named = roster.join(people.select(*PERSON, "name", "team_code"), PERSON)
+    named = roster.join(growing(people.select(*PERSON, "name", "team_code")), PERSON)
     helpers = [F.max(F.when(F.col("slot_nr") == i, F.col("name"))).alias(f"helper_{i + 1}")
                for i in range(rules.helper_columns)]
     per_shift = named.groupBy(*SHIFT).agg(
@@ -211,9 +211,10 @@ def roster_layout(
         | is_parent_sales(F.col("duty_type"), F.col("parents_of"))
     )
     in_day = Window.partitionBy(*day).orderBy("start_min", "end_min", "duty_type", "shift_id")
+    game_days = games.select("org_id", F.col("game_date").alias("shift_date")).distinct()
     left = (
-        shifts.join(per_shift, SHIFT, "left" if include_unfilled else "inner")
-        .join(games.select("org_id", F.col("game_date").alias("shift_date")).distinct(), day, "left_semi")
+        shifts.join(growing(per_shift), SHIFT, "left" if include_unfilled else "inner")
+        .join(growing(game_days), day, "left_semi")
         .select(
             *day,
             F.row_number().over(in_day).cast("long").alias("row_nr"),
@@ -229,7 +230,8 @@ def roster_layout(
     left = materialize(left, "layout")
     planned_days = left.select(*day).distinct()
     dated = games.withColumnRenamed("game_date", "shift_date")
-    day_games = salted_join(dated, planned_days, day, "left_semi", ["game_id"], rules.salts)
+    # Days are as many as the games allow, so they are not repeated for salts.
+    day_games = dated.join(growing(planned_days), day, "left_semi")
     numbered = spread_row_number(
         day_games,
         day,
@@ -240,7 +242,7 @@ def roster_layout(
     right = numbered.select(
         *day, "row_nr", "game_id", clock(F.col("start_min")).alias("game_time"), "league", "home", "away"
     )
-    wide = left.join(right, [*day, "row_nr"], "full")
+    wide = left.join(growing(right), [*day, "row_nr"], "full")
 
     def cell(name: str):
         return F.coalesce(F.col(name).cast("string"), F.lit(""))

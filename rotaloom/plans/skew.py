@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` for a join whose two sides grow with the input: merged by key at any size.
+
+    Files hold repeated keys in a small part of the bytes that rows take in memory, and an estimate scales those bytes by
+    the widths of the columns.  It calls tables small that fill the driver once they are collected there.
+    """
+    return df.hint("merge")
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -57,7 +66,7 @@ def spread_row_number(
     local = Window.partitionBy(*bucket).orderBy(*fine)
     return (
         bucketed.withColumn("_local", F.row_number().over(local))
-        .join(offsets, bucket)
+        .join(growing(offsets), bucket)
         .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
         .drop(*coarse_names, "_tie", "_local", "_offset")
     )

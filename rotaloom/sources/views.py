@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotaloom.plans.skew import growing
 from rotaloom.rules import SUPERVISOR_TEAM, Rules
 
 DEFAULT_RULES = Rules()
@@ -42,7 +43,7 @@ def games(
     prefix = F.regexp_replace(F.regexp_replace(code, r"\d$", ""), "^([mwg])", "$1J")
     club = F.concat(F.lit(CLUB_PREFIX), F.col("org_id").cast("string"))
     own_side = F.when(number > "1", F.concat(club, F.lit(" "), number)).otherwise(club)
-    base = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(
+    base = orders.join(growing(customers), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(
         _org(F.col("o_custkey"), hot).alias("org_id"),
         key.alias("game_id"),
         F.date_add(F.lit("2000-01-03").cast("date"), (week + day).cast("int")).alias("game_date"),
