@@ -132,10 +132,32 @@ def inverse_demand(share: Column, slope: Column) -> Column:
     return F.least(F.lit(1.0), F.when(slope == 0, share).otherwise(curved))
 
 
+def ordered(planned: DataFrame) -> DataFrame:
+    """Rows of a ``plan`` once per copy, range-sorted by training position; ``position`` is that of the copy."""
+    names = [c for c in planned.columns if c not in ("position", "positions")]
+    copies = planned.select(*[F.col(f"`{c}`") for c in names], F.explode("positions").alias("position"))
+    return copies.orderBy("position", "doc_id")
+
+
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed stream: one row per copy, in the columns of ``docs`` and ``position``, range-sorted by position."""
     names = [c for c in docs.columns if c != "position"]
-    copies = plan(docs, seed).select(
-        *[F.col(f"`{c}`") for c in names], F.explode("positions").alias("position")
+    return ordered(plan(docs, seed)).select(*[F.col(f"`{c}`") for c in names], "position")
+
+
+def shares(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """Per document what the mixed stream holds of it: doc_id, size, source_size, target, taken, position.
+
+    The stream is written in its order and read back; ``taken`` adds up the copies found there and
+    ``position`` is that of the first one.  Texts are left out, since nothing here needs them.
+    """
+    facts = ["doc_id", "size", "source_size", "target"]
+    planned = materialize(plan(docs, seed).select(*facts, "copies", "positions"), "plan")
+    # The number tells repeated rows apart.
+    rows = planned.filter("copies > 0").withColumn("_row", F.monotonically_increasing_id())
+    stream = materialize(ordered(rows), "stream")
+    taken = stream.groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in facts], F.sum("size").alias("taken"), F.min("position").alias("position")
     )
-    return copies.orderBy("position", "doc_id")
+    none = planned.filter("copies = 0").select(*facts, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"))
+    return taken.select(*facts, "taken", "position").unionByName(none)

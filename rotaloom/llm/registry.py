@@ -71,10 +71,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return planned.select(
-        "doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")
-    )
+    mixed = mixing.shares(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.withColumn("position", F.round("position", 9))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,21 @@ def test_stream(spark):
     assert len(stream) == sum(r.copies for r in M.plan(docs).collect())
 
 
+def test_shares_come_from_the_sorted_stream(spark, monkeypatch):
+    """Per document what the written stream holds; the stream is in order of position over its files."""
+    docs, written = docs_of(spark, ROWS).select("doc_id", "text", "source"), {}
+    keep = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, label: written.setdefault(label, keep(df, label)))
+    got = M.shares(docs)
+    columns = ["doc_id", "size", "source_size", "target", "taken", "position"]
+    want = M.plan(docs).select(*columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    stream, files = written["stream"], sorted(written["stream"].inputFiles())
+    positions = [r.position for f in files for r in spark.read.parquet(f).select("position").collect()]
+    assert positions == sorted(positions) and len(positions) == stream.count() > 0
+
+
 def test_empty(spark):
     assert M.plan(docs_of(spark, ROWS).limit(0)).count() == 0
     alone = M.plan(docs_of(spark, [(1, None, None)])).collect()
