@@ -1,6 +1,6 @@
 """Plans of steps whose tables all grow with the games."""
 
-from rotaloom.operators import report
+from rotaloom.operators import candidates, report
 from rotaloom.plans.season import Season
 from rotaloom.rules import Rules
 
@@ -21,3 +21,12 @@ def test_layout_collects_no_days_on_the_driver(make_games, make_persons):
     full = season.full(season.simple_roster)
     layout = report.roster_layout(full, season.shifts, season.games, season.people, TEAM)
     assert "BroadcastExchange" not in plan_of(layout) and layout.count() > 0
+
+
+def test_candidates_are_dealt_out_once_for_the_weekend_rule(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    made = plan_of(candidates.candidates(season.shifts, season.workers, season.windows, TEAM))
+    assert "LeftAnti" not in made
+    flagged = plan_of(candidates.weekend_flags(season.candidates, season.kickoffs))
+    # The candidates by day and the kick-offs by day; the rule per shift needs nothing further.
+    assert flagged.count("Exchange hashpartitioning") == 2
