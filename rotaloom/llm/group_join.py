@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotaloom.llm.common import (
+    batches_of,
     chunks,
     gram_hashes,
     map_arrow,
@@ -62,6 +63,7 @@ GROUP, TABLE_ROWS, PAIRS = 2048, 8192, 1 << 16
 # Postings that a row of the matrix names, so that pairs which share many are not reported by each.
 LOWEST = 4
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = 1_000
 SALTS = 8
 
 
@@ -221,7 +223,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, gram: int, pe
 
     text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
     found = map_arrow(pairs.join(text("a"), "a").join(text("b"), "b"), compare, "a long, b long").distinct()
-    found = scratch.keep(found, "found")
+    # A row holds two whole texts, which JVM and Python both buffer by the batch.
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        found = scratch.keep(found, "found")
     scratch.remove("wanted", "texts")
     return found
 
@@ -361,7 +365,9 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
 def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The set of each row, and per digest that is copied or linked: component_id and its representative row."""
     scratch = Scratch(docs.sparkSession)
-    sets = scratch.keep(_sets(docs, gram, percent), "sets", "sets")
+    sets = _sets(docs, gram, percent)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        sets = scratch.keep(sets, "sets", "sets")
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     nodes = (
         sets.filter("n > 0")

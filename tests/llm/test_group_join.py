@@ -132,3 +132,20 @@ def test_first_meetings_lose_no_pair():
         for a, b in set(seen):
             if set(lists[a][: G.LOWEST]) & set(lists[b][: G.LOWEST]):
                 assert seen.count((a, b)) == 1
+
+
+def test_texts_are_compared_in_small_batches(spark, monkeypatch):
+    """Rows with two whole texts come in batches of BATCH_ROWS; the session's setting is as before afterwards."""
+    setting, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, G.Scratch.keep
+    before = spark.conf.get(setting)
+
+    def noted(self, df, label, slot=None):
+        seen[label] = spark.conf.get(setting)
+        return keep(self, df, label, slot)
+
+    monkeypatch.setattr(G.Scratch, "keep", noted)
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " x"), (3, "other words only here")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in G.jaccard_groups(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert seen["sets"] == seen["found"] == str(G.BATCH_ROWS) and spark.conf.get(setting) == before
