@@ -10,12 +10,14 @@ not single members, so a group is bounded by the shifts of a day times the class
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotaloom.operators.candidates import CLASS
+from rotaloom.plans.workers import ship
 
 WITNESS = "org_id int, shift_date date, at_min int, n_needed long, n_members long, shift_ids array<string>"
 
@@ -72,6 +74,29 @@ def worst_set(needs: dict, members: dict, able: dict) -> tuple[int, frozenset]:
     return sum(open_.values()), frozenset(name for kind, name in came if kind == "s") if short else frozenset()
 
 
+def witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of moments with the shifts that each sort of members may take, those that cannot be filled."""
+    schema = pa.schema([
+        ("org_id", pa.int32()), ("shift_date", pa.date32()), ("at_min", pa.int32()),
+        ("n_needed", pa.int64()), ("n_members", pa.int64()), ("shift_ids", pa.list_(pa.string())),
+    ])
+    for batch in batches:
+        found = []
+        for org, day, at, sorts in zip(*(c.to_pylist() for c in batch.columns)):
+            members = {i: sort["n"] for i, sort in enumerate(sorts)}
+            needs = dict(sorted((s["shift_id"], s["n_slots"]) for sort in sorts for s in sort["shifts"]))
+            able: dict = {s: [] for s in needs}
+            for i, sort in enumerate(sorts):
+                for s in sort["shifts"]:
+                    able[s["shift_id"]].append(i)
+            excess, shifts = worst_set(needs, members, able)
+            if excess:
+                needed = sum(needs[s] for s in shifts)
+                found.append((org, day, at, needed, needed - excess, sorted(shifts)))
+        columns = zip(*found) if found else [[]] * len(schema)
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def moments(free: DataFrame) -> DataFrame:
     """(org_id, shift_date, at_min, shift and class columns): what runs whenever a shift begins."""
     own = free.filter("problem = 'KVW'")
@@ -90,24 +115,19 @@ def impossible_moments(free: DataFrame) -> DataFrame:
     Shifts without any candidate are not in ``free``; ``uncovered_shifts`` lists them.
     """
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        classes = list(zip(group["team_code"], group["is_supervisor"], group["coach_of"]))
-        needs = dict(sorted(zip(group["shift_id"], (int(n) for n in group["n_slots"]))))
-        members = dict(zip(classes, (int(n) for n in group["n_persons"])))
-        able: dict = {s: [] for s in needs}
-        for s, c in zip(group["shift_id"], classes):
-            able[s].append(c)
-        excess, shifts = worst_set(needs, members, able)
-        if not excess:
-            return pd.DataFrame(columns=[c.split()[0] for c in WITNESS.split(", ")])
-        first = group.iloc[0]
-        needed = sum(needs[s] for s in shifts)
-        row = (first["org_id"], first["shift_date"], first["at_min"], needed, needed - excess, sorted(map(str, shifts)))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in WITNESS.split(", ")])
-
     # Where every shift alone has as many able members as all slots need, any order of filling works; these go first.
     rows = moments(free)
     keys = ["org_id", "shift_date", "at_min"]
     fewest = rows.groupBy(*keys, "shift_id").agg(F.sum("n_persons").alias("n_able"), F.max("n_slots").alias("n_slots"))
     tight = fewest.groupBy(*keys).agg(F.min("n_able").alias("n_able"), F.sum("n_slots").alias("n_slots")).filter("n_able < n_slots")
-    return rows.join(tight.select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(judge, WITNESS)
+    # Classes that may take the same shifts count as one.
+    shift = F.struct("shift_id", F.col("n_slots").cast("int").alias("n_slots"))
+    classes = (
+        rows.join(tight.select(*keys), keys, "left_semi")
+        .groupBy(*keys, *CLASS[1:])
+        .agg(F.sort_array(F.collect_set(shift)).alias("shifts"), F.max("n_persons").alias("n"))
+    )
+    alike = classes.groupBy(*keys, "shifts").agg(F.sum("n").cast("long").alias("n"))
+    judged = alike.groupBy(*keys).agg(F.collect_list(F.struct("shifts", "n")).alias("able"))
+    ship(free.sparkSession)
+    return judged.mapInArrow(witnesses, WITNESS)

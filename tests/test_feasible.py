@@ -86,3 +86,14 @@ def test_status_names_what_is_proven(spark):
     run = Assignment(roster, slots, None)
     assert {r.org_id: r.status for r in run.status(witness).collect()} == {1: "infeasible", 2: "partial", 3: "complete"}
     assert run.status().columns == run.status(witness).columns
+
+
+def test_classes_that_take_the_same_shifts_are_judged_as_one(spark):
+    d = day("2000-09-02")
+    rows = [
+        (1, d, s, 600, 720, "KVW", 3, team, False, coach, 1) for s in ("s1", "s2") for team in "ab" for coach in ("", "c")
+    ] + [(1, d, "s2", 600, 720, "KVW", 3, "d", False, "", 1)]
+    found = feasible.impossible_moments(spark.createDataFrame(rows, FREE))
+    assert [tuple(r) for r in found.collect()] == [(1, d, 600, 6, 5, ["s1", "s2"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
