@@ -222,15 +222,16 @@ def merge_fixed(
     )
     resolved = fixed.join(named, ["org_id", "team_code", "name"], "left")
     times = ["org_id", "shift_date", "start_min", "end_min", "duty_type", *CLASS[1:]]
-    offered = cands.groupBy(*times).agg(
-        F.count_distinct("shift_id").alias("_shifts"), F.min("shift_id").alias("shift_id"), F.max("n_slots").alias("n_slots")
+    # Hardly two candidates agree in these, so they are dealt out once instead of being sorted and combined before.
+    offered = cands.select(*times, "shift_id", "n_slots").repartition(*times).groupBy(*times).agg(
+        F.min("shift_id").alias("shift_id"), F.max("shift_id").alias("_last_shift"), F.max("n_slots").alias("n_slots")
     )
     matched = resolved.join(offered, times, "left").withColumn(
         "reason",
         F.when(F.col("person_id").isNull(), "person not found")
         .when(F.col("_named") > 1, "ambiguous name")
         .when(F.col("shift_id").isNull() | (F.col("slot_nr") >= F.col("n_slots")), "no such candidate")
-        .when(F.col("_shifts") > 1, "ambiguous shift"),
+        .when(F.col("shift_id") != F.col("_last_shift"), "ambiguous shift"),
     )
     good = F.col("reason").isNull()
     slot = Window.partitionBy(*SHIFT, "slot_nr", good)
