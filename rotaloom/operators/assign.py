@@ -688,13 +688,21 @@ def one_pass_roster(cands: DataFrame, persons: DataFrame, rules: Rules) -> DataF
     )
     day = F.datediff("shift_date", F.lit("2000-01-03").cast("date"))
     turn = F.pmod(day * 31 + F.col("start_min") + F.col("person_id") * 17, F.lit(101))
+    # Cost, turn and person as the digits of one number: its minimum is hashed, that of a struct would sort all candidates.
+    person = F.col("person_id").cast("decimal(20,0)") + F.expr("9223372036854775808BD")
+    digits = (
+        F.col("cost").cast("decimal(15,0)") * F.expr("1" + "0" * 23 + "BD")
+        + turn.cast("decimal(3,0)") * F.expr("1" + "0" * 20 + "BD")
+        + person
+    )
+    chosen = F.pmod(F.col("best"), F.expr("1" + "0" * 20 + "BD")) - F.expr("9223372036854775808BD")
     return (
         cands.join(heads, CLASS)
         .groupBy(*SHIFT, "n_slots")
-        .agg(F.min(F.struct(F.col("cost"), turn.alias("turn"), F.col("person_id"))).alias("best"))
+        .agg(F.min(digits).alias("best"))
         .select(
             *SHIFT,
             F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)).alias("slot_nr"),
-            F.col("best.person_id").alias("person_id"),
+            chosen.cast("long").alias("person_id"),
         )
     )

@@ -248,9 +248,24 @@ def merge_fixed(
 
 
 def shift_facts(cands: DataFrame) -> DataFrame:
-    """What a shift is, one row per shift that has candidates."""
-    facts = ["shift_date", "start_min", "end_min", "duty_type", "problem", "n_people", "n_slots", "minutes"]
-    return cands.groupBy(*SHIFT).agg(*[F.first(c).alias(c) for c in facts])
+    """What a shift is, one row per shift that has candidates.
+
+    All candidates of a shift agree in these columns.  As a grouping key the duty is hashed, while a ``first`` of a text
+    would sort all candidates before the shuffle.
+    """
+    return _facts(cands, [*SHIFT, "duty_type"])
+
+
+def slot_facts(cands: DataFrame) -> DataFrame:
+    """``shift_facts`` without the duty, dealt out by shift once."""
+    return _facts(cands, SHIFT)
+
+
+def _facts(cands: DataFrame, keys: list[str]) -> DataFrame:
+    numbers = ["shift_date", "start_min", "end_min", "n_people", "n_slots", "minutes"]
+    supervised = F.max(F.col("problem") == "A").alias("_supervised")
+    found = cands.groupBy(*keys).agg(*[F.first(c).alias(c) for c in numbers], supervised)
+    return found.withColumn("problem", F.when(F.col("_supervised"), "A").otherwise("KVW")).drop("_supervised")
 
 
 def open_slots(cands: DataFrame, fixed: DataFrame | None = None) -> DataFrame:

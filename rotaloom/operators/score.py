@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaloom.operators.candidates import CLASS, SHIFT, shift_facts, with_class
+from rotaloom.operators.candidates import CLASS, SHIFT, shift_facts, slot_facts, with_class
 from rotaloom.operators.disjoin import coverage
+from rotaloom.plans.scratch import materialize
 from rotaloom.plans.skew import salted_join
 from rotaloom.rules import Rules
 
@@ -43,12 +44,20 @@ def active_workers(persons: DataFrame, cands: DataFrame, targets: DataFrame, rul
 
 def filled_slots(roster: DataFrame, cands: DataFrame) -> DataFrame:
     """Roster rows of member shifts with the attributes of their shift."""
-    return roster.select(*SHIFT, "slot_nr", "person_id").join(shift_facts(cands).drop("n_people"), SHIFT)
+    return _with_facts(roster, shift_facts(cands))
+
+
+def _with_facts(roster: DataFrame, facts: DataFrame) -> DataFrame:
+    return roster.select(*SHIFT, "slot_nr", "person_id").join(facts.drop("n_people"), SHIFT)
 
 
 def balance(roster: DataFrame, workers: DataFrame, cands: DataFrame, rules: Rules) -> DataFrame:
     """M2 per worker: planned minutes, over- and undertime and their penalty."""
-    load = filled_slots(roster, cands).groupBy(*PERSON).agg(F.sum("minutes").alias("load_min"))
+    return _balance(_with_facts(roster, slot_facts(cands)), workers, rules)
+
+
+def _balance(filled: DataFrame, workers: DataFrame, rules: Rules) -> DataFrame:
+    load = filled.groupBy(*PERSON).agg(F.sum("minutes").alias("load_min"))
     rest = F.coalesce(F.col("load_min"), F.lit(0)).cast(MINUTES) - F.col("owing_min")
     over, under = F.greatest(rest, F.lit(0).cast(MINUTES)), F.greatest(-rest, F.lit(0).cast(MINUTES))
     return workers.join(load, PERSON, "left").select(
@@ -62,10 +71,13 @@ def balance(roster: DataFrame, workers: DataFrame, cands: DataFrame, rules: Rule
 
 def proximity(roster: DataFrame, workers: DataFrame, cands: DataFrame, costs: DataFrame, rules: Rules) -> DataFrame:
     """M3 per filled slot."""
+    return _proximity(filled_slots(roster, cands), workers, costs, rules)
+
+
+def _proximity(filled: DataFrame, workers: DataFrame, costs: DataFrame, rules: Rules) -> DataFrame:
     team = workers.select(*PERSON, "team_code")
     return (
-        filled_slots(roster, cands)
-        .join(team, PERSON)
+        filled.join(team, PERSON)
         .join(costs, [*SHIFT, "team_code"], "left")
         .withColumn("cost", F.coalesce(F.col("cost"), F.lit(rules.flat_cost)).cast("long"))
     )
@@ -75,10 +87,12 @@ def score(
     roster: DataFrame, workers: DataFrame, cands: DataFrame, costs: DataFrame, rules: Rules
 ) -> DataFrame:
     """Objective per organisation and problem, split into its two parts."""
-    time = balance(roster, workers, cands, rules).groupBy(*PROBLEM).agg(
+    # Written once: both parts read it, and each would deal out the facts of all shifts again.
+    filled = materialize(_with_facts(roster, slot_facts(cands)).select(*SHIFT, "slot_nr", "person_id", "problem", "minutes"), "filled")
+    time = _balance(filled, workers, rules).groupBy(*PROBLEM).agg(
         F.sum("penalty").alias("balance_cost"), F.count(F.lit(1)).alias("n_workers")
     )
-    near = proximity(roster, workers, cands, costs, rules).groupBy(*PROBLEM).agg(
+    near = _proximity(filled, workers, costs, rules).groupBy(*PROBLEM).agg(
         F.sum("cost").alias("proximity_cost"), F.count(F.lit(1)).alias("n_filled")
     )
     return time.join(near, PROBLEM, "left").select(
@@ -153,7 +167,7 @@ def violations(
     may use; without them fixed rows are held to ``cands`` as all others.
     """
     keys = [*SHIFT, "slot_nr", "person_id"]
-    facts = shift_facts(cands)
+    facts = slot_facts(cands)
     person = workers.select(*PERSON, *CLASS[1:])
     owned = roster.select(*keys).join(facts.drop("n_people"), SHIFT, "left").join(person, PERSON, "left")
     known = cands.select(*SHIFT, *CLASS[1:]).withColumn("_known", F.lit(True))
@@ -180,7 +194,7 @@ def violations(
     )
     found.append(_finding(n1, F.lit("N1"), F.col("n")))
     if not rules.team_mode:
-        kvw = filled_slots(roster, cands).filter("problem = 'KVW'").join(person, PERSON, "left")
+        kvw = _with_facts(roster, facts).filter("problem = 'KVW'").join(person, PERSON, "left")
         busy = coverage(kvw, [*PERSON, "shift_date"]).filter("n_covering > 1")
         n2 = busy.groupBy(*PERSON).agg(F.count(F.lit(1)).alias("n"))
         found.append(_finding(n2, F.lit("N2"), F.col("n")))

@@ -1,6 +1,9 @@
 """Plans of steps whose tables all grow with the games."""
 
+from pyspark.sql import functions as F
+
 from rotaloom.operators import candidates, report
+from rotaloom.operators.assign import one_pass_roster
 from rotaloom.plans.season import Season
 from rotaloom.rules import Rules
 
@@ -30,3 +33,30 @@ def test_candidates_are_dealt_out_once_for_the_weekend_rule(make_games, make_per
     flagged = plan_of(candidates.weekend_flags(season.candidates, season.kickoffs))
     # The candidates by day and the kick-offs by day; the rule per shift needs nothing further.
     assert flagged.count("Exchange hashpartitioning") == 2
+
+
+def test_shift_facts_and_plain_roster_sort_no_candidates(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    facts = candidates.shift_facts(season.free)
+    assert "SortAggregate" not in plan_of(facts) + plan_of(candidates.slot_facts(season.free)) and facts.count() == season.free.select("org_id", "shift_id").distinct().count()
+    roster = one_pass_roster(season.free, season.workers, TEAM)
+    # The heads of the classes are a struct; the candidates are not combined by one.
+    assert plan_of(roster).count("SortAggregate") == 2
+
+
+def test_expanding_repeats_members_and_not_candidates(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    lines = candidates.expand(season.free, season.workers, TEAM)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line and "n_slots" not in line.split("explode", 1)[1].split("]")[0])
+    repeated = "\n".join(lines[at + 1 :])
+    assert "worked_min" in repeated and "shift_id" not in repeated
+
+
+def test_fixed_rows_deal_candidates_out_once(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    fixed = season.workers.select(
+        "org_id", F.lit("2018-09-15").cast("date").alias("shift_date"), F.lit(840).alias("start_min"), F.lit(990).alias("end_min"),
+        F.lit("Kasse").alias("duty_type"), "team_code", "name", F.lit(0).alias("slot_nr"),
+    )
+    good, _ = candidates.merge_fixed(fixed, season.candidates, season.workers, TEAM)
+    assert "distinct" not in plan_of(good).lower()
