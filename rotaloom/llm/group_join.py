@@ -23,8 +23,11 @@ groups, in these steps, none of which loses a link between different texts:
     pair is a row before it has passed.
 4.  New links join the groups.
 
-The same cell counts bound the overlap of two sets, so texts are fetched and compared
-in full only for pairs that pass the bound, and for each pair only once.
+The same cell counts bound the overlap of two sets.  Sixty-four cells tell little about long texts, so a set
+also has marks: the parity of its grams in each of some four times as many slots as it has grams.
+Each gram that only one of two sets holds changes one bit at most, so the bits in which they differ bound the
+overlap from above at any length.  Texts are fetched and compared in full only for pairs
+that pass both bounds, and for each pair only once.
 """
 
 from __future__ import annotations
@@ -55,6 +58,8 @@ from rotaloom.plans.scratch import Scratch
 
 GRAM, PERCENT = 3, 90
 CELLS = 64
+# Bytes of a set's marks, least and most, and bytes of marks that are compared at a time.
+LEAST_MARKS, MOST_MARKS, MARK_BYTES = 64, 4096, 16 << 20
 LOCAL_BYTES, LOCAL_COUNT = 8 << 20, 3
 FREQUENT_GRAMS = 300_000
 STAR_ROUNDS = 3
@@ -102,6 +107,45 @@ def cells_of(stored: list[bytes]) -> np.ndarray:
     return out
 
 
+def marks_of(grams: np.ndarray) -> bytes:
+    """Whether the number of grams in each slot is odd, one bit a slot; the slots are a power of two."""
+    slots = 8 * min(MOST_MARKS, max(LEAST_MARKS, 1 << (len(grams) // 2).bit_length()))
+    slot = (grams >> np.uint64(32)) & np.uint64(slots - 1)
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=slots) & 1).tobytes()
+
+
+def folded(stored: list[bytes], width: int) -> np.ndarray:
+    """Marks as rows of ``width`` bytes: slots that coincide there add up, which is the exclusive or of their parities."""
+    out = np.empty((len(stored), width), np.uint8)
+    sizes = np.fromiter(map(len, stored), np.int64, len(stored))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        same = np.frombuffer(b"".join(stored[i] for i in at.tolist()), np.uint8).reshape(len(at), size // width, width)
+        out[at] = np.bitwise_xor.reduce(same, axis=1)
+    return out
+
+
+def least_unlike(stored: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each pair of rows of ``stored`` a number of grams that at least are in one of the two sets only."""
+    sizes = np.fromiter(map(len, stored), np.int64, len(stored))
+    width = np.minimum(sizes[left], sizes[right])
+    out = np.zeros(len(left), np.int64)
+    for size in np.unique(width).tolist():
+        at = np.flatnonzero(width == size)
+        step = MARK_BYTES // size
+        for first in range(0, len(at), step):
+            k = at[first : first + step]
+            used, place = np.unique(np.concatenate([left[k], right[k]]), return_inverse=True)
+            rows = folded([stored[i] for i in used.tolist()], size)
+            out[k] = np.bitwise_count(rows[place[: len(k)]] ^ rows[place[len(k) :]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def may_link(stored: list[bytes], left: np.ndarray, right: np.ndarray, n_a, n_b, percent: int = PERCENT) -> np.ndarray:
+    """Which pairs of rows of ``stored`` have marks that leave room for a link."""
+    return linked((n_a + n_b - least_unlike(stored, left, right)) // 2, n_a, n_b, percent)
+
+
 def linked(common: np.ndarray | int, n_a, n_b, percent: int = PERCENT):
     return 100 * common >= percent * (n_a + n_b - common)
 
@@ -153,18 +197,19 @@ def posted(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: i
 
 
 def _sets(docs: DataFrame, gram: int, percent: int) -> DataFrame:
-    """Per row: doc_id, hash of the text, n_shingles, digest of the set, cell counts, posted grams."""
+    """Per row: doc_id, hash of the text, n_shingles, digest of the set, cell counts, marks, posted grams."""
     frequent, rank = _frequent(docs, gram)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
         for batch in batches:
-            n, digests, cells, first = [], [], [], []
+            n, digests, cells, marks, first = [], [], [], [], []
             for grams in gram_sets(batch.column(2), gram):
                 n.append(len(grams))
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 cells.append(stored_cells(cell_counts(grams)))
+                marks.append(marks_of(grams))
                 first.append(posted(grams, frequent, rank, percent).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(
@@ -172,13 +217,15 @@ def _sets(docs: DataFrame, gram: int, percent: int) -> DataFrame:
             )
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(cells, pa.binary()), lists],
-                names=["doc_id", "text_hash", "n", "digest", "cells", "first"],
+                 pa.array(cells, pa.binary()), pa.array(marks, pa.binary()), lists],
+                names=["doc_id", "text_hash", "n", "digest", "cells", "marks", "first"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
     return map_arrow(
-        rows, described, "doc_id long, text_hash long, n long, digest binary, cells binary, first array<bigint>"
+        rows,
+        described,
+        "doc_id long, text_hash long, n long, digest binary, cells binary, marks binary, first array<bigint>",
     )
 
 
@@ -198,8 +245,23 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, keep, "a long, b long")
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose marks leave room for a link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stored = [s for c in ("marks_a", "marks_b") for s in batch.column(c).to_pylist()]
+            left = np.arange(batch.num_rows)
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            good = may_link(stored, left, left + batch.num_rows, n_a, n_b, percent)
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return map_arrow(_sized(pairs, nodes, "marks"), keep, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, gram: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets are linked; only texts of nodes in a pair are read and shipped."""
+    pairs = scratch.keep(_close(pairs, nodes, percent), "close", "close")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     keys = wanted.join(nodes.select("node", "rep"), "node").select(
         "node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")
@@ -226,12 +288,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, gram: int, pe
     # A row holds two whole texts, which JVM and Python both buffer by the batch.
     with batches_of(docs.sparkSession, BATCH_ROWS):
         found = scratch.keep(found, "found")
-    scratch.remove("wanted", "texts")
+    scratch.remove("close", "wanted", "texts")
     return found
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    side = lambda s: sizes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}"))
+def _sized(pairs: DataFrame, sizes: DataFrame, fact: str = "cells") -> DataFrame:
+    side = lambda s: sizes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col(fact).alias(f"{fact}_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
@@ -329,7 +391,7 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
     mixed = scratch.keep(mixed.filter("low < high").select("gram", "k", blocks), "mixed", "mixed")
     rows = scratch.keep(placed.join(mixed.select("gram", "blocks"), "gram"), "rows", "members")
     lowest = F.slice(F.sort_array(F.collect_list("gram")), 1, LOWEST).alias("lowest")
-    facts = scratch.keep(sizes.select("node", "cells").join(rows.groupBy("node").agg(lowest), "node"), "facts", "facts")
+    facts = scratch.keep(sizes.select("node", "cells", "marks").join(rows.groupBy("node").agg(lowest), "node"), "facts", "facts")
     n_rows = mixed.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 0
     tables = max(1, -(-n_rows // TABLE_ROWS))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -340,7 +402,7 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
         .withColumn("g", F.greatest("block", "_other"))
         .join(facts, "node")
         .select(F.pmod(F.xxhash64("gram", "q", "g"), F.lit(tables)).alias("table"),
-                "gram", "q", "g", "block", "node", "n", "comp", "cells", "lowest")
+                "gram", "q", "g", "block", "node", "n", "comp", "cells", "marks", "lowest")
     )
 
     def compared(table: pa.Table) -> pa.Table:
@@ -350,7 +412,10 @@ def _met(placed: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) ->
         t["cells"] = cells_of(table.column("cells").to_pylist())[order]
         a, b, _, _ = open_groups(t, percent)
         new = first_meetings(t["gram"], lowest_of(table.column("lowest").to_pylist())[order], a, b)
-        a, b = t["node"][a[new]], t["node"][b[new]]
+        a, b = a[new], b[new]
+        marks = table.column("marks").to_pylist()
+        near = may_link(marks, order[a], order[b], t["n"][a], t["n"][b], percent)
+        a, b = t["node"][a[near]], t["node"][b[near]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -372,15 +437,15 @@ def _grouped(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataF
     nodes = (
         sets.filter("n > 0")
         .groupBy("digest")
-        .agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("first").alias("first"),
-             F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_rows"))
+        .agg(*[F.first(c).alias(c) for c in ("n", "cells", "marks", "first")], F.min(key).alias("rep"),
+             F.count(F.lit(1)).alias("n_rows"))
     )
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", "nodes")
     # From here on a row needs no more than its key and its set's digest.
     light = materialize(sets.select("doc_id", "text_hash", "n", "digest"), "rows")
     scratch.remove("sets")
     sets = light
-    sizes = nodes.select("node", "n", "cells")
+    sizes = nodes.select("node", "n", "cells", "marks")
 
     # Postings that more than one node shares; of those with the same nodes one is enough.
     postings = nodes.select("node", "n", F.explode("first").alias("gram"))

@@ -149,3 +149,43 @@ def test_texts_are_compared_in_small_batches(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in G.jaccard_groups(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
     assert seen["sets"] == seen["found"] == str(G.BATCH_ROWS) and spark.conf.get(setting) == before
+
+
+def test_marks_lose_no_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 5, 40, 700, 3000, 12000):
+        whole = np.unique(rng.integers(0, 2**64, 2 * n, np.uint64))
+        sets.append(np.sort(whole[:n]))
+        for other in (n // 50, n // 9, n // 4, n):
+            sets.append(np.sort(np.concatenate([whole[other // 2 : n], whole[n : n + other // 2]])))
+    left, right = np.array([(i, j) for i in range(len(sets)) for j in range(i)]).T
+    n = np.array([len(s) for s in sets])
+    common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(left, right)])
+    unlike = n[left] + n[right] - 2 * common
+    marks = [G.marks_of(s) for s in sets]
+    assert (G.least_unlike(marks, left, right) <= unlike).all()
+    for percent in (80, 90):
+        true = G.linked(common, n[left], n[right], percent)
+        assert true.any() and G.may_link(marks, left, right, n[left], n[right], percent)[true].all()
+
+
+def test_long_texts_with_a_common_passage_are_no_pairs(spark, monkeypatch):
+    # Cell counts alone left room for a link between any two of these texts, and each pair was a row.
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{' '.join(f'u{rng.randrange(10**6)}' for _ in range(3000))} {passage}" for _ in range(12)]
+    rows = {}
+    keep = G.Scratch.keep
+
+    def counted(self, df, label, slot=None):
+        kept = keep(self, df, label, slot)
+        if label in ("more", "close"):
+            rows[label] = rows.get(label, 0) + kept.count()
+        return kept
+
+    monkeypatch.setattr(G.Scratch, "keep", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = G.jaccard_groups(docs, 5, 80).collect()
+    assert all(r.component_id == r.doc_id for r in told) and len(told) == len(texts)
+    assert rows == {"more": 0, "close": 0}
