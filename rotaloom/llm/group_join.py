@@ -24,7 +24,7 @@ groups, in these steps, none of which loses a link between different texts:
 4.  New links join the groups.
 
 The same cell counts bound the overlap of two sets.  Sixty-four cells tell little about long texts, so a set
-also has marks: the parity of its grams in each of some four times as many slots as it has grams.
+also has marks: the parity of its grams in each of at least as many slots as it has grams.
 Each gram that only one of two sets holds changes one bit at most, so the bits in which they differ bound the
 overlap from above at any length.  Texts are fetched and compared in full only for pairs
 that pass both bounds, and for each pair only once.
@@ -59,7 +59,7 @@ from rotaloom.plans.scratch import Scratch
 GRAM, PERCENT = 3, 90
 CELLS = 64
 # Bytes of a set's marks, least and most, and bytes of marks that are compared at a time.
-LEAST_MARKS, MOST_MARKS, MARK_BYTES = 64, 4096, 16 << 20
+LEAST_MARKS, MOST_MARKS, MARK_BYTES = 16, 4096, 16 << 20
 LOCAL_BYTES, LOCAL_COUNT = 8 << 20, 3
 FREQUENT_GRAMS = 300_000
 STAR_ROUNDS = 3
@@ -109,7 +109,7 @@ def cells_of(stored: list[bytes]) -> np.ndarray:
 
 def marks_of(grams: np.ndarray) -> bytes:
     """Whether the number of grams in each slot is odd, one bit a slot; the slots are a power of two."""
-    slots = 8 * min(MOST_MARKS, max(LEAST_MARKS, 1 << (len(grams) // 2).bit_length()))
+    slots = 8 * min(MOST_MARKS, max(LEAST_MARKS, 1 << ((len(grams) - 1) // 8).bit_length()))
     slot = (grams >> np.uint64(32)) & np.uint64(slots - 1)
     return np.packbits(np.bincount(slot.astype(np.int64), minlength=slots) & 1).tobytes()
 

@@ -189,3 +189,11 @@ def test_long_texts_with_a_common_passage_are_no_pairs(spark, monkeypatch):
     told = G.jaccard_groups(docs, 5, 80).collect()
     assert all(r.component_id == r.doc_id for r in told) and len(told) == len(texts)
     assert rows == {"more": 0, "close": 0}
+
+
+def test_marks_take_two_bits_a_gram_at_most():
+    # They travel with every posting of a set; four to eight bits a gram were most of what the join shuffled.
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 128, 129, 490, 1024, 1025, 20000):
+        size = len(G.marks_of(np.unique(rng.integers(0, 2**64, n, np.uint64))))
+        assert G.LEAST_MARKS <= size <= max(G.LEAST_MARKS, n / 4) and (n > 8 * G.MOST_MARKS or 8 * size >= n)
