@@ -34,6 +34,8 @@ SHARPNESS = 4.0
 FOLDS = 5
 UNDECIDED = "und"
 CHUNK_CHARS = 1 << 19
+# Texts that are scored at a time.
+TEXTS = 256
 TABLE_BITS = 20
 _NONE = np.uint64(0x1FFFFF)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -194,18 +196,19 @@ def identify(docs: DataFrame, text: str = "text", model: Model | None = None) ->
         fitted = shared.value
         slots = fitted.table() if fitted else None
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            names_out: list[str] = [UNDECIDED] * len(texts)
-            scores = np.zeros(len(texts))
-            if fitted:
+            names_out: list[str] = [UNDECIDED] * batch.num_rows
+            scores = np.zeros(batch.num_rows)
+            # Never all texts of a batch as Python strings.
+            for low in range(0, batch.num_rows if fitted else 0, TEXTS):
+                texts = batch.column(place).slice(low, TEXTS).to_pylist()
                 known = [i for i, t in enumerate(texts) if has_letter(t)]
-                for first in range(0, len(known), 256):
-                    part = known[first : first + 256]
-                    probability = fitted.probabilities(fitted.presence([texts[i] for i in part], slots))
-                    best = probability.argmax(axis=1)
-                    scores[part] = probability[np.arange(len(part)), best]
-                    for i, b in zip(part, best.tolist()):
-                        names_out[i] = fitted.languages[b]
+                if not known:
+                    continue
+                probability = fitted.probabilities(fitted.presence([texts[i] for i in known], slots))
+                best = probability.argmax(axis=1)
+                scores[[low + i for i in known]] = probability[np.arange(len(known)), best]
+                for i, b in zip(known, best.tolist()):
+                    names_out[low + i] = fitted.languages[b]
             columns = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.record_batch(
                 [*columns, pa.array(names_out), pa.array(np.clip(scores, 0, 1))], names=[*names, "lang_pred", "score"]

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaloom.llm.common import map_arrow, mix, pack, span_hashes
+from rotaloom.llm.common import map_arrow, mix, pack, slices, span_hashes
 
 MARK = "▁"
 RATE, SEED = 0.1, 2024
 LONG = 96
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS, SLICE_BYTES = 1 << 18, 1 << 18
 _MASK = (1 << 64) - 1
 _PLACE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 _NEVER = np.int64(1 << 40)
@@ -366,16 +366,10 @@ def pieces(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK_CHARS characters."""
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > CHUNK_CHARS:
-            yield first, i
-            first, size = i, 0
-        size += len(text)
-    if first < len(texts):
-        yield first, len(texts)
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Row ranges of about SLICE_BYTES with their texts; never all texts of a batch as Python strings."""
+    for low, high in slices(batch.column(column), SLICE_BYTES):
+        yield low, high, [t or "" for t in batch.column(column).slice(low, high - low).to_pylist()]
 
 
 def encode(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
@@ -395,10 +389,9 @@ def encode(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEE
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = pieces(model.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(3).to_pylist()]
             keys = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            for low, high in _slices(texts):
-                ids, counts = tables.encode(texts[low:high], keys[low:high], rate, seed)
+            for low, high, texts in _texts(batch, 3):
+                ids, counts = tables.encode(texts, keys[low:high], rate, seed)
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
                 columns = [batch.column(i).slice(low, high - low) for i in range(2)]
@@ -442,15 +435,14 @@ def round_trip(docs: DataFrame, model_file: str, rate: float = RATE, seed: int =
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = pieces(model.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for low, high in _slices(texts):
-                ids, counts = tables.encode(texts[low:high], keys[low:high], rate, seed)
+            for low, high, texts in _texts(batch, 2):
+                ids, counts = tables.encode(texts, keys[low:high], rate, seed)
                 back = tables.decode(ids, counts)
                 ends = np.cumsum(counts).tolist()
                 view = memoryview(ids.astype("<u4")).cast("B")
                 sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1]], ends)]
-                same = [b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts[low:high])]
+                same = [b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts)]
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(low, high - low),

@@ -4,6 +4,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rotaloom.llm import language_id as L
@@ -59,3 +60,18 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in L.predict(docs).collect()] == [("und", 0.0)]
     assert L.predict(docs.limit(0)).count() == 0
+
+
+def test_long_batches_are_scored_row_by_row(spark, monkeypatch):
+    """More texts than are scored at a time, some without a letter: every row has its own language, none is read whole."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on a mat", "en"), ("le chat est là-bas", "fr")] * 30)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    at_once, presence = [], L.Model.presence
+    monkeypatch.setattr(L.Model, "presence", lambda self, texts, slots: at_once.append(len(texts)) or presence(self, texts, slots))
+    monkeypatch.setattr(L, "map_arrow", lambda df, function, schema: function)
+    score = L.identify(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string").select("text"), "text", model)
+    texts = [("the cat on the mat", "le chat là", "12 3", None)[i % 4] for i in range(4 * L.TEXTS + 3)] + ["1"] * L.TEXTS * 2
+    (out,) = score(iter([pa.record_batch([pa.array(texts)], names=["text"])]))
+    told = {"the cat on the mat": "en", "le chat là": "fr"}
+    assert out.column("lang_pred").to_pylist() == [told.get(t, L.UNDECIDED) for t in texts]
+    assert sum(at_once) == sum(t in told for t in texts) and max(at_once) <= L.TEXTS // 2

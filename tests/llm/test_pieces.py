@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -110,3 +111,13 @@ def test_copies_draw_for_themselves(spark):
     one = sorted(tuple(r.piece_ids) for r in P.encode(docs.repartition(3), FILE).filter("doc_id = 1").collect())
     assert len(one) == len(set(one)) == 3
     assert one == sorted(tuple(r.piece_ids) for r in P.encode(docs.coalesce(1), FILE).filter("doc_id = 1").collect())
+
+
+def test_a_batch_is_encoded_in_small_slices():
+    """A batch has up to 10,000 texts; only some hundred kilobytes of them are Python strings and arrays at a time."""
+    texts = [("ab c%d " % i) * 300 if i % 7 else None for i in range(900)] + ["x" * (2 * P.SLICE_BYTES)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(P._texts(batch, 1))
+    assert [t for _, _, part in parts for t in part] == [t or "" for t in texts]
+    assert all(high - low == len(part) for low, high, part in parts) and P.SLICE_BYTES <= 1 << 18
+    assert all(len(part) == 1 or sum(map(len, part)) <= P.SLICE_BYTES for _, _, part in parts) and len(parts) > 5
