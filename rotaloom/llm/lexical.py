@@ -34,11 +34,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotaloom.llm.common import chunks, distinct_words, map_arrow
+from rotaloom.llm.common import batches_of, chunks, distinct_words, map_arrow
 from rotaloom.plans.scratch import Scratch
 
 LIMIT = 20
 SHARD_BYTES = 2 << 20
+# Texts of one batch, and shards that are read and handed on together; a shard is a row of some megabytes.
+TEXT_ROWS, SHARD_ROWS = 1000, 1
+# Row groups of a few shards; else a writer first looks at its memory after a hundred rows.
+FEW_SHARDS = {
+    "parquet.block.size": str(16 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
 # Queries and characters of one block; its terms and weights are what is sent to the tasks.
 QUERY_BLOCK, QUERY_CHARS = 4096, 16 << 20
 LAST = (1 << 63) - 1
@@ -96,12 +104,22 @@ def build(
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in chunks(batch.column(1), SHARD_BYTES):
-                yield shard_row(batch.column(0).slice(first, len(offsets) - 1), data, offsets)
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        return (scratch or Scratch(docs.sparkSession)).keep(map_arrow(rows, shard_rows, SHARD), "shards", "shards", FEW_SHARDS)
+
 
-    return (scratch or Scratch(docs.sparkSession)).keep(map_arrow(rows, shards, SHARD), "shards", "shards")
+def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of a task's texts; what does not fill one goes on with the next batch."""
+    ids = texts = None
+    for batch in batches:
+        ids = batch.column(0) if ids is None else pa.concat_arrays([ids, batch.column(0)])
+        texts = batch.column(1) if texts is None else pa.concat_arrays([texts, batch.column(1)])
+        *full, last = chunks(texts, SHARD_BYTES) if len(texts) else [(0, None, None)]
+        for first, data, offsets in full:
+            yield shard_row(ids.slice(first, len(offsets) - 1), data, offsets)
+        ids, texts = ids.slice(last[0]), texts.slice(last[0])
+    for first, data, offsets in chunks(texts, SHARD_BYTES) if texts is not None else ():
+        yield shard_row(ids.slice(first, len(offsets) - 1), data, offsets)
 
 
 def query_terms(text: str | None) -> dict[str, int]:
@@ -289,7 +307,7 @@ def _best_of(shards: DataFrame, block: Plan, limit: int, scratch: Scratch) -> Da
                     [pa.array([one[c]], pa.list_(kinds.get(c, pa.int64()))) for c in one], names=list(one)
                 )
 
-    prepared = scratch.keep(map_arrow(shards, ready, READY), "impacts", "impacts")
+    prepared = scratch.keep(map_arrow(shards, ready, READY), "impacts", "impacts", FEW_SHARDS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -337,11 +355,13 @@ def search(
         # A block of bounded size; the index is read once for each.
         some = asked.filter(in_block == block_nr).collect()
         held = [query_terms(r.text) for r in some]
-        block = plan(held, _document_counts(shards, {t for q in held for t in q}), n_docs, n_terms)
-        names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(some)], f"query long, item_id {kind}")
-        ranked = _best_of(shards, block, limit, scratch).withColumn("rank", F.row_number().over(order))
-        ranked = ranked.filter(F.col("rank") <= limit).join(names, "query").select("item_id", "rank", "doc_id", "score")
-        found = found.union(scratch.keep(ranked, "ranked"))
+        # Shards go one by one: those of a file together fill an executor.
+        with batches_of(spark, SHARD_ROWS, SHARD_ROWS):
+            block = plan(held, _document_counts(shards, {t for q in held for t in q}), n_docs, n_terms)
+            names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(some)], f"query long, item_id {kind}")
+            ranked = _best_of(shards, block, limit, scratch).withColumn("rank", F.row_number().over(order))
+            ranked = ranked.filter(F.col("rank") <= limit).join(names, "query").select("item_id", "rank", "doc_id", "score")
+            found = found.union(scratch.keep(ranked, "ranked"))
         scratch.remove("impacts")
     return found
 

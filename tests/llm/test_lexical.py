@@ -5,7 +5,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
+from rotaloom.llm import common as C
 from rotaloom.llm import lexical as L
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -100,3 +102,38 @@ def test_weights_of_very_large_indexes():
     n_docs, n_terms = 10**10, 7 * 10**13 + 11
     want = 5 * ((10**9 * 3) // (3000 + 12 * (75 + 25 * 10**6 * n_docs // n_terms)))
     assert L.impacts(tf, length, np.array([5]), n_docs, n_terms).tolist() == [want]
+
+
+def test_shards_go_one_by_one(spark, monkeypatch):
+    rows = [(i, f"w{i} " + "abc " * 600_000) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    asked, seen = L.map_arrow, spark.sparkContext.accumulator(0)
+
+    def spy(df, function, schema):
+        def one_by_one(batches):
+            def checked():
+                for batch in batches:
+                    assert batch.num_rows == 1
+                    seen.add(1)
+                    yield batch
+
+            return function(checked())
+
+        return asked(df, one_by_one if "bounds" in df.columns else function, schema)
+
+    monkeypatch.setattr(L, "map_arrow", spy)
+    items = spark.createDataFrame([(1, "w2 w3")], "item_id long, text string")
+    before = {s: spark.conf.get(s) for s in (C.BATCH_SETTING, C.READER_SETTING)}
+    assert [r.doc_id for r in L.rank(docs, items).orderBy("rank").collect()] == [2, 3]
+    # Counted, prepared and searched.
+    assert seen.value == 3 * 4 and before == {s: spark.conf.get(s) for s in before}
+
+
+def test_a_shard_goes_on_with_the_next_batch():
+    rng = random.Random(5)
+    rows = corpus(rng, 300) + [(None, None), (7, "")]
+    table = pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    whole = list(L.shard_rows(iter(table.to_batches())))
+    empty = pa.RecordBatch.from_pylist([], table.schema)
+    parts = list(L.shard_rows(iter([empty, *table.to_batches(17), empty])))
+    assert len(whole) == 1 and [p.to_pylist() for p in parts] == [p.to_pylist() for p in whole]
