@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rotaloom.operators.candidates import CLASS, SHIFT, open_slots, with_class
 from rotaloom.operators.score import PERSON, PROBLEM
 from rotaloom.plans.scratch import Scratch
-from rotaloom.plans.skew import salted_join, spread_row_number
+from rotaloom.plans.skew import spread_row_number
 from rotaloom.rules import Rules
 
 LANE = ["org_id", "problem", "team_code"]
@@ -106,8 +106,8 @@ class _State:
         return self.scratch.replace(table, name)
 
     def only(self, rows: DataFrame, going: DataFrame) -> DataFrame:
-        """Rows of the organisations and problems in ``going``, of which one may hold most rows."""
-        return salted_join(rows, going.select(*PROBLEM), PROBLEM, "left_semi", ["shift_id", "slot_nr"], self.rules.salts)
+        """Rows of the organisations and problems in ``going``, of which there are two for each organisation."""
+        return rows.join(going.select(*PROBLEM), PROBLEM, "left_semi")
 
     def stage_rested(self) -> DataFrame:
         """``rested`` as a table, for the several uses of one round."""
@@ -244,7 +244,7 @@ def _propose(state: _State, seed: int, going: DataFrame) -> DataFrame:
     shift_by = F.pmod(_hash("shift_id", seed), F.col("n_members")) if seed % 2 == 0 else F.lit(0)
     place = F.pmod((F.col("turn") - 1) * width + F.col("k") + shift_by, F.col("n_members")) + 1
     proposals = (
-        salted_join(best, going.select(*PROBLEM, "slack"), PROBLEM, "inner", ["shift_id"], rules.salts)
+        best.join(going.select(*PROBLEM, "slack"), PROBLEM)
         .join(numbered, SHIFT)
         .withColumn("position", place.cast("long"))
         .join(_ranked(state, rested, seed), [*LANE, "position"])

@@ -26,15 +26,15 @@ def salted_join(
     """Join a possibly skewed ``big`` side with a few rows per key on the other side.
 
     Rows of one key on the big side go to ``salts`` different tasks; the small
-    side is repeated once per salt.  Valid for every join type that only keeps
-    unmatched rows of the left (big) side.
+    side is repeated once per salt, and its few rows per key grow with the keys, so it is never
+    collected.  Valid for every join type that only keeps unmatched rows of the left (big) side.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(growing(right), [*on, "_salt"], how).drop("_salt")
 
 
 def spread_row_number(

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from rotaloom.operators import candidates, report
+from checks import registry
+from rotaloom.operators import candidates, disjoin, feasible, model, report, score
 from rotaloom.operators.assign import one_pass_roster
 from rotaloom.plans.season import Season
+from rotaloom.plans.skew import salted_join
 from rotaloom.rules import Rules
 
 TEAM = Rules()
@@ -60,3 +62,11 @@ def test_fixed_rows_deal_candidates_out_once(make_games, make_persons):
     )
     good, _ = candidates.merge_fixed(fixed, season.candidates, season.workers, TEAM)
     assert "distinct" not in plan_of(good).lower()
+
+
+def test_repeated_rows_of_a_salted_join_are_not_collected(spark):
+    big = spark.range(1000).selectExpr("id % 7 as k", "id as v")
+    small = spark.range(7).selectExpr("id as k", "id * 10 as w")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = salted_join(big, small, ["k"], how, ["v"], 16)
+        assert "BroadcastExchange" not in plan_of(joined) and joined.count() == (0 if how == "left_anti" else 1000)
