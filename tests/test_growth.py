@@ -70,3 +70,22 @@ def test_repeated_rows_of_a_salted_join_are_not_collected(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         joined = salted_join(big, small, ["k"], how, ["v"], 16)
         assert "BroadcastExchange" not in plan_of(joined) and joined.count() == (0 if how == "left_anti" else 1000)
+
+
+def test_members_and_their_loads_are_not_collected(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    full, rules = season.full(season.simple_roster), season.rules
+    people = (full, season.shifts, season.people)
+    # Means of organisations are not joined by persons; the rest must be merged.
+    for df in (report.team_stats(*people, rules), score.balance(season.simple_roster, season.active, season.free, rules),
+               score.proximity(season.simple_roster, season.active, season.free, season.costs, rules),
+               score.violations(season.simple_roster, season.active, season.free, rules, season.simple_roster, season.candidates),
+               report.person_stats(*people, season.targets, rules), report.idle_stats(*people, season.workers, rules)):
+        assert "BroadcastExchange" not in plan_of(df) and df.count() >= 0
+
+
+def test_rules_of_single_members_collect_nothing(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    roster = season.simple_roster
+    found = score.violations(roster, season.active, season.free, season.rules.with_(team_mode=False))
+    assert "BroadcastExchange" not in plan_of(found) and "BroadcastExchange" not in plan_of(registry._named_slots(season))
