@@ -89,3 +89,12 @@ def test_rules_of_single_members_collect_nothing(make_games, make_persons):
     roster = season.simple_roster
     found = score.violations(roster, season.active, season.free, season.rules.with_(team_mode=False))
     assert "BroadcastExchange" not in plan_of(found) and "BroadcastExchange" not in plan_of(registry._named_slots(season))
+
+
+def test_model_collects_no_pairs_rows_or_loads(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    for mode in (season.rules, season.rules.with_(team_mode=False)):
+        built = model.build_model(season.pairs, season.active, mode)
+        solution = model.solution_of(season.simple_roster, built, season.pairs, season.active)
+        for df in (built.rows, built.coefs, solution, model.objective(built, solution), model.broken_rows(built, solution), model.broken_sets(built, solution)):
+            assert "BroadcastExchange" not in plan_of(df)
