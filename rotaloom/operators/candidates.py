@@ -223,13 +223,13 @@ def merge_fixed(
         F.count(F.lit(1)).alias("_named"),
         *[F.min(c).alias(c) for c in ("person_id", "is_supervisor", "coach_of")],
     )
-    resolved = fixed.join(named, ["org_id", "team_code", "name"], "left")
+    resolved = fixed.join(growing(named), ["org_id", "team_code", "name"], "left")
     times = ["org_id", "shift_date", "start_min", "end_min", "duty_type", *CLASS[1:]]
     # Hardly two candidates agree in these, so they are dealt out once instead of being sorted and combined before.
     offered = cands.select(*times, "shift_id", "n_slots").repartition(*times).groupBy(*times).agg(
         F.min("shift_id").alias("shift_id"), F.max("shift_id").alias("_last_shift"), F.max("n_slots").alias("n_slots")
     )
-    matched = resolved.join(offered, times, "left").withColumn(
+    matched = resolved.join(growing(offered), times, "left").withColumn(
         "reason",
         F.when(F.col("person_id").isNull(), "person not found")
         .when(F.col("_named") > 1, "ambiguous name")

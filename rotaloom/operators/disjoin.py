@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rotaloom.plans.skew import growing
+
 
 def elementary_intervals(df: DataFrame, keys: list[str], start: str = "start_min", end: str = "end_min") -> DataFrame:
     """Consecutive pieces between all distinct end points of a key.
@@ -21,7 +23,7 @@ def disjoin(df: DataFrame, keys: list[str], start: str = "start_min", end: str =
     """Each elementary interval with every range that covers it; gaps drop out."""
     pieces = elementary_intervals(df, keys, start, end)
     covers = (F.col(start) <= F.col("piece_start")) & (F.col(end) >= F.col("piece_end"))
-    return df.join(pieces, keys).filter(covers)
+    return df.join(growing(pieces), keys).filter(covers)
 
 
 def coverage(df: DataFrame, keys: list[str], start: str = "start_min", end: str = "end_min") -> DataFrame:

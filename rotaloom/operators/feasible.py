@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotaloom.operators.candidates import CLASS
+from rotaloom.plans.skew import growing
 from rotaloom.plans.workers import ship
 
 WITNESS = "org_id int, shift_date date, at_min int, n_needed long, n_members long, shift_ids array<string>"
@@ -101,7 +102,7 @@ def moments(free: DataFrame) -> DataFrame:
     """(org_id, shift_date, at_min, shift and class columns): what runs whenever a shift begins."""
     own = free.filter("problem = 'KVW'")
     starts = own.select("org_id", "shift_date", F.col("start_min").alias("at_min")).distinct()
-    runs = own.join(starts, ["org_id", "shift_date"]).filter("start_min <= at_min and at_min < end_min")
+    runs = own.join(growing(starts), ["org_id", "shift_date"]).filter("start_min <= at_min and at_min < end_min")
     return runs.select("org_id", "shift_date", "at_min", "shift_id", "n_slots", *CLASS[1:], "n_persons")
 
 
@@ -123,7 +124,7 @@ def impossible_moments(free: DataFrame) -> DataFrame:
     # Classes that may take the same shifts count as one.
     shift = F.struct("shift_id", F.col("n_slots").cast("int").alias("n_slots"))
     classes = (
-        rows.join(tight.select(*keys), keys, "left_semi")
+        rows.join(growing(tight.select(*keys)), keys, "left_semi")
         .groupBy(*keys, *CLASS[1:])
         .agg(F.sort_array(F.collect_set(shift)).alias("shifts"), F.max("n_persons").alias("n"))
     )

@@ -98,3 +98,16 @@ def test_model_collects_no_pairs_rows_or_loads(make_games, make_persons):
         solution = model.solution_of(season.simple_roster, built, season.pairs, season.active)
         for df in (built.rows, built.coefs, solution, model.objective(built, solution), model.broken_rows(built, solution), model.broken_sets(built, solution)):
             assert "BroadcastExchange" not in plan_of(df)
+
+
+def test_pieces_and_moments_collect_nothing(make_games, make_persons):
+    season = small_season(make_games, make_persons)
+    keys = ["org_id", "problem", "team_code", "shift_date"]
+    spans = season.candidates.select(*keys, "start_min", "end_min").distinct()
+    for df in (disjoin.disjoin(spans, keys), feasible.impossible_moments(season.free)):
+        assert "BroadcastExchange" not in plan_of(df)
+    fixed = season.workers.select(
+        "org_id", F.lit("2018-09-15").cast("date").alias("shift_date"), F.lit(840).alias("start_min"), F.lit(990).alias("end_min"),
+        F.lit("Kasse").alias("duty_type"), "team_code", "name", F.lit(0).alias("slot_nr"),
+    )
+    assert all("BroadcastExchange" not in plan_of(df) for df in candidates.merge_fixed(fixed, season.candidates, season.workers, TEAM))
